@@ -12,10 +12,12 @@ two families are walked in order, and those too are split when they are many.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetflow.operators.ordered import any_group_over, group_limit, ordered_scan, row_numbers
+from assetflow.operators.ordered import group_limit, ordered_scan, row_numbers
 from assetflow.session import freeze
 
 NUMBERED = r"^(.*)\(([1-9][0-9]{0,17})\)$"
@@ -48,15 +50,15 @@ def resolve_collisions(plan: DataFrame, reserved: DataFrame | None = None, item:
     unique ``item``; ``ext_out`` is empty for folders, which never overwrite.
     ``reserved`` has ``folder, file_name`` of paths that exist already.
     """
-    keyed = plan.withColumns({
+    # Frozen: the numbered plan is read once per level and once more for the result.
+    keyed = freeze(plan.withColumns({
         "_folder": F.lower(F.regexp_replace("folder", r"[/\\]+$", "")),
         "_base": F.lower("base_name"),
         "_ext": F.lower("ext_out"),
-    })
+    }))
     overwrites = F.col("allow_overwrite") & (F.col("_ext") != "")
     free = keyed.filter(overwrites).withColumn("slot", F.lit(0).cast("bigint"))
-    # The narrow columns are read once per level; frozen, their numbering is not computed again.
-    items = freeze(keyed.filter(~overwrites).select(*FAMILY, "seq", item, _depth(F.col("_base")).alias("_depth")))
+    items = keyed.filter(~overwrites).select(*FAMILY, "seq", item, _depth(F.col("_base")).alias("_depth"))
 
     taken_before = None
     if reserved is not None:
@@ -90,22 +92,27 @@ def resolve_collisions(plan: DataFrame, reserved: DataFrame | None = None, item:
 
 def _settle_level(level, children, taken_before, given, item, contested) -> DataFrame:
     """Slot of every item of the families in ``level``."""
-    ranked = row_numbers(level, FAMILY, ["seq"], "_j").withColumn("_j", F.col("_j") - 1)
     blocks = _fixed_blocks(level, taken_before, given)
-    rivals = _rivals(level, children) if contested else None
-    if blocks is None and rivals is None:
-        return ranked.withColumn("slot", F.col("_j"))
-    always = F.lit(2**62).cast("bigint")
-    parts = []
+    claims = _claims(level, children) if contested else None
+    known = [c.select(*FAMILY, F.lit(1).alias("_c")) for c in (blocks, claims) if c is not None]
+    if not known:
+        return row_numbers(level, FAMILY, ["seq"], "_j").withColumn("slot", F.col("_j") - 1)
+    everyone = reduce(DataFrame.unionByName, [level.select(*FAMILY, F.lit(0).alias("_c")), *known])
+    # two numbers: most rows, and most contested choices, any family has
+    sizes = everyone.groupBy(*FAMILY).agg(F.count(F.lit(1)).alias("n"), F.sum("_c").alias("c"))
+    top = sizes.agg(F.max("n").alias("n"), F.max("c").alias("c")).first()
+    limit = group_limit(level)
+    spread, fold = (top.n or 0) > limit, (top.c or 0) <= min(limit, FOLD_LIMIT)
+
+    ranked = row_numbers(level, FAMILY, ["seq"], "_j", spread).withColumn("_j", F.col("_j") - 1)
+    if claims is None:
+        return _shift(ranked, blocks.select(*FAMILY, "_k"), item, spread)
+    choices = _limits(level, claims, spread)
     if blocks is not None:
-        parts.append(blocks.withColumn("_limit", always))
-    if rivals is not None:
-        if blocks is not None:
-            rivals = rivals.join(blocks, [*FAMILY, "_k"], "left_anti")
-        parts.append(rivals)
-    choices = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    skipped = _skipped(choices) if rivals is not None else blocks.select(*FAMILY, "_k")
-    return _shift(ranked, skipped, item)
+        lost_anyway = blocks.withColumn("_limit", F.lit(2**62).cast("bigint"))
+        choices = choices.join(blocks, [*FAMILY, "_k"], "left_anti").unionByName(lost_anyway)
+    skipped = _skipped(choices) if fold else _skipped_at_scale(choices)
+    return _shift(ranked, skipped, item, spread)
 
 
 def _fixed_blocks(level, taken_before, given) -> DataFrame | None:
@@ -139,22 +146,26 @@ def _fixed_blocks(level, taken_before, given) -> DataFrame | None:
     return out.distinct()
 
 
-def _rivals(level, children) -> DataFrame:
-    """``family, _k, _limit``: choice k of a family is also the base of another one.
-
-    The other family's first item gets it when it comes before the family's own item
-    that reaches k.  With s choices skipped so far that own item is number k + 1 - s, so
-    the choice is lost exactly when s < k + 1 - (own items before the rival).
-    """
+def _claims(level, children) -> DataFrame:
+    """``family, _k, _first``: choice k of a family is also the base of another one, whose
+    first item comes at ``_first``."""
     claims = children.select(
         "job_id", "_folder", _parent(F.col("_base")).alias("_p"), "_ext", _slot(F.col("_base")).alias("_k"), "_first"
     ).withColumnRenamed("_p", "_base")
+    return claims.join(level.select(*FAMILY).distinct(), FAMILY, "left_semi")
+
+
+def _limits(level, claims, spread) -> DataFrame:
+    """``family, _k, _limit``: how many skipped choices still let the rival win choice k.
+
+    The rival's first item gets it when it comes before the family's own item that reaches
+    k.  With s choices skipped so far that own item is number k + 1 - s, so the choice is
+    lost exactly when s < k + 1 - (own items before the rival).
+    """
     own = level.select(*FAMILY, F.col("seq").alias("_at"), F.lit(None).cast("bigint").alias("_k"), F.lit(1).alias("_own"))
-    other = claims.join(level.select(*FAMILY).distinct(), FAMILY, "left_semi").select(
-        *FAMILY, F.col("_first").alias("_at"), "_k", F.lit(0).alias("_own")
-    )
+    other = claims.select(*FAMILY, F.col("_first").alias("_at"), "_k", F.lit(0).alias("_own"))
     merged = ordered_scan(
-        own.unionByName(other), FAMILY, ["_at", "_own", "_k"], sums={"_before": F.col("_own").cast("bigint")}
+        own.unionByName(other), FAMILY, ["_at", "_own", "_k"], sums={"_before": F.col("_own").cast("bigint")}, spread=spread
     )
     return merged.filter(F.col("_own") == 0).select(*FAMILY, "_k", (F.col("_k") + 1 - F.col("_before")).alias("_limit"))
 
@@ -164,9 +175,6 @@ FOLD_LIMIT = 5_000  # contested choices of one family that may stand in a list
 
 def _skipped(choices: DataFrame) -> DataFrame:
     """``family, _k`` of the choices the family's items pass over, walked in rising order."""
-    choices = freeze(choices)  # only contested names; read twice
-    if any_group_over(choices, FAMILY, min(group_limit(choices), FOLD_LIMIT)):
-        return _skipped_at_scale(choices)
     none = F.array().cast("array<bigint>")
 
     def step(lost: Column, choice: Column) -> Column:
@@ -195,10 +203,10 @@ def _skipped_at_scale(choices: DataFrame) -> DataFrame:
             return state.filter("_lost").select(*FAMILY, "_k")
 
 
-def _shift(ranked: DataFrame, skipped: DataFrame, item: str) -> DataFrame:
+def _shift(ranked: DataFrame, skipped: DataFrame, item: str, spread: bool) -> DataFrame:
     """Item j takes the j-th choice that is not skipped.  Skip number i at choice s moves
     every item from position s - i on by one; a merged running count adds them up."""
-    numbered = row_numbers(skipped, FAMILY, ["_k"], "_i")
+    numbered = row_numbers(skipped, FAMILY, ["_k"], "_i", spread)
     moves = numbered.select(
         *FAMILY, (F.col("_k") - (F.col("_i") - 1)).alias("_at"), F.lit(1).alias("_move"),
         F.col("_k").alias("_tie"), F.lit(None).cast(ranked.schema[item].dataType).alias(item),
@@ -208,6 +216,6 @@ def _shift(ranked: DataFrame, skipped: DataFrame, item: str) -> DataFrame:
     )
     merged = ordered_scan(
         rows.unionByName(moves), FAMILY, ["_at", F.col("_move").desc(), "_tie"],
-        sums={"_shift": F.col("_move").cast("bigint")},
+        sums={"_shift": F.col("_move").cast("bigint")}, spread=spread,
     )
     return merged.filter(F.col("_move") == 0).select(*FAMILY, item, (F.col("_at") + F.col("_shift")).alias("slot"))

@@ -56,13 +56,17 @@ def ordered_scan(
     order: list[Column | str],
     sums: dict[str, Column] | None = None,
     carries: dict[str, Column] | None = None,
+    spread: bool | None = None,
 ) -> DataFrame:
     """Per key, in ``order``: ``sums`` are running totals up to and including the row;
     ``carries`` hold the last non-null value of an expression *before* the row.
-    ``order`` must not leave ties between rows that differ."""
+    ``order`` must not leave ties between rows that differ.  ``spread`` says whether keys
+    are to be split into blocks; by default the sizes of the keys are looked at."""
     sums, carries = sums or {}, carries or {}
     order_cols = _columns(order)
-    if not any_group_over(df, keys):
+    if spread is None:
+        spread = any_group_over(df, keys)
+    if not spread:
         return _windowed(df, keys, order_cols, sums, carries)
     return _blocked(df, keys, order_cols, sums, carries)
 
@@ -115,9 +119,11 @@ def _blocked(df, keys, order, sums, carries) -> DataFrame:
     )
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list[Column | str], name: str) -> DataFrame:
+def row_numbers(
+    df: DataFrame, keys: list[str], order: list[Column | str], name: str, spread: bool | None = None
+) -> DataFrame:
     """One-based position of each row within its key."""
-    return ordered_scan(df, keys, order, sums={name: F.lit(1).cast("bigint")})
+    return ordered_scan(df, keys, order, sums={name: F.lit(1).cast("bigint")}, spread=spread)
 
 
 def islands(df: DataFrame, keys: list[str], order: list[Column | str], value: str, gap: Column, name: str) -> DataFrame:
