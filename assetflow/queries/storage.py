@@ -93,7 +93,7 @@ SELECT run_id, epoch_us(run_ts) AS run_us, trigger_source FROM runs ORDER BY run
 def history_files(spark, sf):
     """Append every run to a store on shared storage and load the newest dozen back."""
     path = scratch_path(spark, "history")
-    history.append(derive(spark, sf, "runs").repartition("run_ts"), path)
+    history.append(derive(spark, sf, "runs"), path)
     return history.load(spark, path).select(
         "run_id", F.unix_micros(F.col("run_ts").cast("timestamp")).alias("run_us"), "trigger_source"
     )

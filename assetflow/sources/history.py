@@ -14,8 +14,8 @@ _CORRUPT = "_corrupt"
 
 
 def append(runs: DataFrame, path: str) -> None:
-    """Add runs as JSON lines under one folder per run day."""
-    runs.withColumn("run_date", F.to_date("run_ts")).write.mode("append").partitionBy("run_date").json(path)
+    """Add runs as JSON lines under one folder per month."""
+    runs.withColumn("run_month", F.date_format("run_ts", "yyyy-MM")).write.mode("append").partitionBy("run_month").json(path)
 
 
 def load(spark: SparkSession, path: str, n: int = 12, schema: T.StructType = HISTORY) -> DataFrame:
