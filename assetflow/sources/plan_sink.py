@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def write_plan(outputs: DataFrame, path: str, overwrite: bool = True) -> None:
     """By job and format.  Overwriting replaces only the partitions in ``outputs``.
 
-    Rows are first spread by job, format and a salt, so a job with most of the rows is
-    written by several tasks, while small jobs do not scatter into many files.
+    Rows are rebalanced by job and format first: small jobs share a task, and the
+    partitions of a job with most of the rows are split by size at run time.
     """
-    salt = F.pmod(F.xxhash64("asset_id", "output_no"), F.lit(4))
-    writer = outputs.withColumn("_salt", salt).repartition("job_id", "output_format", "_salt").drop("_salt").write
-    writer = writer.partitionBy("job_id", "output_format")
+    writer = outputs.hint("rebalance", "job_id", "output_format").write.partitionBy("job_id", "output_format")
     if overwrite:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
