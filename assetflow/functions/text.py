@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetflow.operators.pixels import bind
+
 # White space inside a line.
-BLANK = r"\t\x0B\f \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+BLANK_CHARS = "\t\x0b\f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def normalize_text(col: Column | str) -> Column:
-    """One line ending, no trailing blanks, runs of empty lines reduced to one, trimmed."""
+    """One line ending, no trailing blanks, runs of empty lines reduced to one, trimmed.
+    Lines are cut with plain string functions; only runs of line ends need a pattern."""
     c = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
-    c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, rf"(?<![{BLANK}])[{BLANK}]++(\n|\z)", "$1")
-    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return F.regexp_replace(c, rf"\A[{BLANK}\n]++|(?<![{BLANK}\n])[{BLANK}\n]++\z", "")
+    c = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    lines = F.transform(F.split(c, "\n"), lambda line: F.rtrim(line, F.lit(BLANK_CHARS)))
+    joined = F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n")
+    return F.btrim(joined, F.lit(BLANK_CHARS + "\n"))
 
 
 def map_characters(col: Column, source_chars: str, target_chars: str) -> Column:
@@ -45,7 +48,8 @@ SCRIPTS = {
     "latin": r"A-Za-z\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}",
     "diacritic": r"\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}",
 }
-INVISIBLE = r"[\p{Z}\p{Cc}]+"
+# Unicode separators and control characters, and their share of ASCII.
+INVISIBLE, INVISIBLE_ASCII = r"\p{Z}\p{Cc}", r"\x00-\x20\x7F"
 
 
 def count_of(col: Column, char_class: str) -> Column:
@@ -57,16 +61,32 @@ def count_listed(col: Column, chars: str) -> Column:
     return (F.length(col) - F.length(F.translate(col, chars, ""))).cast("bigint")
 
 
-def script_stats(col: Column | str, traditional_only: str = "", simplified_only: str = "") -> dict[str, Column]:
-    """Counts per script.  ``mixed`` needs the two user-supplied character lists."""
+def script_stats(col: Column | str, traditional_only: str = "", simplified_only: str = "") -> Column:
+    """A struct of the counts per script.  ``mixed`` needs the two user-supplied character lists.
+
+    ASCII is counted in two passes over the text; all other scripts are counted on what is
+    left of it without ASCII, which is computed once.
+    """
     c = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
-    out = {"visible": F.length(F.regexp_replace(c, INVISIBLE, "")).cast("bigint")}
-    out |= {name: count_of(c, ranges) for name, ranges in SCRIPTS.items()}
-    none = F.lit(0).cast("bigint")
-    trad = count_listed(c, traditional_only) if traditional_only else none
-    simp = count_listed(c, simplified_only) if simplified_only else none
-    out["mixed"] = F.least(trad, simp)
-    return out
+
+    def counted(rest: Column) -> Column:
+        ascii_length = F.length(c) - F.length(rest)
+        other = {name: count_of(rest, ranges) for name, ranges in SCRIPTS.items()}
+        visible = ascii_length - count_of(c, INVISIBLE_ASCII) + F.length(rest) - count_of(rest, INVISIBLE)
+        none = F.lit(0).cast("bigint")
+        trad = count_listed(rest, traditional_only) if traditional_only else none
+        simp = count_listed(rest, simplified_only) if simplified_only else none
+        cells = {"visible": visible.cast("bigint")} | other
+        cells |= {"latin": count_of(c, "A-Za-z") + other["diacritic"], "mixed": F.least(trad, simp)}
+        return F.struct(*[v.alias(n) for n, v in cells.items()])
+
+    return bind(F.regexp_replace(c, r"[\x00-\x7F]+", ""), counted)
+
+
+def with_script_stats(texts: DataFrame, col: str = "text", traditional_only: str = "", simplified_only: str = "") -> DataFrame:
+    """The counts as columns.  They come from one struct, so the text is gone through once."""
+    stats = script_stats(col, traditional_only, simplified_only)
+    return texts.withColumn("_s", stats).select(*texts.columns, "_s.*")
 
 
 # Order in which profiles win ties.

@@ -53,42 +53,41 @@ def merge_detections(
     one pass; when a group is too big for a task, the same answer comes from rounds
     of grid aggregates (:func:`_merge_rounds`).
     """
-    rows = detections
-    if positionless_match:
-        # The group's first row decides: without a position it absorbs everything after it;
-        # otherwise every row without one is absorbed by it, and only positions compete.
-        first = rows.groupBy(*keys).agg(
-            F.min_by(F.struct(has_position().alias("p"), *order), F.struct(*order)).alias("_f")
-        )
-        is_first = F.struct(*order).eqNullSafe(F.struct(*[F.col(f"_f.{o}") for o in order]))
-        rows = rows.join(first, keys).filter(F.when(F.col("_f.p"), has_position()).otherwise(is_first))
-        # identical copies of a positionless first row are absorbed too
-        lone = rows.filter(~F.col("_f.p")).drop("_f").dropDuplicates([*keys, *order])
-        rows = rows.filter(F.col("_f.p")).drop("_f")
-        return lone.unionByName(_merge_positions(rows, keys, order, tolerance))
-    return _merge_positions(rows, keys, order, tolerance)
-
-
-def _merge_positions(rows: DataFrame, keys: list[str], order: list[str], tolerance: float) -> DataFrame:
-    if any_group_over(rows, keys, min(group_limit(rows), FOLD_LIMIT)):
-        return _merge_rounds(rows, keys, order, tolerance)
-    # A group is bounded here, so it folds inside the JVM.  Kept centers lie further apart
-    # than the tolerance in the unit square, which bounds the list each row is held against.
+    if not any_group_over(detections, keys, min(group_limit(detections), FOLD_LIMIT)):
+        return _merge_fold(detections, keys, order, tolerance, positionless_match)
+    if not positionless_match:
+        return _merge_rounds(detections, keys, order, tolerance)
+    # The group's first row decides: without a position it absorbs everything after it;
+    # otherwise every row without one is absorbed by it, and only positions compete.
+    first = detections.groupBy(*keys).agg(
+        F.min_by(F.struct(has_position().alias("p"), *order), F.struct(*order)).alias("_f")
+    )
+    joined = detections.join(first, keys)
+    is_first = F.struct(*order).eqNullSafe(F.struct(*[F.col(f"_f.{o}") for o in order]))
+    lone = joined.filter(~F.col("_f.p") & is_first).drop("_f").dropDuplicates([*keys, *order])
+    placed = joined.filter(F.col("_f.p") & has_position()).drop("_f")
+    return lone.unionByName(_merge_rounds(placed, keys, order, tolerance))
+
+
+def _merge_fold(rows: DataFrame, keys: list[str], order: list[str], tolerance: float, positionless_match: bool) -> DataFrame:
+    """Groups of bounded size, inside the JVM.  Kept centers lie further apart than the
+    tolerance in the unit square, which bounds the list each row is held against."""
     rest = [c for c in rows.columns if c not in keys and c not in order]
     entry = F.struct(*order, *rest)
     kept_type = f"array<{rows.select(entry.alias('e')).schema['e'].dataType.simpleString()}>"
+    placed = lambda r: (r["cx"] > POSITION_EPSILON) | (r["cy"] > POSITION_EPSILON)
+
+    def same(k: Column, row: Column) -> Column:
+        near = (F.abs(k["cx"] - row["cx"]) <= tolerance) & (F.abs(k["cy"] - row["cy"]) <= tolerance)
+        return near | ~placed(k) | ~placed(row) if positionless_match else near
 
     def step(kept: Column, row: Column) -> Column:
-        near = F.exists(
-            kept,
-            lambda k: (F.abs(k["cx"] - row["cx"]) <= tolerance) & (F.abs(k["cy"] - row["cy"]) <= tolerance),
-        )
-        return F.when(near, kept).otherwise(F.concat(kept, F.array(row)))
+        return F.when(F.exists(kept, lambda k: same(k, row)), kept).otherwise(F.concat(kept, F.array(row)))
 
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    listed = rows.groupBy(*keys).agg(F.collect_list(entry).cast(kept_type).alias("_all"))
     # the common group of one row needs no walk
-    folded = F.when(F.size("_all") == 1, F.col("_all").cast(kept_type)).otherwise(
-        F.aggregate(F.col("_all").cast(kept_type), F.array().cast(kept_type), step)
+    folded = F.when(F.size("_all") == 1, F.col("_all")).otherwise(
+        F.aggregate(F.array_sort("_all"), F.array().cast(kept_type), step)
     )
     return listed.select(*keys, F.explode(folded).alias("_r")).select(
         *[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in rows.columns]
@@ -156,10 +155,11 @@ def collapse_detections(detections: DataFrame, keys: list[str], order: list[str]
 def reading_order(detections: DataFrame, keys: list[str], ties: list[str], tolerance: float = ROW_TOLERANCE) -> DataFrame:
     """``line`` and ``position``: lines are runs whose vertical steps stay within the
     tolerance; inside a line left to right, then top down."""
+    spread = any_group_over(detections, keys)
     lined = islands(
-        detections, keys, ["cy", "cx", *ties], "cy", F.col("cy") - F.col("_previous") > tolerance, "line"
+        detections, keys, ["cy", "cx", *ties], "cy", F.col("cy") - F.col("_previous") > tolerance, "line", spread
     )
-    return row_numbers(lined, keys, ["line", "cx", "cy", *ties], "position")
+    return row_numbers(lined, keys, ["line", "cx", "cy", *ties], "position", spread)
 
 
 def mean_confidence(recognitions: DataFrame, key: str = "image_id") -> DataFrame:

@@ -126,12 +126,15 @@ def row_numbers(
     return ordered_scan(df, keys, order, sums={name: F.lit(1).cast("bigint")}, spread=spread)
 
 
-def islands(df: DataFrame, keys: list[str], order: list[Column | str], value: str, gap: Column, name: str) -> DataFrame:
+def islands(
+    df: DataFrame, keys: list[str], order: list[Column | str], value: str, gap: Column, name: str, spread: bool | None = None
+) -> DataFrame:
     """Number runs of rows; ``gap`` (over ``_previous``, the value one row back) starts a new run."""
-    seen = ordered_scan(df, keys, order, carries={"_previous": F.struct(F.col(value).alias("v"))})
+    spread = any_group_over(df, keys) if spread is None else spread
+    seen = ordered_scan(df, keys, order, carries={"_previous": F.struct(F.col(value).alias("v"))}, spread=spread)
     seen = seen.withColumn("_previous", F.col("_previous.v"))
     opened = seen.withColumn("_open", F.when(F.col("_previous").isNull() | gap, 1).otherwise(0).cast("bigint"))
-    return ordered_scan(opened, keys, order, sums={name: F.col("_open")}).drop("_open", "_previous")
+    return ordered_scan(opened, keys, order, sums={name: F.col("_open")}, spread=spread).drop("_open", "_previous")
 
 
 def first_per_key(df: DataFrame, keys: list[Column], order: list[Column | str], n: int = 1) -> DataFrame:

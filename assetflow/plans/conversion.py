@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetflow.functions.content import engine_ready, model_eligible  # noqa: F401
+from assetflow.functions.content import model_eligible
 from assetflow.functions.naming import output_base_name, output_folder
 from assetflow.functions.options import is_blank, normalize_options, output_extension
 from assetflow.operators.collisions import resolve_collisions
@@ -18,6 +18,7 @@ from assetflow.operators.lookups import apply_overrides, exclude_failed, input_o
 from assetflow.operators.numbering import batch_index
 from assetflow.plans.expand import expand_outputs, makes_folder, route_conversion
 from assetflow.plans.planning import clamp_selection
+from assetflow.session import freeze
 
 STAGE = T.StructType([
     T.StructField("job_id", T.LongType()),
@@ -57,7 +58,9 @@ def model_stage(
     A row that raises becomes a failure and stops nothing else.  A model that cannot load
     switches to the fallback, a failing GPU run to the CPU, both for the rest of the
     partition.  A second pass feeds the first one's output back.  The rows are streamed
-    through ``mapInPandas``; no partition is held in memory.
+    through ``mapInPandas``; no partition is held in memory.  The outcome is checkpointed
+    before it is split in results and failures, so the model runs once per row however
+    often they are read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,6 +102,7 @@ def model_stage(
 
     eligible = assets.filter(model_eligible())
     ran = eligible.select("job_id", "path", "file_name", "ext", "width", "height").mapInPandas(run, STAGE)
+    ran = freeze(ran)
     return StageResult(
         results=ran.filter(F.col("error").isNull()).select("job_id", "path", "output_path", "model_used", "device_used"),
         failures=ran.filter(F.col("error").isNotNull()).select("job_id", "path", "file_name", F.col("error").alias("reason")),

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.functions import content as C
-from assetflow.functions.display import fixed, format_bytes, grouped
-from assetflow.functions.geometry import page_document_mode  # noqa: F401  (re-exported for callers)
+from assetflow.functions.display import format_bytes, grouped
 
 
 def _yes_no(col: Column) -> Column:
@@ -59,7 +58,3 @@ def detail_text(rows: DataFrame, key: str = "asset_id", unknown: str = "Unknown"
         ).otherwise(e["line"]),
     )
     return listed.select(key, F.array_join(lines, "\n").alias("text"))
-
-
-def percent_text(value: Column) -> Column:
-    return F.concat(fixed(value, 1), F.lit(" %"))

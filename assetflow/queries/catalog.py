@@ -107,7 +107,7 @@ DURATION_SQL = """CASE WHEN ms >= 3600000 THEN (ms // 3600000) || printf(':%02d:
 
 @query(duck("runs", f"""
 SELECT run_id, {SIZE_SQL.format('b')} AS size_text, {SIZE_SQL.format('lo')} || ' - ' || {SIZE_SQL.format('b')} AS range_text, {DURATION_SQL} AS duration_text
-FROM (SELECT run_id, original_bytes * 11 AS b, original_bytes // 300 AS lo, original_bytes * 37 % 9000000 AS ms FROM runs)"""))
+FROM (SELECT run_id, original_bytes * 11 AS b, original_bytes // 300 AS lo, original_bytes * 37 % 9000000 AS ms FROM runs)"""), name="format_bytes")
 def format_texts(spark, sf):
     runs = derive(spark, sf, "runs").select(
         "run_id", (F.col("original_bytes") * 11).alias("b"), F.expr("original_bytes div 300").alias("lo"),

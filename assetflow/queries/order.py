@@ -31,7 +31,7 @@ def frame_delays(spark, sf):
 
 DT_ORDER = ["seq", "tie", "tie2", "tie3", "cx", "cy"]
 MERGE_SQL = "WITH RECURSIVE " + duck("detections", "").removeprefix("WITH ") + """
-, s AS (SELECT *, dense_rank() OVER (ORDER BY image_id, content, format) AS gid, row_number() OVER (PARTITION BY image_id, content, format ORDER BY seq, tie, tie2, tie3, cx, cy) AS i, cx > 0.001 OR cy > 0.001 AS pos FROM detections)
+, s AS (SELECT *, dense_rank() OVER (ORDER BY image_id, content, format ) AS gid, row_number() OVER (PARTITION BY image_id, content, format ORDER BY seq, tie, tie2, tie3, cx, cy) AS i, cx > 0.001 OR cy > 0.001 AS pos FROM detections)
 , walk AS (SELECT DISTINCT gid, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, p BOOLEAN)[]) AS kept, CAST(FALSE AS BOOLEAN) AS fresh FROM s
   UNION ALL
   SELECT gid, i, CASE WHEN dup THEN kept ELSE list_append(kept, {'x': cx, 'y': cy, 'p': pos}) END, NOT dup FROM (
@@ -48,6 +48,20 @@ def merge_detections(spark, sf):
     return merged.select("image_id", "content", "format", "seq", "tie", rounded("cx").alias("cx"), rounded("cy").alias("cy"))
 
 
+QR_SQL = (
+    MERGE_SQL.replace("image_id, content, format ", "image_id, content ").replace("NOT k.p OR NOT s.pos OR ", "").replace("0.12", "0.05")
+)
+
+
+@query(QR_SQL)
+def merge_qr_detections(spark, sf):
+    """Content alone decides here, and a missing position is a position like any other."""
+    merged = DT.merge_detections(
+        derive(spark, sf, "detections"), ["image_id", "content"], DT_ORDER, DT.QR_TOLERANCE, positionless_match=False
+    )
+    return merged.select("image_id", "content", "format", "seq", "tie", rounded("cx").alias("cx"), rounded("cy").alias("cy"))
+
+
 @query(duck("detections", """
 SELECT image_id, content, format, slot, seq, tie, round(cx, 6) AS cx, round(cy, 6) AS cy FROM (SELECT *, min(seq) OVER (PARTITION BY image_id, content, format) AS slot FROM detections)
 QUALIFY row_number() OVER (PARTITION BY image_id, content, format ORDER BY CASE WHEN cx > 0.001 OR cy > 0.001 THEN 0 ELSE 1 END, seq, tie, tie2, tie3, cx, cy) = 1"""))

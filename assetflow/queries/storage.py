@@ -146,7 +146,7 @@ SELECT job_id, output_format, count(*) AS outputs FROM (
     WHEN is_pdf AND output_format <> 'pdf' AND page_count > 1 AND pdf_image_mode = 'all_pages' THEN page_count
     WHEN ext = '.gif' AND frame_count > 1 AND gif_mode = 'all' AND output_format <> 'gif' THEN frame_count ELSE 1 END)) AS i
   FROM aj WHERE NOT (is_encrypted AND NOT is_unlocked))
-GROUP BY ALL"""))
+GROUP BY ALL"""), name="plan_sink")
 def plan_sink_rows(spark, sf):
     """Write the planned outputs by job and format, read them back."""
     routed = lock_skips(route(assets_jobs(spark, sf)))

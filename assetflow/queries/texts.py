@@ -9,17 +9,17 @@ from assetflow.functions import display as D
 from assetflow.functions import text as X
 from assetflow.operators import lookups, sets
 from assetflow.operators.detections import best_recognition as best_of
-from assetflow.plans.estimate import estimate_sizes  # noqa: F401
 from assetflow.plans.outcomes import summarize_batch
 from assetflow.queries.base import query, rounded
 from assetflow.queries.catalog import DURATION_SQL, SIZE_SQL
 
 # A user-supplied character table; here a few pairs, enough to show both directions.
 TRADITIONAL, SIMPLIFIED = "漢國", "汉国"
+BLANK = r"\t\x0B\f \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 @query(duck("texts", rf"""
-SELECT text_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[{X.BLANK}]+(\n|\z)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '\A[{X.BLANK}\n]+|[{X.BLANK}\n]+\z', '', 'g') AS text
+SELECT text_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[{BLANK}]+(\n|\z)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '\A[{BLANK}\n]+|[{BLANK}\n]+\z', '', 'g') AS text
 FROM (SELECT text_id, replace(text, '. ', '.   ' || chr(13) || chr(10) || ' ' || chr(10) || chr(10)) || '  ' AS text FROM texts)"""))
 def normalize_text(spark, sf):
     texts = derive(spark, sf, "texts").withColumn(
@@ -49,8 +49,7 @@ STATS_SQL = (
 
 @query(duck("texts", STATS_SQL + "SELECT * EXCLUDE (confidence) FROM stats"))
 def script_stats(spark, sf):
-    stats = X.script_stats("text", TRADITIONAL, SIMPLIFIED)
-    return derive(spark, sf, "texts").select("text_id", *[c.alias(n) for n, c in stats.items()])
+    return X.with_script_stats(derive(spark, sf, "texts"), "text", TRADITIONAL, SIMPLIFIED).drop("text", "confidence")
 
 
 SCORES_SQL = STATS_SQL + """
@@ -68,8 +67,7 @@ SCORES_SQL = STATS_SQL + """
 
 
 def _scores(spark, sf):
-    stats = X.script_stats("text", TRADITIONAL, SIMPLIFIED)
-    counted = derive(spark, sf, "texts").select("text_id", "confidence", *[c.alias(n) for n, c in stats.items()])
+    counted = X.with_script_stats(derive(spark, sf, "texts"), "text", TRADITIONAL, SIMPLIFIED).drop("text")
     cells = F.array(*[
         F.struct(F.lit(p).alias("profile"), F.lit(n).alias("profile_ord"), s.alias("score"))
         for n, (p, s) in enumerate(X.script_scores().items())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from assetflow.fixtures import derive, duck
@@ -103,3 +105,55 @@ def debounce_stream(spark, sf):
     )
     run.awaitTermination()
     return spark.read.schema("path_key string, first_us bigint, last_us bigint, changes bigint").parquet(f"{out}/rows")
+
+
+@contextmanager
+def _rocksdb(spark):
+    """Keyed state with transformWithState needs the RocksDB store; the setting is put back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, watch.ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _finished(spark, stream, name):
+    out = scratch_path(spark, name)
+    with _rocksdb(spark):
+        run = (
+            stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def _probe_stream(spark, sf):
+    raw = _stream(spark, sf, "events")
+    suffix = (
+        F.when(F.col("event_type") == "view", ".png").when(F.col("event_type") == "click", ".GIF")
+        .when(F.col("event_type") == "error", ".tmp").otherwise(".pdf")
+    )
+    return watch.watched(raw.select(
+        F.concat(F.lit("f"), F.col("user_id").cast("string"), suffix).alias("path"), F.col("ts").cast("timestamp").alias("ts"),
+        (F.floor(F.col("value") / 100) % 3).cast("bigint").alias("length"), F.to_date("ts").cast("timestamp").alias("modified"),
+    ))
+
+
+@query(duck("file_events", EPISODE_SQL + "SELECT path_key, episode, epoch_us(ts) AS ts_us, length FROM st"))
+def stable_stream(spark, sf):
+    """The probes replayed as a stream through keyed state."""
+    ready = _finished(spark, watch.stable_stream(_probe_stream(spark, sf), GAP_MS), "stable")
+    return ready.select("path_key", "episode", F.unix_micros("ts").alias("ts_us"), "length")
+
+
+@query(duck("file_events", EPISODE_SQL + """
+SELECT path_key, epoch_us(ts) AS ts_us, length FROM st QUALIFY NOT coalesce(lag(length) OVER (PARTITION BY path_key ORDER BY ts, event_id) = length AND lag(modified) OVER (PARTITION BY path_key ORDER BY ts, event_id) = modified, FALSE)"""))
+def suppress_stream(spark, sf):
+    """Ready files stored by one stream and signalled by the next."""
+    out = scratch_path(spark, "ready")
+    _finished(spark, watch.stable_stream(_probe_stream(spark, sf), GAP_MS), "stable").write.parquet(out)
+    ready = spark.readStream.schema(watch.STABLE).parquet(out)
+    return _finished(spark, watch.suppress_stream(ready), "signals").select("path_key", F.unix_micros("ts").alias("ts_us"), "length")

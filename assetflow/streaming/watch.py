@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from assetflow.functions.content import extension_of
-from assetflow.operators.ordered import first_per_key, ordered_scan
+from assetflow.operators.ordered import first_per_key, islands, ordered_scan
 from assetflow.schemas import SUPPORTED_INPUTS
 
 # Quiet period after the last change, and probes before giving up.
@@ -68,11 +68,8 @@ def debounce_batch(events: DataFrame, gap_ms: float, tie: str = "event_id") -> D
 
 def episodes(events: DataFrame, gap_ms: float, tie: str = "event_id") -> DataFrame:
     """Numbers the busy periods of each path, oldest first."""
-    keyed = watched(events)
-    seen = ordered_scan(keyed, ["path_key"], ["ts", tie], carries={"_before": F.col("ts")})
-    quiet = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))) / 1000.0
-    opened = seen.withColumn("_open", (F.col("_before").isNull() | (quiet >= gap_ms)).cast("bigint"))
-    return ordered_scan(opened, ["path_key"], ["ts", tie], sums={"episode": F.col("_open")}).drop("_open", "_before")
+    quiet = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_previous").cast("timestamp"))
+    return islands(watched(events), ["path_key"], ["ts", tie], "ts", quiet / 1000.0 >= gap_ms, "episode")
 
 
 def stable_batch(probes: DataFrame, tie: str = "event_id", limit: int = MAX_PROBES) -> DataFrame:
@@ -133,7 +130,9 @@ def _none(value):
 
 
 class StableFiles(StatefulProcessor):
-    """Signals a path once two probes in a row agree; one small state row per path."""
+    """Signals a path once two probes in a row agree; one small state row per path.  The
+    rows of a path within one micro-batch are sorted together; the source's trigger limit
+    (files or offsets per trigger) bounds them."""
 
     def __init__(self, gap_ms: float, limit: int = MAX_PROBES) -> None:
         self.gap = pd.Timedelta(milliseconds=gap_ms)

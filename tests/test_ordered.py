@@ -85,13 +85,17 @@ def test_merge_rounds_equal_the_greedy_walk(spark, positionless):
     assert rows_of(rounds.select("k", "seq", "cx", "cy")) == want
 
 
-def test_detection_without_position_absorbs_the_rest(spark):
+@pytest.mark.parametrize("rows_per_task", ["2000000", "1"])
+def test_detection_without_position_absorbs_the_rest(spark, rows_per_task):
+    spark.conf.set("assetflow.group.rows", rows_per_task)
     df = spark.createDataFrame(
         [(1, 0, 0.0, 0.0), (1, 1, 0.5, 0.5), (2, 0, 0.5, 0.5), (2, 1, 0.0, 0.0), (2, 2, 0.9, 0.9)],
         "k int, seq int, cx double, cy double",
     )
     out = merge_detections(df, ["k"], ["seq"], 0.12)
-    assert rows_of(out.select("k", "seq")) == [(1, 0), (2, 0), (2, 2)]
+    got = rows_of(out.select("k", "seq"))
+    spark.conf.unset("assetflow.group.rows")
+    assert got == [(1, 0), (2, 0), (2, 2)]
 
 
 def test_reading_order(spark):

@@ -139,7 +139,7 @@ def test_urls(spark):
 
 def test_scores_need_text(spark):
     df = spark.createDataFrame([("  \n", 0.9), ("abc", 0.5)], "text string, confidence double")
-    df = df.select("confidence", *[c.alias(n) for n, c in text.script_stats("text").items()])
+    df = text.with_script_stats(df)
     rows = df.select(*[c.alias(n) for n, c in text.script_scores().items()]).collect()
     assert rows[0].english == float("-inf")
     assert abs(rows[1].english - (50 + 0.35 * 3 + 18 + 0.9 - 6)) < 1e-9
