@@ -170,7 +170,7 @@ def _limits(level, claims, spread) -> DataFrame:
     return merged.filter(F.col("_own") == 0).select(*FAMILY, "_k", (F.col("_k") + 1 - F.col("_before")).alias("_limit"))
 
 
-FOLD_LIMIT = 5_000  # contested choices of one family that may stand in a list
+FOLD_LIMIT = 2_000  # contested choices that may stand in one list
 
 
 def _skipped(choices: DataFrame) -> DataFrame:
@@ -186,21 +186,37 @@ def _skipped(choices: DataFrame) -> DataFrame:
 
 
 def _skipped_at_scale(choices: DataFrame) -> DataFrame:
-    """The same by repeated running counts, no family in one task.
-
-    Start from "nothing skipped", count again with the decisions of the last round, stop
-    when a round changes nothing.  The walk's answer is the only such fixed point, and
-    each round settles at least one more choice of every family.
+    """The same without a family in one task: blocks of consecutive choices, walked side by
+    side from a guessed number of earlier losses, until every guess equals what the blocks
+    before really lose.  Block n is right after n rounds at the latest, and the agreed
+    state is the walk's own, because it is the only one that fits from the first block on.
     """
-    state = freeze(choices.withColumn("_lost", F.col("_limit") > 0))
+    at = F.floor((F.col("_i") - 1) / FOLD_LIMIT).cast("bigint")
+    numbered = row_numbers(choices, FAMILY, ["_k"], "_i", spread=True).withColumn("_block", at)
+    blocks = freeze(
+        numbered.groupBy(*FAMILY, "_block").agg(F.array_sort(F.collect_list(F.struct("_k", "_limit"))).alias("_all"))
+    )
+    zero = F.lit(0).cast("bigint")
+    state = blocks.select(*FAMILY, "_block", zero.alias("_in"))
+    lose = lambda s, choice: F.when(s < choice["_limit"], s + 1).otherwise(s)
     while True:
-        counted = ordered_scan(state, FAMILY, ["_k"], sums={"_s": F.col("_lost").cast("bigint")})
-        before = F.col("_s") - F.col("_lost").cast("bigint")
-        step = freeze(counted.withColumn("_next", before < F.col("_limit")))
-        changed = not step.filter(F.col("_next") != F.col("_lost")).isEmpty()
-        state = step.select(*FAMILY, "_k", "_limit", F.col("_next").alias("_lost"))
-        if not changed:
-            return state.filter("_lost").select(*FAMILY, "_k")
+        walked = blocks.join(state, [*FAMILY, "_block"]).select(
+            *FAMILY, "_block", "_in", (F.aggregate("_all", F.col("_in"), lose) - F.col("_in")).alias("_lost")
+        )
+        counted = ordered_scan(walked, FAMILY, ["_block"], sums={"_s": F.col("_lost")})
+        step = freeze(counted.select(*FAMILY, "_block", "_in", (F.col("_s") - F.col("_lost")).alias("_next")))
+        settled = step.filter(F.col("_next") != F.col("_in")).isEmpty()
+        state = step.select(*FAMILY, "_block", F.col("_next").alias("_in"))
+        if settled:
+            break
+    none = F.array().cast("array<bigint>")
+
+    def keep(lost: Column, choice: Column) -> Column:
+        gone = F.col("_in") + F.size(lost) < choice["_limit"]
+        return F.when(gone, F.concat(lost, F.array(choice["_k"]))).otherwise(lost)
+
+    final = blocks.join(state, [*FAMILY, "_block"])
+    return final.select(*FAMILY, F.explode(F.aggregate("_all", none, keep)).alias("_k"))
 
 
 def _shift(ranked: DataFrame, skipped: DataFrame, item: str, spread: bool) -> DataFrame:
