@@ -128,6 +128,11 @@ def model_eligible() -> Column:
     return still & F.lower("ext").isin(ENGINE_EXTENSIONS + NORMALIZABLE_EXTENSIONS)
 
 
+def matting_eligible() -> Column:
+    """The matting stage takes the same inputs: stills of the listed raster extensions."""
+    return model_eligible()
+
+
 def engine_ready() -> Column:
     """Eligible and readable by the engine without conversion first."""
     return model_eligible() & F.lower("ext").isin(ENGINE_EXTENSIONS)

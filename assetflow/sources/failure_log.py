@@ -5,32 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetflow.functions.display import format_duration
 from assetflow.operators.ordered import row_numbers
 
 
-def header_lines() -> list[Column]:
+# Lines about the options a run was made with, shown where the summary carries the column.
+OPTION_LINES = [
+    ("Compression Mode", "compression_mode"),
+    ("Quality", "quality"),
+    ("Resize Mode", "resize_mode"),
+    ("GIF Handling", "gif_mode"),
+]
+
+
+def header_lines(columns: list[str]) -> list[Column]:
     """The opening block of a run's log, from its summary row."""
     yes = F.initcap(F.col("was_canceled").cast("string"))
-    line = lambda label, value: F.concat(F.lit(f"{label}: "), value.cast("string"))
-    return [
-        F.lit("Conversion Error Log"),
-        line("Source", F.initcap("trigger_source")),
-        line("Output Format", F.col("output_format")),
+    line = lambda label, value: F.concat(F.lit(f"{label}: "), F.coalesce(value.cast("string"), F.lit("")))
+    lines = [F.lit("Conversion Error Log")]
+    if "run_ts" in columns:
+        lines.append(line("Timestamp", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss")))
+    lines += [line("Source", F.initcap("trigger_source")), line("Output Format", F.col("output_format"))]
+    lines += [line(label, F.col(name)) for label, name in OPTION_LINES if name in columns]
+    lines += [
         line("Total Files", F.col("total_count")),
         line("Processed Files", F.col("processed_count")),
         line("Succeeded", F.col("success_count")),
         line("Failed", F.col("failure_count")),
         line("Canceled", yes),
-        F.lit(""),
-        F.lit("Selected Files:"),
     ]
+    if "duration_ms" in columns:
+        lines.append(line("Duration", format_duration("duration_ms")))
+    return [*lines, F.lit(""), F.lit("Selected Files:")]
 
 
 def failure_log(summary: DataFrame, inputs: DataFrame, failures: DataFrame, input_order: list, ties: list) -> DataFrame:
     """``run_id, line_no, line``.  Inputs keep their order; failures go by name ignoring case.
     Lines are numbered with :func:`row_numbers`, so a run of any size is never gathered."""
     failing = summary.filter(F.col("failure_count") > 0)
-    head = header_lines()
+    head = header_lines(summary.columns)
     opening = failing.select("run_id", F.posexplode(F.array(*head)).alias("n", "line")).select(
         "run_id", (F.col("n") + 1).cast("bigint").alias("line_no"), "line"
     )

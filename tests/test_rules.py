@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assetflow.functions import content, display, geometry, naming, options, raster, text
 from assetflow.operators import detections, lookups, pixels, sets, tiles
-from assetflow.plans import planning
+from assetflow.plans import details, planning
 from assetflow.plans.outcomes import summarize_batch
 from assetflow.schemas import invalid_options
 
@@ -237,3 +237,14 @@ def test_content_rules(spark):
         {"width": 799, "height": 900},
     )
     assert [r[0] for r in df.select(content.content_kind()).collect()] == ["icon", "icon", "transparent_graphic", "vector", "photo", "unknown"]
+
+
+def test_detail_sheets_take_optional_columns(spark):
+    df = plan(spark, {"ext": ".psd", "file_name": "a.psd"}, {"asset_id": 2}).withColumns(
+        {"layers": F.lit(3), "has_text": F.lit(True), "author": F.lit("Ann")}
+    )
+    rows = {(r.asset_id, r.label): r.value for r in details.detail_rows(df).collect()}
+    assert rows[1, "Layer count"] == "3" and rows[1, "Text layers"] == "Yes" and rows[1, "Author"] is None
+    assert rows[2, "Layer count"] is None and rows[2, "Size"] == "1.0 KB (1,024 B)"
+    text_of = {r.asset_id: r.text for r in details.detail_text(details.detail_rows(df)).collect()}
+    assert text_of[1].startswith("[General]\nName: a.psd\n") and "[Layers]\nLayer count: 3" in text_of[1]
