@@ -18,7 +18,7 @@ from assetflow.operators.lookups import apply_overrides, exclude_failed, input_o
 from assetflow.operators.numbering import batch_index
 from assetflow.plans.expand import expand_outputs, makes_folder, route_conversion
 from assetflow.plans.planning import clamp_selection
-from assetflow.session import freeze
+from assetflow.session import freeze, ship_package
 
 STAGE = T.StructType([
     T.StructField("job_id", T.LongType()),
@@ -100,6 +100,7 @@ def model_stage(
                 "device_used": [d[2] for d in done], "error": [d[3] for d in done],
             })
 
+    ship_package(assets.sparkSession)
     eligible = assets.filter(model_eligible())
     ran = eligible.select("job_id", "path", "file_name", "ext", "width", "height").mapInPandas(run, STAGE)
     ran = freeze(ran)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,6 +191,11 @@ class SuppressRepeats(StatefulProcessor):
         pass
 
 
+# The driver-side check of a stateful stream imports nothing shipped with the job, so the
+# small processors above travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def stable_stream(probes: DataFrame, gap_ms: float, limit: int = MAX_PROBES) -> DataFrame:
     """Needs the RocksDB state store; ``probes`` has ``path_key, ts, length, modified``."""
     return probes.groupBy("path_key").transformWithStateInPandas(
@@ -197,6 +204,7 @@ def stable_stream(probes: DataFrame, gap_ms: float, limit: int = MAX_PROBES) ->
 
 
 def suppress_stream(ready: DataFrame) -> DataFrame:
+    """Needs the RocksDB state store; ``ready`` has the columns of ``STABLE``."""
     return ready.groupBy("path_key").transformWithStateInPandas(
         SuppressRepeats(), STABLE, outputMode="Append", timeMode="None"
     )
