@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from assetflow.llm import chat_format, license_scan, source_mix, token_counts, url_filter  # noqa: F401
+from assetflow.llm import chat_format, license_scan, quality, source_mix, token_counts, url_filter  # noqa: F401
 from assetflow.llm.base import LLM_QUERIES
 
 __all__ = ["LLM_QUERIES"]
