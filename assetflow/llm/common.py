@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,7 +114,7 @@ class Words:
 
 def chunks(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``CHUNK_BYTES`` of text each, or one longer text."""
-    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(size)
     at = 0
     while at < len(ends):
