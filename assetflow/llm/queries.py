@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from assetflow.llm import chat_format, decontaminate, embedding_dedup, license_scan, ngram_join, quality, source_mix, token_counts, url_filter  # noqa: F401
+from assetflow.llm import chat_format, decontaminate, embedding_dedup, license_scan, line_dedup, ngram_join, quality, source_mix, token_counts, url_filter  # noqa: F401
 from assetflow.llm.base import LLM_QUERIES
 
 __all__ = ["LLM_QUERIES"]
