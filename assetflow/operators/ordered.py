@@ -18,7 +18,6 @@ from assetflow.session import freeze
 
 GROUP_LIMIT_CONF = "assetflow.group.rows"
 GROUP_LIMIT = 2_000_000
-LEAST_ROW_BYTES = 4  # estimated bytes per allowed row below which an input is taken as small
 
 
 def group_limit(df: DataFrame) -> int:
@@ -26,22 +25,10 @@ def group_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, str(GROUP_LIMIT)))
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Spark's own size estimate of a plan; nothing runs."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no JVM handle (Spark Connect): fall back to counting
-        return None
-
-
 def any_group_over(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
-    """Whether one key holds more than ``limit`` rows.  An input whose whole estimated
-    size is small is not counted at all; otherwise only the keys are read and each map
-    task pre-aggregates them."""
+    """Whether one key holds more than ``limit`` rows.  The rows of every key are counted: only the keys are
+    read, and each map task pre-aggregates them.  No estimate of a size takes part in the answer."""
     limit = group_limit(df) if limit is None else limit
-    size = estimated_bytes(df)
-    if size is not None and size < limit * LEAST_ROW_BYTES:
-        return False
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else df.agg(F.count(F.lit(1)).alias("n"))
     return not counts.filter(F.col("n") > limit).isEmpty()
 
