@@ -26,12 +26,14 @@ def map_characters(col: Column, source_chars: str, target_chars: str) -> Column:
     return F.translate(col, source_chars, target_chars)
 
 
-def map_characters_for(texts: DataFrame, table: DataFrame, language: str, wanted: str, limit: int = 65536) -> DataFrame:
-    """Apply a user-supplied table (``source``, ``target``) to texts of one language.
-    A character table is bounded by the alphabet; a larger one is refused."""
-    pairs = table.select("source", "target").limit(limit + 1).collect()
-    if len(pairs) > limit:
-        raise ValueError(f"character table has more than {limit} rows")
+def map_characters_for(texts: DataFrame, table: DataFrame, language: str, wanted: str) -> DataFrame:
+    """Apply a user-supplied table (``source``, ``target``: one character each) to texts of one language.
+    A source listed twice takes its least target.  What reaches the driver is one row for each
+    distinct source character, at most the number of code points; cells of other lengths are refused."""
+    odd = table.filter("length(source) <> 1 or length(target) <> 1 or source is null or target is null")
+    if not odd.isEmpty():
+        raise ValueError("every cell of a character table holds one character")
+    pairs = table.groupBy("source").agg(F.min("target").alias("target")).orderBy("source").collect()
     left, right = "".join(p.source for p in pairs), "".join(p.target for p in pairs)
     mapped = map_characters(F.col("text"), left, right) if pairs else F.col("text")
     return texts.withColumn("text", F.when(F.col(language) == wanted, mapped).otherwise(F.col("text")))

@@ -46,8 +46,8 @@ def destination(folder: Column, base: Column, slot: Column, ext: Column) -> Colu
 def resolve_collisions(plan: DataFrame, reserved: DataFrame | None = None, item: str = "asset_id") -> DataFrame:
     """Adds ``slot`` (0 keeps the base) and ``destination``.
 
-    ``plan`` has ``job_id, folder, base_name, ext_out, seq, allow_overwrite`` and a
-    unique ``item``; ``ext_out`` is empty for folders, which never overwrite.
+    ``plan`` has ``job_id, folder, base_name, ext_out, seq, allow_overwrite`` and an
+    ``item`` that is unique within its job; ``ext_out`` is empty for folders, which never overwrite.
     ``reserved`` has ``folder, file_name`` of paths that exist already.
     """
     # Frozen: the numbered plan is read once per level and once more for the result.
@@ -79,10 +79,10 @@ def resolve_collisions(plan: DataFrame, reserved: DataFrame | None = None, item:
             "job_id", "_folder", "_ext",
             F.concat("_base", F.lit("("), F.col("slot").cast("string"), F.lit(")")).alias("_base"),
         )
-        chosen = slots.select(item, "slot")
+        chosen = slots.select("job_id", item, "slot")
         solved = chosen if solved is None else solved.unionByName(chosen)
     settled = keyed.filter(~overwrites)
-    settled = settled.join(solved, item) if solved is not None else settled.withColumn("slot", F.lit(0).cast("bigint"))
+    settled = settled.join(solved, ["job_id", item]) if solved is not None else settled.withColumn("slot", F.lit(0).cast("bigint"))
     return (
         settled.unionByName(free)
         .withColumn("destination", destination(F.col("folder"), F.col("base_name"), F.col("slot"), F.col("ext_out")))

@@ -37,14 +37,17 @@ def apply_overrides(assets_jobs: DataFrame, overrides: DataFrame, order: str = "
     return assets_jobs.withColumn("_key", F.lower("path")).join(folded, ["job_id", "_key"], "left").drop("_key")
 
 
-def lock_skips(assets: DataFrame, unlocks: DataFrame | None = None, reason: str = "locked") -> DataFrame:
-    """``locked`` and ``skip_reason``; ``unlocks(path_key, unlocked)`` may lock a document again."""
+def lock_skips(
+    assets: DataFrame, unlocks: DataFrame | None = None, reason: str = "locked", keys: list[str] | None = None
+) -> DataFrame:
+    """``locked`` and ``skip_reason``; ``unlocks(*keys, path_key, unlocked)`` may lock a document again."""
+    keys = keys or []
     needs = F.col("is_encrypted") & ~F.col("is_unlocked")
     if unlocks is None:
         out = assets.withColumn("locked", F.col("is_pdf") & needs)
     else:
-        side = unlocks.groupBy(F.lower("path_key").alias("_key")).agg(F.bool_and("unlocked").alias("_unlocked"))
-        out = assets.withColumn("_key", F.lower("path")).join(side, "_key", "left")
+        side = unlocks.groupBy(*keys, F.lower("path_key").alias("_key")).agg(F.bool_and("unlocked").alias("_unlocked"))
+        out = assets.withColumn("_key", F.lower("path")).join(side, [*keys, "_key"], "left")
         out = out.withColumn("locked", F.col("is_pdf") & (needs | ~F.coalesce("_unlocked", F.lit(True))))
         out = out.drop("_key", "_unlocked")
     return out.withColumn("skip_reason", F.when(F.col("locked"), reason))
@@ -58,12 +61,13 @@ def exclude_failed(assets: DataFrame, failures: DataFrame, keys: list[str] | Non
     return left.join(right, [*keys, "_key"], "left_anti").drop("_key")
 
 
-def input_overrides(assets: DataFrame, produced: DataFrame) -> DataFrame:
-    """``actual_path``: the produced file of an input when there is one, else the input."""
-    side = produced.groupBy(F.lower("path").alias("_key")).agg(F.max("output_path").alias("_out"))
+def input_overrides(assets: DataFrame, produced: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``actual_path``: the file produced for an input (of the same ``keys``) when there is one, else the input."""
+    keys = keys or []
+    side = produced.groupBy(*keys, F.lower("path").alias("_key")).agg(F.max("output_path").alias("_out"))
     return (
         assets.withColumn("_key", F.lower("path"))
-        .join(side, "_key", "left")
+        .join(side, [*keys, "_key"], "left")
         .withColumn("actual_path", F.coalesce(F.when(F.trim("_out") != "", F.col("_out")), F.col("path")))
         .drop("_key", "_out")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -42,67 +42,74 @@ class StageResult:
     eligible: DataFrame
 
 
-ModelFn = Callable[[dict, str, str], str]
+ModelFn = Callable[[pd.DataFrame, str, str], Sequence[str]]
 
 
 def model_stage(
     assets: DataFrame,
     fn: ModelFn,
+    jobs: DataFrame | None = None,
     primary: str = "standard",
     fallback: str | None = "general",
     force_cpu: bool = False,
     passes: int = 1,
 ) -> StageResult:
-    """Run ``fn(row, model, device) -> output path`` over the eligible rows.
-
-    A row that raises becomes a failure and stops nothing else.  A model that cannot load
-    switches to the fallback, a failing GPU run to the CPU, both for the rest of the
-    partition.  A second pass feeds the first one's output back.  The rows are streamed
-    through ``mapInPandas``; no partition is held in memory.  The outcome is checkpointed
-    before it is split in results and failures, so the model runs once per row however
-    often they are read.
+    """Run ``fn(rows, model, device) -> output paths`` over batches of the eligible rows.
+
+    ``jobs`` has ``job_id, model_stage`` and may have ``resolved_model`` (see ``resolve_model``): only inputs of
+    jobs that switched the stage on run, each with its job's model, else with ``primary``.  A batch
+    that raises is tried on the CPU and then row by row: a bad row becomes a failure and stops
+    nothing else.  A model that cannot load switches to the fallback, a failing GPU run to the CPU, both for the
+    rest of the partition.  A second pass feeds the first one's output back.  No partition is held in memory.
+    The outcome is checkpointed before it is split in results and failures, so the model runs
+    once per row however often they are read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = {"model": primary, "device": "cpu" if force_cpu else "gpu"}
+        replaced: dict[str, str] = {}
+        devices = ["cpu"] if force_cpu else ["gpu", "cpu"]
 
-        def attempt(row: dict, device: str) -> str:
-            current, out = dict(row), ""
+        def attempt(rows: pd.DataFrame, model: str, device: str) -> list[str]:
+            out: list[str] = []
             for _ in range(passes):
+                name = replaced.get(model, model)
                 try:
-                    out = fn(current, state["model"], device)
+                    out = list(fn(rows, name, device))
                 except ModelLoadError:
-                    if fallback is None or state["model"] == fallback:
+                    if fallback is None or name == fallback:
                         raise
-                    state["model"] = fallback
-                    out = fn(current, state["model"], device)
-                current["path"] = out
+                    replaced[model] = fallback
+                    out = list(fn(rows, fallback, device))
+                rows = rows.assign(path=out)
             return out
 
-        def one(row: dict) -> tuple:
-            try:
+        def settle(rows: pd.DataFrame, model: str) -> list[tuple]:
+            error = None
+            for device in list(devices):
                 try:
-                    out = attempt(row, state["device"])
-                except Exception:
-                    if state["device"] == "cpu":
-                        raise
-                    out = attempt(row, "cpu")
-                    state["device"] = "cpu"
-                return out, state["model"], state["device"], None
-            except Exception as error:  # noqa: BLE001  a bad input must not stop the batch
-                return None, None, None, str(error)
+                    out = attempt(rows, model, device)
+                    devices[:] = devices[devices.index(device) :]
+                    return [(o, replaced.get(model, model), device, None) for o in out]
+                except Exception as problem:  # noqa: BLE001  a bad input must not stop the batch
+                    error = problem
+            if len(rows) == 1:
+                return [(None, None, None, str(error))]
+            return [settle(rows.iloc[[i]], model)[0] for i in range(len(rows))]
 
         for pdf in batches:
-            done = [one(row) for row in pdf.to_dict("records")]
-            yield pd.DataFrame({
-                "job_id": pdf["job_id"], "path": pdf["path"], "file_name": pdf["file_name"],
-                "output_path": [d[0] for d in done], "model_used": [d[1] for d in done],
-                "device_used": [d[2] for d in done], "error": [d[3] for d in done],
-            })
+            done = pd.DataFrame(index=pdf.index, columns=["output_path", "model_used", "device_used", "error"], dtype=object)
+            for model, rows in pdf.groupby("model", sort=True):
+                done.loc[rows.index] = settle(rows.drop(columns="model"), model)
+            yield pd.concat([pdf[["job_id", "path", "file_name"]], done], axis=1)
 
     ship_package(assets.sparkSession)
     eligible = assets.filter(model_eligible())
-    ran = eligible.select("job_id", "path", "file_name", "ext", "width", "height").mapInPandas(run, STAGE)
+    if jobs is not None:
+        own = F.coalesce("resolved_model", F.lit(primary)) if "resolved_model" in jobs.columns else F.lit(primary)
+        eligible = eligible.drop("model").join(jobs.filter("model_stage").select("job_id", own.alias("model")), "job_id")
+    else:
+        eligible = eligible.withColumn("model", F.lit(primary))
+    ran = eligible.select("job_id", "path", "file_name", "ext", "width", "height", "model").mapInPandas(run, STAGE)
     ran = freeze(ran)
     return StageResult(
         results=ran.filter(F.col("error").isNull()).select("job_id", "path", "output_path", "model_used", "device_used"),
@@ -149,7 +156,7 @@ def run_conversion(
     planned = assets.join(options, "job_id")
     rest = planned
     if stage is not None:
-        rest = input_overrides(exclude_failed(planned, stage.failures, ["job_id"]), stage.results)
+        rest = input_overrides(exclude_failed(planned, stage.failures, ["job_id"]), stage.results, ["job_id"])
     routed = lock_skips(route(rest, overrides))
     placed = plan_destinations(routed, order, reserved)
     outputs = expand_outputs(placed).withColumn(
@@ -164,8 +171,8 @@ def run_conversion(
     totals = planned.groupBy("job_id").agg(F.count(F.lit(1)).alias("total_count"))
     failed = failures.groupBy("job_id").agg(F.count(F.lit(1)).alias("failure_count"))
     summary = (
-        totals.join(failed, "job_id", "left")
-        .na.fill(0, ["failure_count"])
+        jobs.select("job_id").distinct().join(totals, "job_id", "left").join(failed, "job_id", "left")
+        .na.fill(0, ["total_count", "failure_count"])
         .withColumn("processed_count", F.col("total_count"))
         .withColumn("success_count", F.col("total_count") - F.col("failure_count"))
     )

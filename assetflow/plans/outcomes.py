@@ -10,7 +10,8 @@ from assetflow.operators.ordered import ordered_scan
 
 
 def summarize_batch(outcomes: DataFrame, runs: DataFrame, stage_failures: DataFrame | None = None) -> DataFrame:
-    """Counts per run; failures of the model stage count as inputs that were processed."""
+    """Counts for every row of ``runs``, zeros where nothing was processed; failures of the model stage
+    count as inputs that were processed."""
     counts = outcomes.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if("failed").alias("_failed")
     )
@@ -19,7 +20,7 @@ def summarize_batch(outcomes: DataFrame, runs: DataFrame, stage_failures: DataFr
         counts = counts.join(early, "run_id", "full").na.fill(0, ["_n", "_failed", "_early"])
     else:
         counts = counts.withColumn("_early", F.lit(0).cast("bigint"))
-    joined = counts.join(runs, "run_id")
+    joined = runs.join(counts, "run_id", "left").na.fill(0, ["_n", "_failed", "_early"])
     total = F.col("total_count") if "total_count" in runs.columns else F.col("_n") + F.col("_early")
     out = joined.withColumns({
         "processed_count": F.col("_n") + F.col("_early"),

@@ -75,9 +75,15 @@ def rule_aggregates() -> list[Column]:
     ]
 
 
-def build_plan(plan: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One wide row per job."""
-    rows = plan.groupBy(*(keys or ["job_id"])).agg(*rule_aggregates())
+def build_plan(plan: DataFrame, keys: list[str] | None = None, jobs: DataFrame | None = None) -> DataFrame:
+    """One wide row per job; with ``jobs`` also for the jobs that have no inputs."""
+    keys = keys or ["job_id"]
+    rows = plan.groupBy(*keys).agg(*rule_aggregates())
+    if jobs is not None:
+        every = jobs.select(*keys, F.col("model_stage").alias("_model")).dropDuplicates(keys)
+        counts = [c for c, t in rows.dtypes if t == "bigint" and c not in keys]
+        rows = every.join(rows, keys, "left").na.fill(0, counts).na.fill(False, ["high_compression_risk"])
+        rows = rows.withColumn("model_enabled", F.coalesce("model_enabled", "_model")).drop("_model")
     return rows.withColumns({
         "expands_gif_frames": F.col("gif_expansion_inputs") > 0,
         "expands_pdf_pages": F.col("pdf_expansion_inputs") > 0,
@@ -88,21 +94,21 @@ def build_plan(plan: DataFrame, keys: list[str] | None = None) -> DataFrame:
     })
 
 
-def plan_rules(plan: DataFrame) -> DataFrame:
-    return build_plan(plan).select(
+def plan_rules(plan: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    return build_plan(plan, jobs=jobs).select(
         "job_id", "inputs", "model_enabled", "eligible_inputs", "gif_expansion_inputs", "expands_gif_frames",
         "pdf_expansion_inputs", "expands_pdf_pages", "forced_background_inputs",
     )
 
 
-def plan_diagnostics(plan: DataFrame) -> DataFrame:
-    return build_plan(plan).select(
+def plan_diagnostics(plan: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    return build_plan(plan, jobs=jobs).select(
         "job_id", "high_compression_risk", "large_frame_count", "locked_inputs", "scale_disclaimer", "expansion_disclaimer"
     )
 
 
-def count_work_items(plan: DataFrame) -> DataFrame:
-    return build_plan(plan).select("job_id", "work_items", "eligible_inputs", "total_work_items")
+def count_work_items(plan: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    return build_plan(plan, jobs=jobs).select("job_id", "work_items", "eligible_inputs", "total_work_items")
 
 
 def output_directories(plan: DataFrame, key: str = "job_id") -> DataFrame:

@@ -141,11 +141,11 @@ PACKET_FIRST = "coalesce(nullif(trim({x}), ''), nullif(trim({i}), ''), CASE WHEN
 
 @query(duck("pdf_texts", r"""
 , v AS (SELECT asset_id, is_encrypted, instr(sample, '%PDF-') AS va, instr(sample, '/Encrypt') AS ea, sample,
-    regexp_extract(sample, '(?is)pdf:Producer\s*=\s*(?:''(.*?)''|"(.*?)")', 1) AS px, regexp_extract(sample, '/Producer\s*\(([^()\\]*)\)', 1) AS pi,
-    regexp_extract(sample, '(?is)<dc:title>\s*<rdf:Alt>\s*<rdf:li\b[^>]*>(.*?)</rdf:li>', 1) AS tx, regexp_extract(sample, '/Title\s*\(([^()\\]*)\)', 1) AS ti,
-    regexp_matches(sample, '/Title\s*\(([^()\\]*)\)') OR regexp_matches(sample, '(?is)<dc:title>\s*<rdf:Alt>\s*<rdf:li\b[^>]*>(.*?)</rdf:li>') AS tm,
-    regexp_extract(sample, '(?is)<dc:creator>\s*<rdf:Seq>\s*<rdf:li\b[^>]*>(.*?)</rdf:li>', 1) AS ax, regexp_extract(sample, '/Author\s*\(([^()\\]*)\)', 1) AS ai,
-    regexp_matches(sample, '/Author\s*\(([^()\\]*)\)') OR regexp_matches(sample, '(?is)<dc:creator>\s*<rdf:Seq>\s*<rdf:li\b[^>]*>(.*?)</rdf:li>') AS am
+    regexp_extract(sample, '(?i)pdf:Producer\s*=\s*["'']([^"'']*)["'']', 1) AS px, regexp_extract(sample, '/Producer\s*\(([^()\\]*)\)', 1) AS pi,
+    regexp_extract(sample, '(?is)<dc:title[^>]*>.*?<rdf:li[^>]*>([^<]*)<', 1) AS tx, regexp_extract(sample, '/Title\s*\(([^()\\]*)\)', 1) AS ti,
+    regexp_matches(sample, '/Title\s*\(([^()\\]*)\)') OR regexp_matches(sample, '(?i)<dc:title[\s>]') AS tm,
+    regexp_extract(sample, '(?is)<dc:creator[^>]*>.*?<rdf:li[^>]*>([^<]*)<', 1) AS ax, regexp_extract(sample, '/Author\s*\(([^()\\]*)\)', 1) AS ai,
+    regexp_matches(sample, '/Author\s*\(([^()\\]*)\)') OR regexp_matches(sample, '(?i)<dc:creator[\s>]') AS am
   FROM pdf_texts),
 f AS (SELECT *, CASE WHEN is_encrypted AND ea > 0 THEN TRY_CAST(regexp_extract(substr(sample, ea, 512), '/P\s+(-?\d+)', 1) AS BIGINT) END AS flags FROM v)
 SELECT asset_id, CASE WHEN va > 0 THEN nullif(trim(substr(sample, va + 5, 3)), '') END AS version, ea > 0 AS has_encryption_marker,

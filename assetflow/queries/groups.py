@@ -46,23 +46,29 @@ p AS (SELECT job_id, count(*) AS inputs, bool_or(model_stage) AS model_enabled,
     CAST(max(CASE WHEN output_format = 'pdf' AND gif_mode = 'all' AND frame_count > 500 THEN frame_count ELSE 0 END) AS BIGINT) AS large_frame_count,
     count_if(is_encrypted AND NOT is_unlocked) AS locked_inputs, CAST(sum(items) AS BIGINT) AS work_items FROM w GROUP BY job_id)
 """
+# the same for every job, also one without inputs
+EVERY_SQL = PLAN_SQL.replace("p AS (", "p0 AS (") + """
+, p AS (SELECT j.job_id, coalesce(inputs, 0) AS inputs, coalesce(p0.model_enabled, j.model_stage) AS model_enabled, coalesce(eligible_inputs, 0) AS eligible_inputs, coalesce(gif_expansion_inputs, 0) AS gif_expansion_inputs,
+    coalesce(pdf_expansion_inputs, 0) AS pdf_expansion_inputs, coalesce(forced_background_inputs, 0) AS forced_background_inputs, coalesce(high_compression_risk, FALSE) AS high_compression_risk,
+    coalesce(large_frame_count, 0) AS large_frame_count, coalesce(locked_inputs, 0) AS locked_inputs, coalesce(work_items, 0) AS work_items FROM jobs j LEFT JOIN p0 ON j.job_id = p0.job_id)
+"""
 
 
-@query(duck("assets jobs aj", PLAN_SQL + """
+@query(duck("assets jobs aj", EVERY_SQL + """
 SELECT job_id, inputs, model_enabled, eligible_inputs, gif_expansion_inputs, gif_expansion_inputs > 0 AS expands_gif_frames, pdf_expansion_inputs, pdf_expansion_inputs > 0 AS expands_pdf_pages, forced_background_inputs FROM p"""))
 def plan_rules(spark, sf):
-    return planning.plan_rules(assets_jobs(spark, sf))
+    return planning.plan_rules(assets_jobs(spark, sf), derive(spark, sf, "jobs"))
 
 
-@query(duck("assets jobs aj", PLAN_SQL + """
+@query(duck("assets jobs aj", EVERY_SQL + """
 SELECT job_id, high_compression_risk, large_frame_count, locked_inputs, model_enabled AND eligible_inputs > 0 AS scale_disclaimer, gif_expansion_inputs > 0 OR pdf_expansion_inputs > 0 AS expansion_disclaimer FROM p"""))
 def plan_diagnostics(spark, sf):
-    return planning.plan_diagnostics(assets_jobs(spark, sf))
+    return planning.plan_diagnostics(assets_jobs(spark, sf), derive(spark, sf, "jobs"))
 
 
-@query(duck("assets jobs aj", PLAN_SQL + "SELECT job_id, work_items, eligible_inputs, work_items + eligible_inputs AS total_work_items FROM p"))
+@query(duck("assets jobs aj", EVERY_SQL + "SELECT job_id, work_items, eligible_inputs, work_items + eligible_inputs AS total_work_items FROM p"))
 def count_work_items(spark, sf):
-    return planning.count_work_items(assets_jobs(spark, sf))
+    return planning.count_work_items(assets_jobs(spark, sf), derive(spark, sf, "jobs"))
 
 
 @query(duck("assets jobs aj", PLAN_SQL + """
@@ -123,11 +129,22 @@ def detection_bbox(spark, sf):
     return DT.detection_bbox(points, ["image_id", "detection"]).withColumns({"cx": rounded("cx"), "cy": rounded("cy")})
 
 
-@query(duck("assets", "SELECT asset_id, file_name, width * height AS pixels FROM assets ORDER BY pixels DESC, asset_id"))
-def sort_assets(spark, sf):
-    return outcomes.sort_assets(derive(spark, sf, "assets"), "resolution_desc").select(
-        "asset_id", "file_name", (F.col("width") * F.col("height")).alias("pixels")
-    )
+SORT_KEYS = {"name": "lower(file_name)", "size": "size_bytes", "resolution": "width * height"}
+
+
+def _sorted(mode: str):
+    def run(spark, sf):
+        return outcomes.sort_assets(derive(spark, sf, "assets"), mode).select(
+            "asset_id", "file_name", "size_bytes", (F.col("width") * F.col("height")).alias("pixels")
+        )
+
+    return run
+
+
+for _key, _sql in SORT_KEYS.items():
+    for _way in ("asc", "desc"):
+        _rows = f"SELECT asset_id, file_name, size_bytes, width * height AS pixels FROM assets ORDER BY {_sql} {_way}, asset_id"
+        query(duck("assets", _rows), name=f"sort_assets_{_key}_{_way}")(_sorted(f"{_key}_{_way}"))
 
 
 @query(duck("runs", "SELECT run_id, epoch_us(run_ts) AS run_us, trigger_source FROM runs ORDER BY run_ts DESC, run_id DESC LIMIT 12"))

@@ -21,15 +21,16 @@ def exclude_failed(spark, sf):
 
 
 @query(duck("assets", """
-, p AS (SELECT lower(path) AS k, max(CASE WHEN size_bytes > 2000 THEN '/model/' || lower(file_name) ELSE '  ' END) AS o FROM assets WHERE size_bytes > 1000 GROUP BY 1)
-SELECT asset_id, coalesce(CASE WHEN trim(o) <> '' THEN o END, path) AS actual_path FROM assets LEFT JOIN p ON lower(path) = k"""))
+, p AS (SELECT job_id, lower(path) AS k, max(CASE WHEN size_bytes > 2000 THEN '/model/' || lower(file_name) ELSE '  ' END) AS o FROM assets WHERE size_bytes > 1000 GROUP BY 1, 2)
+SELECT asset_id, coalesce(CASE WHEN trim(o) <> '' THEN o END, path) AS actual_path FROM assets LEFT JOIN p ON lower(path) = k AND assets.job_id = p.job_id"""))
 def input_overrides(spark, sf):
     assets = derive(spark, sf, "assets")
     made = assets.filter(F.col("size_bytes") > 1000).select(
+        "job_id",
         F.upper("path").alias("path"),
         F.when(F.col("size_bytes") > 2000, F.concat(F.lit("/model/"), F.lower("file_name"))).otherwise("  ").alias("output_path"),
     )
-    return L.input_overrides(assets, made).select("asset_id", "actual_path")
+    return L.input_overrides(assets, made, ["job_id"]).select("asset_id", "actual_path")
 
 
 @query(duck("jobs", """
@@ -91,18 +92,18 @@ def merge_path_requests(spark, sf):
     return sets.merge_path_requests(first, second)
 
 
-def _stub_model(row: dict, model: str, device: str) -> str:
+def _stub_model(rows, model: str, device: str) -> list[str]:
     """Stands in for a user's model: small images cannot be read."""
-    if min(row["width"], row["height"]) < 200:
+    if (rows[["width", "height"]].min(axis=1) < 200).any():
         raise ValueError("image too small")
-    return f"/model/{model}/{row['file_name'].lower()}"
+    return [f"/model/{model}/{name.lower()}" for name in rows["file_name"]]
 
 
 @query(duck("assets jobs", """
-, e AS (SELECT *, least(width, height) < 200 AS bad FROM assets WHERE NOT is_pdf AND frame_count <= 1 AND lower(ext) IN ('.jpg','.jpeg','.png','.webp','.bmp','.tif','.tiff','.gif'))
+, e AS (SELECT *, least(width, height) < 200 AS bad FROM assets WHERE job_id IN (SELECT job_id FROM jobs WHERE model_stage) AND NOT is_pdf AND frame_count <= 1 AND lower(ext) IN ('.jpg','.jpeg','.png','.webp','.bmp','.tif','.tiff','.gif'))
 SELECT job_id, path, CASE WHEN NOT bad THEN '/model/standard/' || lower(file_name) END AS output_path, CASE WHEN bad THEN 'image too small' END AS reason FROM e"""))
 def model_stage(spark, sf):
-    stage = conversion.model_stage(derive(spark, sf, "assets"), _stub_model)
+    stage = conversion.model_stage(derive(spark, sf, "assets"), _stub_model, derive(spark, sf, "jobs"))
     done = stage.results.select("job_id", "path", "output_path", F.lit(None).cast("string").alias("reason"))
     return done.unionByName(
         stage.failures.select("job_id", "path", F.lit(None).cast("string").alias("output_path"), "reason")
@@ -110,19 +111,19 @@ def model_stage(spark, sf):
 
 
 @query(duck("assets jobs overrides", NORM + SELECT_SQL + ROUTE_SQL + """
-, bad AS (SELECT DISTINCT job_id, lower(path) AS k FROM assets WHERE NOT is_pdf AND frame_count <= 1 AND lower(ext) IN ('.jpg','.jpeg','.png','.webp','.bmp','.tif','.tiff','.gif') AND least(width, height) < 200),
-early AS (SELECT job_id, count(*) AS n FROM assets WHERE NOT is_pdf AND frame_count <= 1 AND lower(ext) IN ('.jpg','.jpeg','.png','.webp','.bmp','.tif','.tiff','.gif') AND least(width, height) < 200 GROUP BY 1),
+, bad AS (SELECT DISTINCT job_id, lower(path) AS k FROM assets WHERE job_id IN (SELECT job_id FROM jobs WHERE model_stage) AND NOT is_pdf AND frame_count <= 1 AND lower(ext) IN ('.jpg','.jpeg','.png','.webp','.bmp','.tif','.tiff','.gif') AND least(width, height) < 200),
+early AS (SELECT job_id, count(*) AS n FROM assets WHERE job_id IN (SELECT job_id FROM jobs WHERE model_stage) AND NOT is_pdf AND frame_count <= 1 AND lower(ext) IN ('.jpg','.jpeg','.png','.webp','.bmp','.tif','.tiff','.gif') AND least(width, height) < 200 GROUP BY 1),
 rest AS (SELECT * FROM rt WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.job_id = rt.job_id AND bad.k = lower(rt.path))),
 o AS (SELECT job_id, sum(CASE WHEN is_encrypted AND NOT is_unlocked THEN 0 WHEN strategy IN ('pdf_split','pdf_pages') THEN page_count WHEN strategy IN ('gif_pdf_frames','gif_frames') THEN frame_count ELSE 1 END) AS outputs,
     count_if(is_encrypted AND NOT is_unlocked) AS locked FROM rest GROUP BY 1)
-SELECT a.job_id, count(*) AS total_count, coalesce(any_value(early.n), 0) + any_value(o.locked) AS failure_count, count(*) - coalesce(any_value(early.n), 0) - any_value(o.locked) AS success_count, CAST(any_value(o.outputs) AS BIGINT) AS outputs
-FROM assets a LEFT JOIN o ON a.job_id = o.job_id LEFT JOIN early ON early.job_id = a.job_id GROUP BY 1"""))
+SELECT j.job_id, count(a.job_id) AS total_count, coalesce(any_value(early.n), 0) + coalesce(any_value(o.locked), 0) AS failure_count, count(a.job_id) - coalesce(any_value(early.n), 0) - coalesce(any_value(o.locked), 0) AS success_count, CAST(coalesce(any_value(o.outputs), 0) AS BIGINT) AS outputs
+FROM jobs j LEFT JOIN assets a ON a.job_id = j.job_id LEFT JOIN o ON j.job_id = o.job_id LEFT JOIN early ON early.job_id = j.job_id GROUP BY 1"""))
 def conversion_run(spark, sf):
     """Model stage, numbering, routing, naming, expansion and summary of every job at once."""
     assets, jobs = derive(spark, sf, "assets"), derive(spark, sf, "jobs")
-    stage = conversion.model_stage(assets, _stub_model)
+    stage = conversion.model_stage(assets, _stub_model, jobs)
     run = conversion.run_conversion(assets, jobs, ["asset_id"], derive(spark, sf, "overrides"), stage=stage)
     written = run["outputs"].groupBy("job_id").agg(F.count(F.lit(1)).alias("outputs"))
-    return run["summary"].join(written, "job_id", "left").select(
+    return run["summary"].join(written, "job_id", "left").na.fill(0, ["outputs"]).select(
         "job_id", "total_count", "failure_count", "success_count", "outputs"
     )

@@ -240,15 +240,15 @@ def resolve_collisions(spark, sf):
 
 
 @query(duck("work runs", """
-, s AS (SELECT w.run_id, any_value(was_canceled) AS c, count(*) AS n, count_if(failed) AS f, max(w.work_items) AS m FROM work w JOIN runs r ON w.run_id = r.run_id GROUP BY 1)
+, s AS (SELECT r.run_id, any_value(was_canceled) AS c, count(w.run_id) AS n, count_if(coalesce(failed, FALSE)) AS f, coalesce(max(w.work_items), 0) AS m FROM runs r LEFT JOIN work w ON w.run_id = r.run_id GROUP BY 1)
 SELECT run_id, CASE WHEN c THEN 'canceled' WHEN f > 0 THEN 'completed_with_failures' ELSE 'completed' END AS status,
-  round(least(greatest(100.0::DOUBLE * n / m, 0), 100), 6) AS percent, greatest(m - n, 0) AS remaining,
+  CASE WHEN m = 0 THEN 0.0 ELSE round(least(greatest(100.0::DOUBLE * n / m, 0), 100), 6) END AS percent, greatest(m - n, 0) AS remaining,
   CASE WHEN m > 1 AND c THEN least(n, m) ELSE -1 END AS sub_index, CASE WHEN m > 1 AND c THEN m ELSE -1 END AS sub_count FROM s"""), name="run_status")
 def run_status_rows(spark, sf):
     totals = derive(spark, sf, "work").groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failure_count"), F.max("work_items").alias("m")
     )
-    runs = totals.join(derive(spark, sf, "runs"), "run_id")
+    runs = derive(spark, sf, "runs").join(totals, "run_id", "left").na.fill(0, ["n", "failure_count", "m"])
     fmt = F.when(F.col("was_canceled"), "pdf").otherwise("png")
     index, count = sub_item(fmt, F.lit("walk.GIF"), F.col("n"), F.col("m"))
     return runs.select(
@@ -315,9 +315,9 @@ def allowed_formats(spark, sf):
 
 @query(duck("work runs", """
 , s AS (SELECT run_id, count(*) FILTER (l_linestatus = 'F') AS n, count(*) FILTER (l_linestatus = 'F' AND failed) AS f, count(*) FILTER (l_linestatus = 'O') AS early FROM work GROUP BY 1)
-SELECT s.run_id, n + early AS total_count, n + early AS processed_count, n - f AS success_count, f + early AS failure_count,
-  CASE WHEN was_canceled THEN 'canceled' WHEN f + early > 0 THEN 'completed_with_failures' ELSE 'completed' END AS status
-FROM s JOIN runs r ON s.run_id = r.run_id"""), name="summarize_batch")
+SELECT r.run_id, coalesce(n + early, 0) AS total_count, coalesce(n + early, 0) AS processed_count, coalesce(n - f, 0) AS success_count, coalesce(f + early, 0) AS failure_count,
+  CASE WHEN was_canceled THEN 'canceled' WHEN coalesce(f + early, 0) > 0 THEN 'completed_with_failures' ELSE 'completed' END AS status
+FROM runs r LEFT JOIN s ON s.run_id = r.run_id"""), name="summarize_batch")
 def summarize_batches(spark, sf):
     """Outcomes of the conversion stage and failures of the model stage, merged per run."""
     work = derive(spark, sf, "work")

@@ -102,13 +102,13 @@ def history_files(spark, sf):
 LOG_SQL = duck("work runs", """
 , s AS (SELECT w.run_id, count(*) AS n, count_if(failed) AS f, any_value(r.trigger_source) AS src, any_value(r.output_format) AS fmt, any_value(r.was_canceled) AS c, any_value(r.run_ts) AS ts
   FROM work w JOIN runs r ON w.run_id = r.run_id GROUP BY w.run_id HAVING count_if(failed) > 0),
-heads AS (SELECT run_id, unnest(['Conversion Error Log', 'Timestamp: ' || strftime(ts, '%Y-%m-%d %H:%M:%S'), 'Source: ' || upper(src[1]) || src[2:], 'Output Format: ' || fmt, 'Total Files: ' || n,
-   'Processed Files: ' || n, 'Succeeded: ' || (n - f), 'Failed: ' || f, 'Canceled: ' || CASE WHEN c THEN 'True' ELSE 'False' END, '', 'Selected Files:']) AS line,
+heads AS (SELECT run_id, unnest(['Run report', 'at: ' || strftime(ts, '%Y-%m-%d %H:%M:%S'), 'started by: ' || src, 'to: ' || fmt, 'inputs: ' || n,
+   'done: ' || n, 'good: ' || (n - f), 'bad: ' || f, 'stopped early: ' || CASE WHEN c THEN 'true' ELSE 'false' END, '', 'Inputs:']) AS line,
    unnest(range(1, 12)) AS line_no FROM s)
 SELECT run_id, line_no, line FROM heads
 UNION ALL SELECT w.run_id, 11 + row_number() OVER (PARTITION BY w.run_id ORDER BY item_no, file_name, l_suppkey, l_extendedprice, l_discount, l_tax), '- ' || folder || '/' || file_name
   FROM work w JOIN s ON w.run_id = s.run_id
-UNION ALL SELECT run_id, n + 12 + i, CASE i WHEN 0 THEN '' ELSE 'Failures:' END FROM s, (SELECT unnest([0, 1]) AS i)
+UNION ALL SELECT run_id, n + 12 + i, CASE i WHEN 0 THEN '' ELSE 'Not converted:' END FROM s, (SELECT unnest([0, 1]) AS i)
 UNION ALL SELECT w.run_id, 13 + n + row_number() OVER (PARTITION BY w.run_id ORDER BY lower(file_name), file_name, item_no, l_suppkey), '- ' || file_name || ': item ' || item_no || ' failed'
   FROM work w JOIN s ON w.run_id = s.run_id WHERE failed""")
 

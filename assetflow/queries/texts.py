@@ -128,7 +128,7 @@ def locale_coverage(spark, sf):
 
 
 @query(duck("work runs", f"""
-, s AS (SELECT w.run_id, any_value(trigger_source) AS src, any_value(output_format) AS fmt, any_value(was_canceled) AS c, any_value(original_bytes) AS b, count(*) AS n, count_if(failed) AS f FROM work w JOIN runs r ON w.run_id = r.run_id GROUP BY 1)
+, s AS (SELECT r.run_id, any_value(trigger_source) AS src, any_value(output_format) AS fmt, any_value(was_canceled) AS c, any_value(original_bytes) AS b, count(w.run_id) AS n, count_if(coalesce(failed, FALSE)) AS f FROM runs r LEFT JOIN work w ON w.run_id = r.run_id GROUP BY 1)
 SELECT run_id, CASE WHEN src = 'manual' THEN 'Manual' ELSE 'Watch' END || ' · ' || upper(fmt) || CASE WHEN c THEN ' · Processed ' || n || '/' || n || ' before cancellation'
     ELSE ' · Total ' || n || ' · Success ' || (n - f) || ' · Failed ' || f END AS summary_line,
   'Input ' || {SIZE_SQL.format('b')} || ' · Estimate ' || {SIZE_SQL.format('lo')} || ' - ' || {SIZE_SQL.format('hi')} || ' · Duration ' || {DURATION_SQL} AS detail_line

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -43,6 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None and current is not None:
         return current
     if named is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"{CHECKPOINT_CONF} has to name a folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="spark-")
     if current is None:
         spark.sparkContext.setCheckpointDir(named)

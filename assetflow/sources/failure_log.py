@@ -9,47 +9,45 @@ from assetflow.functions.display import format_duration
 from assetflow.operators.ordered import row_numbers
 
 
-# Lines about the options a run was made with, shown where the summary carries the column.
-OPTION_LINES = [
-    ("Compression Mode", "compression_mode"),
-    ("Quality", "quality"),
-    ("Resize Mode", "resize_mode"),
-    ("GIF Handling", "gif_mode"),
-]
+# Wording of the log; callers may pass their own.
+LABELS = {
+    "title": "Run report", "inputs": "Inputs:", "failures": "Not converted:", "run_ts": "at", "trigger_source": "started by",
+    "output_format": "to", "compression_mode": "compression", "quality": "quality", "resize_mode": "resizing", "gif_mode": "animations",
+    "total_count": "inputs", "processed_count": "done", "success_count": "good", "failure_count": "bad", "was_canceled": "stopped early",
+    "duration_ms": "took",
+}
+# Options a run was made with, shown where the summary carries the column.
+OPTIONS = ["compression_mode", "quality", "resize_mode", "gif_mode"]
 
 
-def header_lines(columns: list[str]) -> list[Column]:
+def header_lines(columns: list[str], labels: dict[str, str]) -> list[Column]:
     """The opening block of a run's log, from its summary row."""
-    yes = F.initcap(F.col("was_canceled").cast("string"))
-    line = lambda label, value: F.concat(F.lit(f"{label}: "), F.coalesce(value.cast("string"), F.lit("")))
-    lines = [F.lit("Conversion Error Log")]
+    line = lambda name, value: F.concat(F.lit(f"{labels[name]}: "), F.coalesce(value.cast("string"), F.lit("")))
+    plain = ["trigger_source", "output_format", *[n for n in OPTIONS if n in columns]]
+    counts = ["total_count", "processed_count", "success_count", "failure_count", "was_canceled"]
+    lines = [F.lit(labels["title"])]
     if "run_ts" in columns:
-        lines.append(line("Timestamp", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss")))
-    lines += [line("Source", F.initcap("trigger_source")), line("Output Format", F.col("output_format"))]
-    lines += [line(label, F.col(name)) for label, name in OPTION_LINES if name in columns]
-    lines += [
-        line("Total Files", F.col("total_count")),
-        line("Processed Files", F.col("processed_count")),
-        line("Succeeded", F.col("success_count")),
-        line("Failed", F.col("failure_count")),
-        line("Canceled", yes),
-    ]
+        lines.append(line("run_ts", F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss")))
+    lines += [line(n, F.col(n)) for n in [*plain, *counts]]
     if "duration_ms" in columns:
-        lines.append(line("Duration", format_duration("duration_ms")))
-    return [*lines, F.lit(""), F.lit("Selected Files:")]
+        lines.append(line("duration_ms", format_duration("duration_ms")))
+    return [*lines, F.lit(""), F.lit(labels["inputs"])]
 
 
-def failure_log(summary: DataFrame, inputs: DataFrame, failures: DataFrame, input_order: list, ties: list) -> DataFrame:
+def failure_log(
+    summary: DataFrame, inputs: DataFrame, failures: DataFrame, input_order: list, ties: list, labels: dict[str, str] | None = None
+) -> DataFrame:
     """``run_id, line_no, line``.  Inputs keep their order; failures go by name ignoring case.
     Lines are numbered with :func:`row_numbers`, so a run of any size is never gathered."""
     failing = summary.filter(F.col("failure_count") > 0)
-    head = header_lines(summary.columns)
+    labels = LABELS | (labels or {})
+    head = header_lines(summary.columns, labels)
     opening = failing.select("run_id", F.posexplode(F.array(*head)).alias("n", "line")).select(
         "run_id", (F.col("n") + 1).cast("bigint").alias("line_no"), "line"
     )
     sizes = failing.select("run_id", "total_count")
     closing = sizes.select(
-        "run_id", F.posexplode(F.array(F.lit(""), F.lit("Failures:"))).alias("n", "line"), "total_count"
+        "run_id", F.posexplode(F.array(F.lit(""), F.lit(labels["failures"]))).alias("n", "line"), "total_count"
     ).select("run_id", (F.col("total_count") + len(head) + 1 + F.col("n")).cast("bigint").alias("line_no"), "line")
     listed = row_numbers(inputs.join(sizes, "run_id"), ["run_id"], input_order, "_i").select(
         "run_id", (F.col("_i") + len(head)).alias("line_no"), F.concat(F.lit("- "), "path").alias("line")

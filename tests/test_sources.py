@@ -105,8 +105,8 @@ def test_failure_log(spark, tmp_path, small_groups):
     failures = spark.createDataFrame([(1, "b.png", "broken"), (1, "A.png", "locked")], "run_id long, file_name string, reason string")
     lines = failure_log.failure_log(summary, inputs, failures, ["i"], ["reason"])
     got = [r.line for r in lines.orderBy("run_id", "line_no").collect()]
-    assert got[:2] == ["Conversion Error Log", "Source: Manual"]
-    assert got[9:] == ["Selected Files:", *[f"- /in/{i}.png" for i in range(5)], "", "Failures:", "- A.png: locked", "- b.png: broken"]
+    assert got[:2] == ["Run report", "started by: manual"]
+    assert got[9:] == ["Inputs:", *[f"- /in/{i}.png" for i in range(5)], "", "Not converted:", "- A.png: locked", "- b.png: broken"]
     assert [r.line_no for r in lines.orderBy("line_no").collect()] == list(range(1, len(got) + 1))
     failure_log.write_log(lines, str(tmp_path / "log"))
     stored = [r.value for r in spark.read.text(str(tmp_path / "log" / "run_id=1")).collect()]
@@ -148,14 +148,14 @@ def job(job_id, **changes):
     return Row(**(base | changes))
 
 
-def flaky(row, model, device):
+def flaky(rows, model, device):
     if model == "standard":
         raise conversion.ModelLoadError("no such model")
     if device == "gpu":
         raise RuntimeError("no gpu")
-    if row["width"] < 10:
+    if (rows["width"] < 10).any():
         raise ValueError("too small")
-    return f"/m/{row['file_name']}"
+    return [f"/m/{name}" for name in rows["file_name"]]
 
 
 def test_model_stage_falls_back(spark):
@@ -167,6 +167,15 @@ def test_model_stage_falls_back(spark):
     assert {r.job_id: r.eligible_inputs for r in stage.eligible.collect()} == {1: 3, 2: 1}
 
 
+def test_model_stage_runs_the_jobs_own_model(spark):
+    assets = spark.createDataFrame(ASSETS, ASSET_COLUMNS).coalesce(1)
+    jobs = spark.createDataFrame([(1, True, "fine"), (2, False, "fine")], "job_id long, model_stage boolean, resolved_model string")
+    calls = lambda rows, model, device: [f"{model}:{len(rows)}:{name}" for name in rows["file_name"]]
+    stage = conversion.model_stage(assets, calls, jobs)
+    assert {r.job_id for r in stage.results.collect()} == {1}
+    assert all(r.output_path.startswith("fine:3:") and r.device_used == "gpu" for r in stage.results.collect())
+
+
 def test_run_numbers_the_remainder(spark):
     assets = spark.createDataFrame(ASSETS, ASSET_COLUMNS)
     jobs = spark.createDataFrame([job(1, rename_mode="number"), job(2)])
