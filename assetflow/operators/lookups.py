@@ -24,7 +24,9 @@ def apply_overrides(assets_jobs: DataFrame, overrides: DataFrame, order: str = "
     keyed = overrides.withColumn("_key", F.lower("path_key"))
 
     def last(kind: str, column: str) -> Column:
-        return F.max_by(F.when(F.col("kind") == kind, F.col(column)), F.when(F.col("kind") == kind, F.col(order)))
+        # both ends come from one row, also where rows share the highest order
+        newest = F.max(F.when(F.col("kind") == kind, F.struct(order, "start_index", "end_index")))
+        return newest[column]
 
     folded = keyed.groupBy("job_id", "_key").agg(
         last("page", "start_index").alias("sel_page"),

@@ -125,16 +125,20 @@ def route(plan: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     return clamp_selection(chosen).withColumn("strategy", route_conversion())
 
 
-def plan_destinations(routed: DataFrame, order: list, reserved: DataFrame | None = None, item: str = "asset_id") -> DataFrame:
+def plan_destinations(
+    routed: DataFrame, order: list, reserved: DataFrame | None = None, item: str = "asset_id", alone: bool = False
+) -> DataFrame:
     """Numbering, base names, folders and collision-free destinations of unlocked inputs.
-    A locked document keeps its number but reserves no name."""
-    indexed = batch_index(routed, order)
+    A locked document keeps its number but reserves no name.  With ``alone`` every input is a batch of its own:
+    its number is the first one, and only its name depends on the others."""
+    indexed = batch_index(routed, order).withColumn("seq", F.col("batch_index"))
+    if alone:
+        indexed = indexed.withColumn("batch_index", F.lit(0).cast("bigint"))
     base = output_base_name()
     named = indexed.withColumns({
         "folder": output_folder(),
         "base_name": F.when(makes_folder() & is_blank(base), F.when(F.col("is_pdf"), "PDF").otherwise("GIF")).otherwise(base),
         "ext_out": F.when(makes_folder(), "").otherwise(output_extension()),
-        "seq": F.col("batch_index"),
     })
     return resolve_collisions(named.filter(~F.col("locked")), reserved, item)
 

@@ -137,7 +137,7 @@ def _probe_stream(spark, sf):
         .when(F.col("event_type") == "error", ".tmp").otherwise(".pdf")
     )
     return watch.watched(raw.select(
-        F.concat(F.lit("f"), F.col("user_id").cast("string"), suffix).alias("path"), F.col("ts").cast("timestamp").alias("ts"),
+        "event_id", F.concat(F.lit("f"), F.col("user_id").cast("string"), suffix).alias("path"), F.col("ts").cast("timestamp").alias("ts"),
         (F.floor(F.col("value") / 100) % 3).cast("bigint").alias("length"), F.to_date("ts").cast("timestamp").alias("modified"),
     ))
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetflow.functions.options import normalize_options, watch_rules
@@ -14,10 +16,11 @@ from assetflow.plans.expand import expand_outputs
 
 
 def plan_watched(ready: DataFrame, profiles: DataFrame, reserved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(outputs, failures)`` of ready assets (with ``job_id`` naming their profile)."""
+    """``(outputs, failures)`` of ready assets (with ``job_id`` naming their profile).  Files are converted one by
+    one, so numbers do not depend on which files came together."""
     planned = watch_rules(ready.join(normalize_options(profiles), "job_id"))
     routed = lock_skips(route(planned))
-    outputs = expand_outputs(plan_destinations(routed, ["asset_id"], reserved))
+    outputs = expand_outputs(plan_destinations(routed, ["asset_id"], reserved, alone=True))
     failures = routed.filter("locked").select("job_id", "asset_id", "file_name", F.col("skip_reason").alias("reason"))
     return outputs, failures
 
@@ -34,16 +37,32 @@ def watch_counters(outcomes: DataFrame, profile: str = "profile_id", at: str = "
     )
 
 
-def converter(profiles: DataFrame, root: str) -> Callable[[DataFrame, int], None]:
+def names_given(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
+    """``folder, file_name`` of what the batches before ``batch_id`` planned."""
+    try:
+        earlier = spark.read.parquet(f"{root}/outputs").filter(F.col("batch") < batch_id)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return earlier.select(
+        F.regexp_extract("destination", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("destination", r"([^/]*)$", 1).alias("file_name")
+    ).distinct()
+
+
+def converter(profiles: DataFrame, root: str, existing: Callable[[], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: plans the files of a micro-batch and writes outputs,
     failures and a summary below ``root`` under the batch number.  Writing a batch again
     replaces its folder, so a restarted query repeats nothing; a locked file becomes a
-    failure row and does not stop the stream."""
+    failure row and does not stop the stream.  Names given by earlier batches are taken, and
+    so are those that ``existing()`` lists (``folder, file_name``)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         ready = batch.persist()
         try:
-            outputs, failures = plan_watched(ready, profiles)
+            taken = [names_given(batch.sparkSession, root, batch_id), existing() if existing else None]
+            taken = [t.select("folder", "file_name") for t in taken if t is not None]
+            outputs, failures = plan_watched(ready, profiles, reduce(DataFrame.unionByName, taken) if taken else None)
             summary = (
                 ready.groupBy("job_id").agg(F.count(F.lit(1)).alias("total_count"))
                 .join(failures.groupBy("job_id").agg(F.count(F.lit(1)).alias("failure_count")), "job_id", "left")

@@ -131,6 +131,12 @@ def _none(value):
     return None if pd.isna(value) else value
 
 
+def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The rows of a path by time; where the log numbers its events, that decides between equal times."""
+    batch = pd.concat(list(rows))
+    return batch.sort_values([c for c in ("ts", "event_id") if c in batch.columns], kind="stable")
+
+
 class StableFiles(StatefulProcessor):
     """Signals a path once two probes in a row agree; one small state row per path.  The
     rows of a path within one micro-batch are sorted together; the source's trigger limit
@@ -148,7 +154,7 @@ class StableFiles(StatefulProcessor):
         episode, attempts, length, modified, last, done = held if held else (0, 0, None, None, None, False)
         last = pd.Timestamp(last) if last is not None else None
         out = []
-        batch = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        batch = in_order(rows)
         for ts, size, changed in zip(batch["ts"], batch["length"], batch["modified"], strict=True):
             size, changed = _none(size), _none(changed)
             if last is None or ts - last >= self.gap:
@@ -177,7 +183,7 @@ class SuppressRepeats(StatefulProcessor):
         known = self.state.get()
         known = (known[0], _none(known[1])) if known else None
         out = []
-        batch = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        batch = in_order(rows)
         for row in batch.itertuples(index=False):
             now = (int(row.length), _none(row.modified))
             if known is None or now[0] != known[0] or now[1] != known[1]:

@@ -111,6 +111,22 @@ def test_converter_is_idempotent(spark, tmp_path):
     assert [r.file_name for r in spark.read.parquet(str(tmp_path / "failures")).collect()] == ["b.pdf"]
 
 
+def test_converter_names_do_not_depend_on_batches(spark, tmp_path):
+    assets = spark.createDataFrame(ASSETS, ASSET_COLUMNS).filter("asset_id = 1")
+    for mode, names in (("keep", ["a.png", "a(1).png", "a(2).png"]), ("number", ["01.png", "01(1).png", "01(2).png"])):
+        root = str(tmp_path / mode)
+        held = spark.createDataFrame([("/out", names[0])], "folder string, file_name string")
+        handle = convert.converter(spark.createDataFrame([job(1, rename_mode=mode)]), root, lambda h=held: h.filter("false"))
+        for batch in range(3):
+            handle(assets, batch)
+        handle(assets, 2)  # a repeated batch gets the same name
+        found = spark.read.parquet(f"{root}/outputs").orderBy("batch").collect()
+        assert [r.destination for r in found] == [f"/out/{n}" for n in names]
+    after = str(tmp_path / "existing")
+    convert.converter(spark.createDataFrame([job(1)]), after, lambda: spark.createDataFrame([("/out", "A.png")], "folder string, file_name string"))(assets, 0)
+    assert spark.read.parquet(f"{after}/outputs").first().destination == "/out/a(1).png"
+
+
 def test_counters_stream(spark, tmp_path):
     df = spark.createDataFrame(
         [("p", False, at(1), "a.png"), ("p", True, at(2), "b.png"), ("q", False, at(0), "c.png")],
