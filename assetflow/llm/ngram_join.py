@@ -33,6 +33,7 @@ from assetflow.llm.components import components
 from assetflow.session import table
 
 COUNTERS, COUNTER_BLOCK, PARTS = 1 << 20, 1 << 14, 64
+KEY_BITS = 23  # of the bitmap of keys whose sets are wanted: it only thins out what is read
 
 
 def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -53,6 +54,26 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def key_bitmap(own: DataFrame) -> np.ndarray:
+    """2**KEY_BITS bits that hold the keys of ``own``; at most one number for 64 bits reaches the driver."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _spread(batch.column("key").to_numpy())
+            fields = [pa.array((at >> np.uint64(6)).astype(np.int64)), _signed(np.uint64(1) << (at & np.uint64(63)))]
+            yield pa.RecordBatch.from_arrays(fields, names=["w", "v"])
+
+    got = own.mapInArrow(read, "w bigint, v bigint").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    words = np.zeros(1 << (KEY_BITS - 6), np.int64)
+    words[got.column("w").to_numpy()] = got.column("v").to_numpy()
+    return words.view(np.uint64)
+
+
+def _spread(keys: np.ndarray) -> np.ndarray:
+    """The bit of each key in a bitmap of 2**KEY_BITS."""
+    return mix(keys.astype(np.int64).view(np.uint64)) >> np.uint64(64 - KEY_BITS)
+
+
 @dataclass(frozen=True)
 class Rule:
     """n-grams and threshold, and what tasks do with batches of texts."""
@@ -64,7 +85,7 @@ class Rule:
 
     def measure(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
-        names = ["key", "size", "s1", "s2", "block", "counts"]
+        names = ["key", "size", "s1", "s2", "parts", "block", "counts"]
         seen = False
         for whole in batches:
             for batch in chunks(whole, self.text):
@@ -75,13 +96,25 @@ class Rule:
                     seen = True
                     counts += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
                 fields = [batch.column(KEY), pa.array(size), _signed(total(lambda s: s)), _signed(total(lambda s: mix(s ^ np.uint64(0x5DEECE66D))))]
-                yield pa.RecordBatch.from_arrays([*fields, pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names=names)
+                split = [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS), 127).astype(np.int8) for s in sets]
+                fields += [pa.array(split, pa.list_(pa.int8())), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays(fields, names=names)
         if seen:
             parts = counts.reshape(-1, COUNTER_BLOCK)
             empty = pa.nulls(len(parts), pa.int64())
             task = TaskContext.get().partitionId() // 64
             at = pa.array(np.arange(len(parts)) + task * len(parts))
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, at, pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+            none = pa.nulls(len(parts), pa.list_(pa.int8()))
+            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, none, at, pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+
+    def sets(self, batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The sets of the documents whose key the bitmap ``wanted`` holds."""
+        for whole in batches:
+            at = _spread(whole.column(KEY).to_numpy())
+            own = whole.filter(pa.array(((wanted[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)))
+            for batch in chunks(own, self.text):
+                found = gram_sets(batch.column(self.text), self.n)
+                yield pa.RecordBatch.from_arrays([batch.column(KEY), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "grams"])
 
     def prefixes(self, batches: Iterator[pa.RecordBatch], frequency: np.ndarray) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -110,9 +143,9 @@ class JaccardJoin:
 
     # -------------------------------------------------------------- sizes, equal sets, frequencies
     def measure(self) -> None:
-        schema = "key bigint, size bigint, s1 bigint, s2 bigint, block bigint, counts binary"
+        schema = "key bigint, size bigint, s1 bigint, s2 bigint, parts array<tinyint>, block bigint, counts binary"
         rows = written(python_ready(self.docs).mapInArrow(self.rule.measure, schema), "sets")
-        self.sizes = rows.filter("key is not null").select(F.col("key").alias(KEY), "size", "s1", "s2")
+        self.sizes = rows.filter("key is not null").select(F.col("key").alias(KEY), "size", "s1", "s2", "parts")
         same = self.sizes.filter("size > 0").groupBy("size", "s1", "s2").agg(F.min(KEY).alias("rep"))
         self.reps = written(self.sizes.join(same, ["size", "s1", "s2"]).select(KEY, "size", "rep"), "reps")
 
@@ -131,7 +164,7 @@ class JaccardJoin:
 
     # -------------------------------------------------------------- prefixes and candidates
     def candidates(self) -> None:
-        """Prefix n-grams that documents of different sets share, and the sets of these documents."""
+        """Prefix n-grams that documents of different sets share."""
         rule, frequency = self.rule, self.frequency
         find = lambda batches: rule.prefixes(batches, frequency.value)
         rows = written(self.docs.mapInArrow(find, "gram bigint, key bigint, size int, place int"), "prefixes")
@@ -140,21 +173,8 @@ class JaccardJoin:
         firsts = self.reps.filter(F.col(KEY) == F.col("rep")).select(F.col(KEY).alias("key"))
         some = written(some.join(firsts, "key"), "shared")
         self.shared = some.join(shared(some), "gram")
-        own = self.shared.select(F.col("key").alias(KEY)).distinct()
-        texts = self.docs.join(own.hint("shuffle_hash"), KEY)
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in chunks(whole, rule.text):
-                    found = gram_sets(batch.column(rule.text), rule.n)
-                    parts = [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS), 127).astype(np.int8) for s in found]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(KEY), pa.array([len(s) for s in found], pa.int32()), pa.array(parts, pa.list_(pa.int8())), pa.array([s.tobytes() for s in found], pa.binary())],
-                        names=["key", "size", "parts", "grams"],
-                    )
-
-        self.sets = written(texts.mapInArrow(sets, "key bigint, size int, parts array<tinyint>, grams binary"), "sets")
-        self.shared = self.shared.join(self.sets.select("key", "parts"), "key")
+        split = self.sizes.select(F.col(KEY).alias("key"), "parts")
+        self.shared = self.shared.join(split, "key")
 
     def _overlap(self, a: Column, b: Column) -> Column:
         """The least number of shared n-grams with which two sizes link."""
@@ -184,8 +204,13 @@ class JaccardJoin:
                     keep.append(int((s[at] == t).sum()) * both >= num * (len(s) + len(t)))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        x = self.sets.select(F.col("key").alias("a"), F.col("grams").alias("x"))
-        y = self.sets.select(F.col("key").alias("b"), F.col("grams").alias("y"))
+        pairs = written(pairs, "pairs")
+        own = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
+        rule, wanted = self.rule, pairs.sparkSession.sparkContext.broadcast(key_bitmap(own))
+        sets = self.docs.mapInArrow(lambda batches: rule.sets(batches, wanted.value), "key bigint, grams binary")
+        sets = written(sets.join(own, "key", "left_semi"), "sets")
+        x = sets.select(F.col("key").alias("a"), F.col("grams").alias("x"))
+        y = sets.select(F.col("key").alias("b"), F.col("grams").alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
     def links(self) -> DataFrame:
