@@ -49,21 +49,22 @@ def candidate_keys(host: Column, path: Column, rules: list[str]) -> Column:
     return F.array_distinct(F.array(*keys)) if keys else F.expr("cast(array() as array<string>)")
 
 
-def _hits(words: Column, bits: int, hashes: int, key: Column) -> Column:
+def _hits(words: Column, level: int, bits: int, hashes: int, key: Column) -> Column:
     """Whether all bits of a key are set."""
     found = F.lit(True)
-    for p in _positions(bits, hashes, key):
+    for p in _positions(level, bits, hashes, key):
         found = found & (F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1)
     return found
 
 
-def _positions(bits: int, hashes: int, key: Column) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(i), key), F.lit(bits)) for i in range(hashes)]
+def _positions(level: int, bits: int, hashes: int, key: Column) -> list[Column]:
+    """Every level hashes anew: keys that collide in one level need not in the next."""
+    return [F.pmod(F.xxhash64(F.lit(level), F.lit(i), key), F.lit(bits)) for i in range(hashes)]
 
 
-def _filter_words(keys: DataFrame, bits: int, hashes: int) -> DataFrame:
+def _filter_words(keys: DataFrame, level: int, bits: int, hashes: int) -> DataFrame:
     """One row ``words``: the bits of a Bloom filter of ``keys`` (key) as array<bigint>."""
-    at = keys.select(F.explode(F.array(*_positions(bits, hashes, F.col("key")))).alias("p"))
+    at = keys.select(F.explode(F.array(*_positions(level, bits, hashes, F.col("key")))).alias("p"))
     some = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))).alias("v"))
     every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("v"))
     full = some.unionByName(every).groupBy("w").agg(F.bit_or("v").alias("v"))
@@ -82,7 +83,7 @@ class Cascade:
             bits = -(-math.ceil(1.4427 * n * hashes) // 64) * 64
             if bits > max_bits:
                 raise ValueError(f"{n} listed keys need {bits} bits; max_bits is {max_bits}")
-            words = written(_filter_words(inside, bits, hashes), "bloom")
+            words = written(_filter_words(inside, len(self.levels), bits, hashes), "bloom")
             self.levels.append((words, bits, hashes))
             passed = self._level(outside.select("key"), len(self.levels) - 1)
             if len(self.levels) == 1:  # what is let through is few: take the listed keys themselves out of it
@@ -92,7 +93,7 @@ class Cascade:
 
     def _level(self, keys: DataFrame, k: int) -> DataFrame:
         words, bits, hashes = self.levels[k]
-        return keys.withColumn("_words", words.scalar()).filter(_hits(F.col("_words"), bits, hashes, F.col("key"))).drop("_words")
+        return keys.withColumn("_words", words.scalar()).filter(_hits(F.col("_words"), k, bits, hashes, F.col("key"))).drop("_words")
 
     def columns(self, name: str) -> dict[str, Column]:
         """The filters as columns to add before :meth:`contains` is used."""
@@ -103,7 +104,7 @@ class Cascade:
         verdict = F.lit(len(self.levels) % 2 == 1)
         for k in reversed(range(len(self.levels))):
             _, bits, hashes = self.levels[k]
-            verdict = F.when(_hits(F.col(f"{name}{k}"), bits, hashes, key), verdict).otherwise(F.lit(k % 2 == 1))
+            verdict = F.when(_hits(F.col(f"{name}{k}"), k, bits, hashes, key), verdict).otherwise(F.lit(k % 2 == 1))
         return verdict
 
 
