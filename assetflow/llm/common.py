@@ -24,6 +24,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Tables of one schema that a loop writes one after the other, read back together in one scan."""
+
+    def __init__(self, df: DataFrame, label: str):
+        self.reader, self.base, self.paths = df.sparkSession.read, scratch_path(df.sparkSession, label), []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a step's rows; returns them."""
+        self.paths.append(f"{self.base}/{len(self.paths)}")
+        self.schema = df.schema
+        df.write.parquet(self.paths[-1])
+        return self.reader.schema(self.schema).parquet(self.paths[-1])
+
+    def all(self) -> DataFrame:
+        return self.reader.schema(self.schema).parquet(*self.paths)
+
+
 def python_ready(df: DataFrame) -> DataFrame:
     ship_package(df.sparkSession)
     return df

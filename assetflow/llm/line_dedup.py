@@ -23,7 +23,6 @@ repeats), so of repeated rows the later ones lose their lines; an empty table gi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from hashlib import md5
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetflow.llm.base import llm_query
-from assetflow.llm.common import KEY, chunks, keyed, python_ready, written
+from assetflow.llm.common import KEY, Steps, chunks, keyed, python_ready, written
 from assetflow.session import table
 
 MIN_WORDS = 50
@@ -109,9 +108,11 @@ def _first_ranks(classes: DataFrame) -> DataFrame:
 def suffix_order(classes: DataFrame) -> DataFrame:
     """(suffix, r, rs, ps) of the distinct suffixes: r is the place in the order, from 1; rs and ps are rank and
     following suffix after 1, 2, 4, ... lines, as far as the suffix was not alone."""
-    rounds = [written(_first_ranks(classes), "ranks")]
-    while not (open_ := rounds[-1].filter("n > 1")).isEmpty():
-        every = reduce(DataFrame.unionByName, [r.filter("n = 1") for r in rounds[:-1]] + [rounds[-1]])
+    rounds = Steps(classes, "ranks")
+    last = rounds.add(_first_ranks(classes))
+    while not (open_ := last.filter("n > 1")).isEmpty():
+        # what is settled stays as it is; the rest is as the last round left it
+        every = rounds.all().filter("n = 1").select("suffix", "r", "ptr").unionByName(open_.select("suffix", "r", "ptr"))
         target = every.select(F.col("suffix").alias("ptr"), F.col("r").alias("r2"), F.col("ptr").alias("ptr2"))
         ended = open_.filter("ptr is null").select("*", F.lit(0).cast("bigint").alias("r2"), F.lit(None).cast("binary").alias("ptr2"))
         both = ended.drop("ptr", "n").unionByName(open_.drop("n").join(target, "ptr").drop("ptr"))
@@ -119,20 +120,17 @@ def suffix_order(classes: DataFrame) -> DataFrame:
         blocks = each.groupBy("r", "blk").agg(F.sum("n").alias("n")).select("r", "blk", _sum_before("r", "blk").alias("base"))
         own = each.withColumn("own", _sum_before("r", "blk", "r2")).join(blocks, ["r", "blk"])
         own = own.select("r", "r2", "n", (F.col("r") + F.col("base") + F.col("own")).alias("new"))
-        rounds.append(
-            written(
-                both.join(own, ["r", "r2"]).select(
-                    "suffix",
-                    F.col("ptr2").alias("ptr"),
-                    F.col("new").alias("r"),
-                    "n",
-                    F.concat("rs", F.array("new")).alias("rs"),
-                    F.concat("ps", F.array("ptr2")).alias("ps"),
-                ),
-                "ranks",
+        last = rounds.add(
+            both.join(own, ["r", "r2"]).select(
+                "suffix",
+                F.col("ptr2").alias("ptr"),
+                F.col("new").alias("r"),
+                "n",
+                F.concat("rs", F.array("new")).alias("rs"),
+                F.concat("ps", F.array("ptr2")).alias("ps"),
             )
         )
-    return reduce(DataFrame.unionByName, [r.filter("n = 1") for r in rounds]).select("suffix", "r", "rs", "ps")
+    return rounds.all().filter("n = 1").select("suffix", "r", "rs", "ps")
 
 
 def neighbour_prefixes(order: DataFrame) -> DataFrame:
@@ -140,7 +138,7 @@ def neighbour_prefixes(order: DataFrame) -> DataFrame:
     side = lambda n: order.select(*[F.col(c).alias(f"{c}{n}") for c in ("suffix", "r", "rs", "ps")])
     ready = side(0).join(side(1), F.col("r0") == F.col("r1") + 1).filter(F.get("rs0", F.lit(0)) == F.get("rs1", F.lit(0)))
     ready = ready.select(F.col("r0").alias("r"), F.lit(0).cast("bigint").alias("lcp"), "rs0", "ps0", "rs1", "ps1")
-    done = []
+    steps, pairs = Steps(order, "prefixes"), Steps(order, "pairs")
     while True:
         # equal ranks up to level k: 2**k lines are shared, fewer than twice as many; level 0 alone is one line
         level = F.size(F.filter(F.zip_with("rs0", "rs1", lambda x, y: x == y), lambda e: e)) - 1
@@ -150,16 +148,14 @@ def neighbour_prefixes(order: DataFrame) -> DataFrame:
             F.when(level > 0, F.get("ps0", level)).alias("a"),
             F.when(level > 0, F.get("ps1", level)).alias("b"),
         )
-        step = written(step, "prefixes")
-        more = step.filter("a is not null and b is not null")
-        done.append(step.filter("a is null or b is null").select("r", "lcp"))
+        more = steps.add(step).filter("a is not null and b is not null")
         if more.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+            break
         joined = more.join(side(0), F.col("a") == F.col("suffix0")).join(side(1), F.col("b") == F.col("suffix1"))
         same = F.get("rs0", F.lit(0)) == F.get("rs1", F.lit(0))
-        joined = written(joined.select("r", "lcp", "rs0", "ps0", "rs1", "ps1", same.alias("same")), "pairs")
-        done.append(joined.filter("not same").select("r", "lcp"))
-        ready = joined.filter("same").drop("same")
+        ready = pairs.add(joined.select("r", "lcp", "rs0", "ps0", "rs1", "ps1", same.alias("same"))).filter("same").drop("same")
+    done = steps.all().filter("a is null or b is null").select("r", "lcp")
+    return done.unionByName(pairs.all().filter("not same").select("r", "lcp")) if pairs.paths else done
 
 
 def _nearest_earlier(p: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,14 +202,13 @@ def earlier_runs(first: DataFrame, lcp: DataFrame) -> DataFrame:
     last = rows.agg(F.max("r")).first()[0]
     if last is None:
         return rows.select("r", "run")
-    done, size = [], BLOCK
+    steps, size = Steps(rows, "runs"), BLOCK
     while True:
         found = rows.groupBy(F.floor(F.col("r") / size).alias("b")).applyInPandas(settle, schema)
-        found = written(found, "runs")
-        if size > last:
-            return reduce(DataFrame.unionByName, [*done, found.select("r", "run")])
-        done.append(found.filter("not open").select("r", "run"))
-        rows = found.filter("open")
+        if size > last:  # one block: nothing lies beyond
+            steps.add(found.withColumn("open", F.lit(False)))
+            return steps.all().filter("not open").select("r", "run")
+        rows = steps.add(found).filter("open")
         size *= FAN
 
 
