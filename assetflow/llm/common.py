@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetflow.session import scratch_path, ship_package
@@ -19,16 +19,69 @@ CHUNK_BYTES = 4 << 20  # of text handled at once inside a task; a longer text is
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows as a Parquet table in the cluster's shared folder: lineage is cut, and every
     later read sees the same rows, also after executors are lost."""
-    path = scratch_path(df.sparkSession, label)
+    path = _fresh(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_passing: list[list[str]] = []  # the paths written inside each open call of ``settled``
+
+
+def _fresh(spark: SparkSession, label: str) -> str:
+    path = scratch_path(spark, label)
+    if _passing:
+        _passing[-1].append(path)
+    return path
+
+
+def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make()`` gives, as a written table; the tables it wrote on the way are deleted."""
+    _passing.append([])
+    try:
+        out = make()
+        path = scratch_path(spark, label)
+        out.write.parquet(path)
+    finally:
+        paths = _passing.pop()
+        for p in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(p)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if _passing:
+        _passing[-1].append(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def bitmap(df: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, packed, that hold the values of the long column ``value``: it thins out what is read, whatever
+    the number of values.  At most one number for 64 bits reaches the driver."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _spread(batch.column("value").to_numpy(), bits)
+            value = np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(value)], names=["w", "v"])
+
+    got = python_ready(df.select("value")).mapInArrow(read, "w bigint, v bigint").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.int64)
+    words[got.column("w").to_numpy()] = got.column("v").to_numpy()
+    return words.view(np.uint64)
+
+
+def _spread(values: np.ndarray, bits: int) -> np.ndarray:
+    return mix(values.astype(np.int64, copy=False).view(np.uint64)) >> np.uint64(64 - bits)
+
+
+def in_bitmap(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values the bitmap may hold."""
+    at = _spread(values, int(len(words)).bit_length() + 5)
+    return ((words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 class Steps:
     """Tables of one schema that a loop writes one after the other, read back together in one scan."""
 
     def __init__(self, df: DataFrame, label: str):
-        self.reader, self.base, self.paths = df.sparkSession.read, scratch_path(df.sparkSession, label), []
+        self.reader, self.base, self.paths = df.sparkSession.read, _fresh(df.sparkSession, label), []
 
     def add(self, df: DataFrame) -> DataFrame:
         """Write a step's rows; returns them."""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetflow.llm.base import llm_query
-from assetflow.llm.common import KEY, Steps, chunks, keyed, python_ready, written
+from assetflow.llm.common import KEY, Steps, chunks, keyed, python_ready, settled, written
 from assetflow.session import table
 
 MIN_WORDS = 50
@@ -213,6 +213,11 @@ def earlier_runs(first: DataFrame, lcp: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(_key, mask) of :func:`_masks`, as a written table."""
+    return settled(docs.sparkSession, "masks", lambda: _masks(docs, text, min_words))
+
+
+def _masks(docs: DataFrame, text: str, min_words: int) -> DataFrame:
     """(_key, mask) for the documents that lose lines: mask[i] is false where line i goes; lines beyond the mask stay."""
     lines = written(_lines(docs, text), "lines")
     twice = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
@@ -251,7 +256,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WOR
                     masks.append(mask.tolist())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(masks, pa.list_(pa.bool_()))], names=[KEY, "mask"])
 
-    return written(places.mapInArrow(cut, f"{KEY} bigint, mask array<boolean>"), "masks")
+    return places.mapInArrow(cut, f"{KEY} bigint, mask array<boolean>")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -28,12 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetflow.llm.base import llm_query
-from assetflow.llm.common import KEY, WHITE, Words, chunks, keyed, mix, python_ready, written
+from assetflow.llm.common import KEY, WHITE, Words, bitmap, chunks, in_bitmap, keyed, mix, python_ready, settled, written
 from assetflow.llm.components import components
 from assetflow.session import table
 
-COUNTERS, COUNTER_BLOCK, PARTS = 1 << 20, 1 << 14, 64
-KEY_BITS = 23  # of the bitmap of keys whose sets are wanted: it only thins out what is read
+COUNTERS, COUNTER_BLOCK, PARTS = 1 << 22, 1 << 14, 64
+FAN = 64  # tasks whose counts are added up at once
+KEY_BITS, GRAM_BITS = 23, 26  # of the bitmaps of wanted keys and shared n-grams, which only thin out what is read
 
 
 def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -54,26 +55,6 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def key_bitmap(own: DataFrame) -> np.ndarray:
-    """2**KEY_BITS bits that hold the keys of ``own``; at most one number for 64 bits reaches the driver."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _spread(batch.column("key").to_numpy())
-            fields = [pa.array((at >> np.uint64(6)).astype(np.int64)), _signed(np.uint64(1) << (at & np.uint64(63)))]
-            yield pa.RecordBatch.from_arrays(fields, names=["w", "v"])
-
-    got = own.mapInArrow(read, "w bigint, v bigint").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
-    words = np.zeros(1 << (KEY_BITS - 6), np.int64)
-    words[got.column("w").to_numpy()] = got.column("v").to_numpy()
-    return words.view(np.uint64)
-
-
-def _spread(keys: np.ndarray) -> np.ndarray:
-    """The bit of each key in a bitmap of 2**KEY_BITS."""
-    return mix(keys.astype(np.int64).view(np.uint64)) >> np.uint64(64 - KEY_BITS)
-
-
 @dataclass(frozen=True)
 class Rule:
     """n-grams and threshold, and what tasks do with batches of texts."""
@@ -85,7 +66,7 @@ class Rule:
 
     def measure(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
-        names = ["key", "size", "s1", "s2", "parts", "block", "counts"]
+        names = ["key", "size", "s1", "s2", "parts", "task", "block", "counts"]
         seen = False
         for whole in batches:
             for batch in chunks(whole, self.text):
@@ -94,29 +75,29 @@ class Rule:
                 total = lambda f: np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                 if size.any():
                     seen = True
-                    counts += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                    np.add.at(counts, (np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), 1)
                 fields = [batch.column(KEY), pa.array(size), _signed(total(lambda s: s)), _signed(total(lambda s: mix(s ^ np.uint64(0x5DEECE66D))))]
                 split = [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS), 127).astype(np.int8) for s in sets]
-                fields += [pa.array(split, pa.list_(pa.int8())), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())]
+                none = pa.nulls(len(sets), pa.int64())
+                fields += [pa.array(split, pa.list_(pa.int8())), none, none, pa.nulls(len(sets), pa.binary())]
                 yield pa.RecordBatch.from_arrays(fields, names=names)
         if seen:
             parts = counts.reshape(-1, COUNTER_BLOCK)
-            empty = pa.nulls(len(parts), pa.int64())
-            task = TaskContext.get().partitionId() // 64
-            at = pa.array(np.arange(len(parts)) + task * len(parts))
-            none = pa.nulls(len(parts), pa.list_(pa.int8()))
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, none, at, pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+            empty, none = pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.list_(pa.int8()))
+            task = pa.array(np.full(len(parts), TaskContext.get().partitionId(), np.int64))
+            fields = [empty, empty, empty, empty, none, task, pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(fields, names=names)
 
     def sets(self, batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
         """The sets of the documents whose key the bitmap ``wanted`` holds."""
         for whole in batches:
-            at = _spread(whole.column(KEY).to_numpy())
-            own = whole.filter(pa.array(((wanted[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)))
+            own = whole.filter(pa.array(in_bitmap(wanted, whole.column(KEY).to_numpy())))
             for batch in chunks(own, self.text):
                 found = gram_sets(batch.column(self.text), self.n)
                 yield pa.RecordBatch.from_arrays([batch.column(KEY), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "grams"])
 
-    def prefixes(self, batches: Iterator[pa.RecordBatch], frequency: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def prefixes(self, batches: Iterator[pa.RecordBatch], frequency: np.ndarray, shared: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """The rare n-grams of each set; with ``shared`` only those that the bitmap may hold."""
         for whole in batches:
             for batch in chunks(whole, self.text):
                 keys = batch.column(KEY).to_numpy()
@@ -131,8 +112,11 @@ class Rule:
                     size.append(np.full(take, len(s), np.int32))
                     place.append(np.arange(1, take + 1, dtype=np.int32))
                 if grams:
-                    columns = [_signed(np.concatenate(grams)), *[pa.array(np.concatenate(c)) for c in (owner, size, place)]]
-                    yield pa.RecordBatch.from_arrays(columns, names=["gram", "key", "size", "place"])
+                    columns = [np.concatenate(grams).view(np.int64), *[np.concatenate(c) for c in (owner, size, place)]]
+                    if shared is not None:
+                        keep = in_bitmap(shared, columns[0])
+                        columns = [c[keep] for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "key", "size", "place"])
 
 
 class JaccardJoin:
@@ -143,36 +127,43 @@ class JaccardJoin:
 
     # -------------------------------------------------------------- sizes, equal sets, frequencies
     def measure(self) -> None:
-        schema = "key bigint, size bigint, s1 bigint, s2 bigint, parts array<tinyint>, block bigint, counts binary"
+        schema = "key bigint, size bigint, s1 bigint, s2 bigint, parts array<tinyint>, task bigint, block bigint, counts binary"
         rows = written(python_ready(self.docs).mapInArrow(self.rule.measure, schema), "sets")
         self.sizes = rows.filter("key is not null").select(F.col("key").alias(KEY), "size", "s1", "s2", "parts")
         same = self.sizes.filter("size > 0").groupBy("size", "s1", "s2").agg(F.min(KEY).alias("rep"))
         self.reps = written(self.sizes.join(same, ["size", "s1", "s2"]).select(KEY, "size", "rep"), "reps")
 
-        def add(group: pa.Table) -> pa.Table:  # at most 64 tasks' counts of one block
-            total = np.zeros(COUNTER_BLOCK, np.int64)
+        def add(group: pa.Table) -> pa.Table:
+            total = np.zeros(COUNTER_BLOCK, np.uint64)
             for c in group.column("counts"):
                 total += np.frombuffer(c.as_py(), np.uint32)
-            base = group.column("block")[0].as_py() % (COUNTERS // COUNTER_BLOCK) * COUNTER_BLOCK
-            return pa.table({"counter": np.arange(COUNTER_BLOCK) + base, "n": total})
-
-        sums = rows.filter("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "counter bigint, n bigint")
-        got = sums.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
-        frequency = np.zeros(COUNTERS, np.int64)
-        frequency[got.column("counter").to_numpy()] = got.column("n").to_numpy()
-        self.frequency = self.docs.sparkSession.sparkContext.broadcast(np.minimum(frequency, 2**32 - 1).astype(np.uint32))
+            total = np.minimum(total, 2**32 - 1).astype(np.uint32)
+            return pa.table({"task": group.column("task")[:1], "block": group.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+        sums = rows.filter("block is not null").select("task", "block", "counts")
+        for _ in range(3):  # up to FAN tasks at a time, then what is left
+            sums = sums.withColumn("task", F.floor(F.col("task") / FAN))
+            sums = sums.groupBy("task", "block").applyInArrow(add, "task bigint, block bigint, counts binary")
+        got = sums.groupBy("block").applyInArrow(add, "task bigint, block bigint, counts binary").toArrow()  # COUNTERS numbers
+        frequency = np.zeros(COUNTERS, np.uint32)
+        for block, counts in zip(got.column("block").to_pylist(), got.column("counts").to_pylist()):
+            frequency[block * COUNTER_BLOCK : (block + 1) * COUNTER_BLOCK] = np.frombuffer(counts, np.uint32)
+        self.frequency = self.docs.sparkSession.sparkContext.broadcast(frequency)
 
     # -------------------------------------------------------------- prefixes and candidates
     def candidates(self) -> None:
         """Prefix n-grams that documents of different sets share."""
         rule, frequency = self.rule, self.frequency
-        find = lambda batches: rule.prefixes(batches, frequency.value)
-        rows = written(self.docs.mapInArrow(find, "gram bigint, key bigint, size int, place int"), "prefixes")
-        shared = lambda df: df.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-        some = rows.join(shared(rows).hint("shuffle_hash"), "gram")
+        kinds = "gram bigint, key bigint, size int, place int"
+        every = self.docs.mapInArrow(lambda batches: rule.prefixes(batches, frequency.value), kinds)
+        common = lambda df: df.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+        twice = written(common(every), "grams")
+        marks = self.docs.sparkSession.sparkContext.broadcast(bitmap(twice.withColumnRenamed("gram", "value"), GRAM_BITS))
+        likely = self.docs.mapInArrow(lambda batches: rule.prefixes(batches, frequency.value, marks.value), kinds)
+        some = likely.join(twice, "gram")
         firsts = self.reps.filter(F.col(KEY) == F.col("rep")).select(F.col(KEY).alias("key"))
         some = written(some.join(firsts, "key"), "shared")
-        self.shared = some.join(shared(some), "gram")
+        self.shared = some.join(common(some), "gram")
         split = self.sizes.select(F.col(KEY).alias("key"), "parts")
         self.shared = self.shared.join(split, "key")
 
@@ -206,7 +197,7 @@ class JaccardJoin:
 
         pairs = written(pairs, "pairs")
         own = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
-        rule, wanted = self.rule, pairs.sparkSession.sparkContext.broadcast(key_bitmap(own))
+        rule, wanted = self.rule, pairs.sparkSession.sparkContext.broadcast(bitmap(own.withColumnRenamed("key", "value"), KEY_BITS))
         sets = self.docs.mapInArrow(lambda batches: rule.sets(batches, wanted.value), "key bigint, grams binary")
         sets = written(sets.join(own, "key", "left_semi"), "sets")
         x = sets.select(F.col("key").alias("a"), F.col("grams").alias("x"))
@@ -242,7 +233,7 @@ class JaccardJoin:
 
 def jaccard_components(docs: DataFrame, text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(_key, size, component) for ``docs`` with ``_key``."""
-    return JaccardJoin(docs, Rule(text, n, num, den)).run()
+    return settled(docs.sparkSession, "alike", lambda: JaccardJoin(docs, Rule(text, n, num, den)).run())
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
