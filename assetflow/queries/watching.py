@@ -12,6 +12,7 @@ from assetflow.session import scratch_path
 from assetflow.streaming import convert, watch
 
 GAP_MS = 12 * 3600 * 1000.0
+WAIT_MS = 1000.0  # clock time without events after which a replayed path is fired
 INPUTS = "lower(regexp_extract(path, '(\\.[^./]*)$', 1)) IN ('.png', '.gif', '.pdf')"
 
 EPISODE_SQL = f"""
@@ -78,16 +79,9 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-@query(duck("file_events", f"""
-, ev AS (SELECT lower(path) AS path_key, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY lower(path) ORDER BY ts, event_id))) / 1000.0::DOUBLE AS gap, event_id FROM file_events WHERE {INPUTS}),
-g AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {GAP_MS}::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY path_key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM ev),
-closed AS (SELECT path_key, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS changes FROM g GROUP BY path_key, s)
-SELECT path_key, epoch_us(first_ts) AS first_us, epoch_us(last_ts) AS last_us, changes FROM closed
-WHERE last_ts + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 10 SECOND FROM ev)"""))
-def debounce_stream(spark, sf):
-    """The events table replayed as a stream; sessions still open at the end stay unsaid."""
+def _event_stream(spark, sf):
     raw = _stream(spark, sf, "events")
-    events = raw.select(
+    return raw.select(
         F.col("ts").cast("timestamp").alias("ts"),
         F.concat(
             F.lit("f"), F.col("user_id").cast("string"),
@@ -95,7 +89,17 @@ def debounce_stream(spark, sf):
             .when(F.col("event_type") == "error", ".tmp").otherwise(".pdf"),
         ).alias("path"),
     )
-    quiet = watch.debounce_stream(events, "12 hours", "10 seconds").select(
+
+
+@query(duck("file_events", f"""
+, ev AS (SELECT lower(path) AS path_key, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY lower(path) ORDER BY ts, event_id))) / 1000.0::DOUBLE AS gap, event_id FROM file_events WHERE {INPUTS}),
+g AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {GAP_MS}::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY path_key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM ev),
+closed AS (SELECT path_key, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS changes FROM g GROUP BY path_key, s)
+SELECT path_key, epoch_us(first_ts) AS first_us, epoch_us(last_ts) AS last_us, changes FROM closed
+WHERE last_ts + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 10 SECOND FROM ev)"""))
+def debounce_stream(spark, sf):
+    """The events table replayed as a stream; sessions still open at the end stay unsaid (see debounce_whole)."""
+    quiet = watch.debounce_stream(_event_stream(spark, sf), "12 hours", "10 seconds").select(
         "path_key", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "changes"
     )
     out = scratch_path(spark, "debounce")
@@ -130,6 +134,23 @@ def _finished(spark, stream, name):
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
+@query(duck("file_events", f"""
+, ev AS (SELECT lower(path) AS path_key, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY lower(path) ORDER BY ts, event_id))) / 1000.0::DOUBLE AS gap, event_id FROM file_events WHERE {INPUTS}),
+g AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {GAP_MS}::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY path_key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM ev)
+SELECT path_key, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS changes, FALSE AS late FROM g GROUP BY path_key, s"""))
+def debounce_whole(spark, sf):
+    """Every busy period of the events table replayed as a stream, the last ones too."""
+    busy = watch.debounce_whole_stream(_event_stream(spark, sf), GAP_MS, wait_ms=WAIT_MS)
+    out = scratch_path(spark, "busy")
+    with _rocksdb(spark):
+        watch.run_until_fired(
+            busy.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append"), WAIT_MS
+        )
+    return spark.read.schema(watch.BUSY).parquet(f"{out}/rows").select(
+        "path_key", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "changes", "late"
+    )
+
+
 def _probe_stream(spark, sf):
     raw = _stream(spark, sf, "events")
     suffix = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,7 +49,8 @@ def watch_source(spark: SparkSession, directory: str, recursive: bool = True, fi
 
 def debounce_stream(events: DataFrame, gap: str = "1200 milliseconds", watermark: str = "10 seconds") -> DataFrame:
     """``path_key, first_ts, last_ts, changes`` once a path has been quiet for ``gap``.
-    The watermark bounds the open sessions kept; events later than it are dropped."""
+    The watermark bounds the open sessions kept; events later than it are dropped and the newest
+    session of a path stays unsaid.  :func:`debounce_whole_stream` loses neither."""
     return (
         watched(events)
         .withWatermark("ts", watermark)
@@ -197,11 +199,128 @@ class SuppressRepeats(StatefulProcessor):
         pass
 
 
+BUSY = T.StructType([
+    T.StructField("path_key", T.StringType()),
+    T.StructField("first_ts", T.TimestampType()),
+    T.StructField("last_ts", T.TimestampType()),
+    T.StructField("changes", T.LongType()),
+    T.StructField("late", T.BooleanType()),
+])
+_BUSY_ROWS = "path_key string, first_us long, last_us long, changes long, late boolean"
+_OPEN_STATE = T.StructType([
+    T.StructField("first", T.LongType()),
+    T.StructField("last", T.LongType()),
+    T.StructField("changes", T.LongType()),
+])
+_FIRED_STATE = T.StructType([T.StructField("last", T.LongType())])
+
+
+class BusyPeriods(StatefulProcessor):
+    """Busy periods of a path.  Kept are those that an event up to ``lateness`` behind the path's newest could still
+    reach; a timer fires them once nothing has come for ``wait``.  An event too old to tell from what was fired, or without
+    a time, comes out as a row of its own, marked late.  Times are microseconds; rows are reduced chunk by chunk and never gathered."""
+
+    def __init__(self, gap_ms: float, lateness_ms: float, wait_ms: float) -> None:
+        self.gap, self.lateness, self.wait = int(gap_ms * 1000), int(lateness_ms * 1000), int(wait_ms)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", _OPEN_STATE)
+        self.fired = handle.getValueState("fired", _FIRED_STATE)
+
+    def merged(self, periods: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        out: list[tuple[int, int, int]] = []
+        for first, last, n in sorted(periods):
+            if out and first - out[-1][1] < self.gap:
+                out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
+            else:
+                out.append((first, last, n))
+        return out
+
+    def rows(self, key, periods: list[tuple[int, int, int]], late: bool) -> pd.DataFrame:
+        at = lambda i: pd.Series([p[i] for p in periods], dtype="Int64")
+        return pd.DataFrame({
+            "path_key": pd.Series([key[0]] * len(periods), dtype="object"), "first_us": at(0), "last_us": at(1),
+            "changes": pd.Series([p[2] for p in periods], dtype="int64"), "late": pd.Series([late] * len(periods), dtype="bool"),
+        })
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fired = self.fired.get() if self.fired.exists() else None
+        floor = fired[0] + self.gap if fired else None
+        periods, late = [tuple(p) for p in self.open.get()], []
+        for batch in rows:
+            times = batch["us"].dropna().astype("int64")
+            late += [(None, None, 1)] * (len(batch) - len(times))
+            if floor is not None:
+                late += [(t, t, 1) for t in times[times < floor]]
+                times = times[times >= floor]
+            periods = self.merged(periods + [(t, t, 1) for t in times])
+        horizon = max((p[1] for p in periods), default=0) - self.gap - self.lateness
+        done = [p for p in periods if p[1] <= horizon]
+        if done:
+            self.fired.update((done[-1][1],))
+        if periods:
+            self.open.put(periods[len(done):])
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
+        yield self.rows(key, done, False)
+        yield self.rows(key, late, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        periods = [tuple(p) for p in self.open.get()]
+        if periods:
+            self.fired.update((periods[-1][1],))
+            self.open.clear()
+        yield self.rows(key, periods, False)
+
+    def close(self) -> None:
+        pass
+
+
 # The driver-side check of a stateful stream imports nothing shipped with the job, so the
 # small processors above travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def debounce_whole_stream(
+    events: DataFrame, gap_ms: float = QUIET_SECONDS * 1000, lateness_ms: float = 10_000, wait_ms: float | None = None
+) -> DataFrame:
+    """Every busy period as ``path_key, first_ts, last_ts, changes, late``; ``changes`` add up to the events read.  A path is
+    fired ``wait_ms`` (the gap, if not given) of clock time after its last event came.  Needs the RocksDB state store and a
+    trigger that goes on without data, so that timers can run: not ``availableNow``."""
+    wait = gap_ms if wait_ms is None else wait_ms
+    rows = watched(events).select("path_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    busy = rows.groupBy("path_key").transformWithStateInPandas(
+        BusyPeriods(gap_ms, lateness_ms, wait), _BUSY_ROWS, outputMode="Append", timeMode="ProcessingTime"
+    )
+    at = lambda c: F.timestamp_micros(f"{c}_us").alias(f"{c}_ts")
+    return busy.select("path_key", at("first"), at("last"), "changes", "late")
+
+
+def run_until_fired(writer, wait_ms: float, limit_s: float = 3600) -> None:
+    """Starts ``writer`` and stops it when its input is read and the timers set by the last rows have run."""
+    run = writer.trigger(processingTime="0 seconds").start()
+    began, last, seen = time.time(), None, -1
+    try:
+        while True:
+            run.awaitTermination(0.1)
+            if run.exception() is not None:
+                raise run.exception()
+            for p in run.recentProgress:
+                if p.batchId <= seen:
+                    continue
+                seen, at = p.batchId, pd.Timestamp(p.timestamp).timestamp()
+                if p.numInputRows > 0 or last is None:
+                    last = at + p.batchDuration / 1000
+                elif at >= last + wait_ms / 1000:  # this batch began after every timer's time and has ended
+                    return
+            if time.time() - began > limit_s:
+                raise TimeoutError(f"the stream did not end within {limit_s} s")
+    finally:
+        run.stop()
+
+
 def stable_stream(probes: DataFrame, gap_ms: float, limit: int = MAX_PROBES) -> DataFrame:
     """Needs the RocksDB state store; ``probes`` has ``path_key, ts, length, modified``."""
     return probes.groupBy("path_key").transformWithStateInPandas(

@@ -90,6 +90,27 @@ def test_debounce(spark, tmp_path, small_groups):
     ]
 
 
+def test_debounce_whole_loses_nothing(spark, tmp_path):
+    schema, folder = "event_id long, path string, ts timestamp", str(tmp_path / "events")
+
+    def feed(rows, mode="append"):
+        spark.createDataFrame([(i, p, at(s)) for i, (p, s) in enumerate(rows)], schema).coalesce(1).write.mode(mode).parquet(folder)
+        busy = watch.debounce_whole_stream(spark.readStream.schema(schema).parquet(folder), wait_ms=500)
+        writer = busy.writeStream.format("parquet").option("path", str(tmp_path / "busy")).option("checkpointLocation", str(tmp_path / "state"))
+        watch.run_until_fired(writer.outputMode("append"), 500, 300)
+        found = spark.read.schema(watch.BUSY).parquet(str(tmp_path / "busy")).collect()
+        return sorted((r.path_key, (r.first_ts - START).total_seconds(), (r.last_ts - START).total_seconds(), r.changes, r.late) for r in found)
+
+    first = [("/w/a.png", 13, 13, 1, False), ("/w/a.png", 0, 1.9, 3, False), ("/w/a.png", 10, 11, 2, False), ("/w/b.gif", 0, 0, 1, False), ("/w/z.png", 100, 100, 1, False)]
+    # out of order within a batch; the newest period of every path is fired by its timer
+    got = feed([("/w/a.png", s) for s in (13, 0, 1.9, 11, 10, 1)] + [("/w/b.gif", 0), ("/w/c.tmp", 0), ("/w/z.png", 100)])
+    assert got == sorted(first)
+    # an event behind what was fired is told as late, one after it is a new period
+    assert feed([("/w/a.png", 12), ("/w/a.png", 30), ("/w/z.png", 40)]) == sorted(
+        first + [("/w/a.png", 12, 12, 1, True), ("/w/a.png", 30, 30, 1, False), ("/w/z.png", 40, 40, 1, True)]
+    )
+
+
 def test_watch_source_reads_names_only(spark, tmp_path):
     root = tmp_path / "in"
     (root / "sub").mkdir(parents=True)
