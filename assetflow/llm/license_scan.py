@@ -2,9 +2,12 @@
 
 A text is cut into sentences at line feeds and at ``.``, ``;``, ``!`` or ``?`` before white space; a sentence is normalised
 (lower case, every run of characters other than letters and digits becomes one space).  Known licence sentences have an
-identifier; the others get none.  A licence rule is an ordered list of identifiers: it matches where its identifiers
+identifier; the others get none.  Notices are often wrapped at a line's width or go on after a colon, so a line feed or a colon may also
+lie inside a known sentence, and a known sentence may begin or end at a colon: pieces between such marks that together are a known
+sentence count as that one sentence.  A licence rule is an ordered list of identifiers: it matches where its identifiers
 follow each other in the text's sequence of sentences, with nothing between.  Where rules match at the same place the
-longest wins and the others do not count there.
+longest wins and the others do not count there.  "All rights reserved" stands in the head of open licences too: its rule is listed among the
+matches, but names a text's licence only where no other rule does.
 
 Everything stays within the row: nothing is shuffled, and a hot licence costs what any other sentence costs.  The known
 sentences sit in a constant of hash buckets, so a look-up does not depend on how many there are.
@@ -15,6 +18,8 @@ ids each get their own result; columns that clash with the results are replaced,
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,14 +63,50 @@ RULES = [
     ("BSD", ["bsd-grant"]),
     ("Proprietary", ["all-rights-reserved"]),
 ]
-SENTENCE_END = r"\n|[.;!?](?=\s|$)"
-NOT_WORD = r"[^\p{L}\p{N}]+"
+# Whole sentences of notices as they are printed, where those above hold an opening, and the rules on them.
+NOTICE_SENTENCES = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-notice",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-notice",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3.0-terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-2.0-terms",
+}
+NOTICE_RULES = [
+    ("MIT", ["mit-notice"]),
+    ("BSD", ["bsd-notice"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-3.0-terms"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl-2.0-terms"]),
+    ("Apache-2.0", ["apache-2.0-head"]),
+]
+WEAK = ["Proprietary"]  # names that count only where no other is found
+
+
+def marked(text: Column) -> Column:
+    """A text's words with one space, or one mark, between them and a mark around all: ``|`` for the end of a sentence,
+    a line feed, or a colon before white space.  Every pattern is linear in the text."""
+    out = F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "|", " ")
+    out = F.regexp_replace(out, r"[.;!?](?=\s|$)", "|")
+    out = F.regexp_replace(out, r":(?![\s|]|$)", " ")
+    out = F.concat(F.lit("|"), F.regexp_replace(out, r"[^\p{L}\p{N}|:\n]+", " "), F.lit("|"))
+    for run, mark in ((r"[ :]*:[ :]*", ":"), (r"[ :]?\n[ :\n]*", "\n"), (r"[ :\n]?\|[ :\n|]*", "|")):
+        out = F.regexp_replace(out, run, mark)
+    return out
+
+
+def joined(marks: Column, known: dict[str, str]) -> Column:
+    """``marks`` with each known sentence as one piece between ``|``; the longest are looked for first."""
+    pattern = lambda words: r"[|\n:]" + r"[ \n:]".join(re.escape(w) for w in words)
+    if not known:
+        return marks
+    out = marks
+    for s in sorted(known, key=lambda s: (-len(s), s)):
+        out = F.regexp_replace(out, pattern(s.split(" ")) + r"(?=[|\n:])", re.sub(r"([\\$])", r"\\\1", f"|{s}|"))
+    openings = sorted({pattern(s.split(" ")[:3]) for s in known})
+    return F.when(marks.rlike("|".join(openings)), out).otherwise(marks)
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order, without empty ones."""
-    cut = F.split(F.coalesce(text.cast("string"), F.lit("")), SENTENCE_END, -1)
-    return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), NOT_WORD, " "))), lambda s: s != "")
+def sentences(marks: Column) -> Column:
+    """Normalised sentences of a marked text, in order, without empty ones."""
+    return F.filter(F.transform(F.split(marks, r"[|\n]", -1), lambda s: F.trim(F.translate(s, ":", " "))), lambda s: s != "")
 
 
 def sentence_ids(found: Column, known: dict[str, str], buckets: int = 64) -> Column:
@@ -84,10 +125,13 @@ def scan_licenses(
 ) -> DataFrame:
     """``df`` with n_sentences, known_ids (identifiers in order), matches array<struct<at, size, license>> (``at`` counts
     sentences from 0) and licenses (names, each once, sorted)."""
-    known, rules = SENTENCES if known is None else known, RULES if rules is None else rules
-    names = ("n_sentences", "known_ids", "matches", "licenses", "_ids")
+    known = SENTENCES | NOTICE_SENTENCES if known is None else known
+    rules = RULES + NOTICE_RULES if rules is None else rules
+    names = ("n_sentences", "known_ids", "matches", "licenses", "_ids", "_marks")
     kept = [c for c in df.columns if c.lower() not in names]
-    rows = df.select(*kept, sentence_ids(sentences(F.col(text)), known).alias("_ids"))
+    rows = df.select(*kept, marked(F.col(text)).alias("_marks"))
+    rows = rows.select(*kept, joined(F.col("_marks"), known).alias("_marks"))
+    rows = rows.select(*kept, sentence_ids(sentences(F.col("_marks")), known).alias("_ids"))
     # sequences that differ only in their licence's name count once, for the first name
     ordered = sorted(dict(reversed([(tuple(ids), name) for name, ids in rules])).items(), key=lambda r: -len(r[0]))
 
@@ -104,12 +148,14 @@ def scan_licenses(
     places = F.filter(F.sequence(F.lit(0), F.size("_ids") - 1), lambda i: F.get(F.col("_ids"), i) != "")
     spots = F.when(F.size("_ids") > 0, places).otherwise(F.expr("cast(array() as array<int>)"))
     out = rows.withColumn("matches", F.filter(F.transform(spots, best), lambda m: m.isNotNull()))
+    found = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
+    strong = F.filter(found, lambda x: ~x.isin(WEAK))
     return out.select(
         *kept,
         F.size("_ids").cast("bigint").alias("n_sentences"),
         F.filter("_ids", lambda i: i != "").alias("known_ids"),
         "matches",
-        F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))).alias("licenses"),
+        F.when(F.size(strong) > 0, strong).otherwise(found).alias("licenses"),
     )
 
 

@@ -97,6 +97,59 @@ def test_license_rules(spark):
     assert [(m.at, m.license) for m in ordered.matches] == [(0, "L"), (1, "M")]
 
 
+MIT = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+"""
+GPL3 = """Tool: does things
+Copyright (C) 2020 A. Person
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+GPL2 = GPL3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+APACHE = """Licensed under the Apache License,
+Version 2.0 (the "License"); you may not use this file except in
+compliance with the License.  You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def test_license_notices_as_printed(spark):
+    whole = [(MIT, ["MIT"]), (BSD, ["BSD"]), (GPL3, ["GPL-3.0-or-later"]), (GPL2, ["GPL-2.0-or-later"]), (APACHE, ["Apache-2.0"])]
+    texts = [(t, x) for t, x in whole]
+    # wrapped, in a comment, with Windows' line ends, on one line, and on one line in a comment
+    texts += [("/*\n" + "".join(f" * {line}\n" for line in t.splitlines()) + " */\n", x) for t, x in whole]
+    texts += [(t.replace("\n", "\r\n"), x) for t, x in whole]
+    paragraphs = [("\n".join(" ".join(p.split("\n")) for p in t.split("\n\n")), x) for t, x in whole]
+    texts += paragraphs + [(f"# {t[t.index('Licensed' if t.startswith('Licensed') else 'Permission'):]}", x) for t, x in paragraphs[:1]]
+    texts += [("note: released under the\nMIT License: see below", ["MIT"]), ("All rights reserved.\n|:|\n::: : :\n" + " : " * 30_000, ["Proprietary"])]
+    texts += [("Licensed under the Apache License, Version 2.0\nThe License\n", ["Apache-2.0"]), (GPL3.replace("modify", "sell"), [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "id int, text string")
+    got = scan_licenses(df).orderBy("id").collect()
+    assert [(i, r.licenses) for i, r in enumerate(got)] == [(i, x) for i, (_, x) in enumerate(texts)]
+    assert [m.license for m in got[1].matches] == ["Proprietary", "BSD"]
+
+
 # ---------------------------------------------------------------- tokens
 def test_token_prefixes_equal_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
