@@ -35,6 +35,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 # Code points whose class is the same in all Unicode versions that this module's and the vocabulary library's pattern
 # engines may follow; a text with others is cut by the library.
 SETTLED = regex.compile(r"[\x00-\u0557\u2000-\u206f\u20a0-\u2bff\u3000-\u303f\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fef\uac00-\ud7a3\U0001f300-\U0001faff]*+")
+WHITE_RUN = regex.compile(r"(?<!\s)\s{2,}+(?=\S)")
 SHORT_PIECE, KEPT_PIECES = 48, 400_000
 LIMIT = 512
 
@@ -70,7 +71,7 @@ class PrefixCounter:
                 self.ends.add_word(t.decode("latin-1"), (i, len(t)))
         self.ends.make_automaton()
         self.follows: dict[tuple[int, int], bool] = {}
-        self.kept: dict[str, int] = {}
+        self.kept: dict[str, list[int]] = {}
 
     def encode(self, data: bytes) -> list[int]:
         """Merge by rank; for short strings only."""
@@ -103,15 +104,28 @@ class PrefixCounter:
                 last[end], count[end] = token, count[start] + 1
         return count
 
-    def _last(self, piece: str) -> int:
-        n = self.kept.get(piece)
-        if n is None:
-            n = self.piece_prefixes(piece)[-1]
+    def _ends(self, piece: str) -> list[int]:
+        """Tokens after each character of a piece; short pieces are kept."""
+        ends = self.kept.get(piece)
+        if ends is None:
+            counts = self.piece_prefixes(piece)
+            if piece in ("'re", "'ve", "'ll"):  # "'r" alone is two pieces
+                ends = [self._last("'"), self._last("'") + self._last(piece[1]), counts[-1]]
+            elif piece.isascii():
+                ends = counts[1:]
+            else:
+                ends, at = [], 0
+                for c in piece:
+                    at += len(c.encode())
+                    ends.append(counts[at])
             if len(piece) <= SHORT_PIECE:
                 if len(self.kept) >= KEPT_PIECES:
                     self.kept.clear()
-                self.kept[piece] = n
-        return n
+                self.kept[piece] = ends
+        return ends
+
+    def _last(self, piece: str) -> int:
+        return self._ends(piece)[-1]
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """The text between special strings, and these (True)."""
@@ -127,15 +141,14 @@ class PrefixCounter:
 
     def count(self, text: str) -> int:
         """Tokens of the whole text."""
-        total, kept, last = 0, self.kept, self._last
+        total = 0
         special = any(s in text for s in self.special)
         for part, whole in self.parts(text) if special else ((text, False),):
             if whole:
                 total += 1
                 continue
             for piece in self.pieces.findall(part) if part.isascii() or SETTLED.fullmatch(part) else self.library_pieces(part):
-                n = kept.get(piece)
-                total += last(piece) if n is None else n
+                total += self._last(piece)
         return total
 
     def prefixes(self, text: str) -> list[int]:
@@ -154,24 +167,18 @@ class PrefixCounter:
         return out
 
     def _ordinary_prefixes(self, text: str) -> list[int]:
-        out, base = [0], 0
-        for piece in self.pieces.findall(text) if SETTLED.fullmatch(text) else self.library_pieces(text):
-            if piece in ("'re", "'ve", "'ll"):  # "'r" alone is two pieces
-                counts = [0, self._last("'"), self._last("'") + self._last(piece[1]), self._last(piece)]
-            else:
-                counts = self.piece_prefixes(piece)
-            at = 0
-            for c in piece:
-                at += len(c.encode())
-                out.append(base + counts[at])
-            base += counts[-1]
+        out, base, kept = [0], 0, self.kept
+        for piece in self.pieces.findall(text) if text.isascii() or SETTLED.fullmatch(text) else self.library_pieces(text):
+            ends = kept.get(piece) or self._ends(piece)
+            out += [base + n for n in ends]
+            base += ends[-1]
         return self._white_runs(text, out)
 
     def _white_runs(self, text: str, out: list[int]) -> list[int]:
         """A run of white space before a word is cut before its last character; a prefix that ends with that
         character has the run as one piece."""
-        for m in regex.finditer(r"\s{2,}(?=\S)", text):
-            out[m.end()] = out[m.start()] + self.piece_prefixes(m[0])[-1]
+        for m in WHITE_RUN.finditer(text):
+            out[m.end()] = out[m.start()] + self._last(m[0])
         return out
 
 
@@ -181,11 +188,12 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = LIMIT, prefixes: bool = False) -> DataFrame:
-    """``df`` without the text, with n_bytes, n_tokens and over_limit; with ``prefixes`` also prefix_counts array<int>, one
-    entry for each character, and fit_chars, the characters of the longest prefix of at most ``limit`` tokens."""
-    added = [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())]
+    """``df`` without the text, with n_bytes, n_tokens, over_limit and fit_chars, the characters of the longest prefix of at most
+    ``limit`` tokens, all read from the counts of the prefixes; with ``prefixes`` also these, prefix_counts array<int>, one entry for
+    each character."""
+    added = [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType()), ("fit_chars", T.LongType())]
     if prefixes:
-        added += [("prefix_counts", T.ArrayType(T.IntegerType())), ("fit_chars", T.LongType())]
+        added += [("prefix_counts", T.ArrayType(T.IntegerType()))]
     kept = [c for c in df.columns if c != text and c.lower() not in {n for n, _ in added}]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t in added])
 
@@ -196,15 +204,16 @@ def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = LIMI
                 columns = [batch.column(c) for c in kept]
                 texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
                 sizes = [len(t.encode()) for t in texts]
+                totals, fits, each = [], [], []
+                for t in texts:
+                    counts = own.prefixes(t)
+                    totals.append(counts[-1])
+                    fits.append(next(i for i in range(len(t), -1, -1) if counts[i] <= limit))
+                    if prefixes:
+                        each.append(counts[1:])
+                columns += [pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals]), pa.array(fits, pa.int64())]
                 if prefixes:
-                    each = [own.prefixes(t) for t in texts]
-                    totals = [e[-1] for e in each]
-                    fits = [max(i for i, n in enumerate(e) if n <= limit) for e in each]
-                else:
-                    totals = [own.count(t) for t in texts]
-                columns += [pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals])]
-                if prefixes:
-                    columns += [pa.array([e[1:] for e in each], pa.list_(pa.int32())), pa.array(fits, pa.int64())]
+                    columns.append(pa.array(each, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return python_ready(df.select(*kept, text)).mapInArrow(count, schema)
@@ -212,8 +221,8 @@ def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = LIMI
 
 @llm_query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every whole document."""
+    """Token counts of every whole document, and how much of it fits the limit."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts(docs, str(public_tokenizers.path("byte_bpe_50k.json"))).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return token_counts(docs, str(public_tokenizers.path("byte_bpe_50k.json"))).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")

@@ -175,6 +175,22 @@ def test_token_prefixes_equal_the_library(spark):
     assert token_counts(df.limit(0), path).count() == 0
 
 
+def test_token_query_reads_prefix_counts(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    lib = tokenizers.Tokenizer.from_file(str(public.path("byte_bpe_50k.json")))
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    texts = {r.doc_id: r.text for r in table_rows(spark, "documents")}
+    rows = LLM_QUERIES["op6_token_counts"].run(spark, SF).collect()
+    assert len(rows) == len(texts) and any(r.over_limit for r in rows)
+    for r in rows:
+        t = texts[r.doc_id]
+        assert r.n_tokens == count(t) and r.over_limit == (r.n_tokens > 512) == (r.fit_chars < len(t))
+        assert count(t[: r.fit_chars]) <= 512
+        assert not r.over_limit or all(count(t[:i]) > 512 for i in range(r.fit_chars + 1, min(len(t), r.fit_chars + 20)))
+    assert PrefixCounter(str(public.path("byte_bpe_50k.json"))).prefixes("a" + " " * 200_000)[-1] == count("a" + " " * 200_000)
+
+
 # ---------------------------------------------------------------- quality
 def test_quality_held_out_accuracy(spark):
     run = LLM_QUERIES["op7_quality_classifier"].run(spark, SF.replace("0.001", "0.01"))
