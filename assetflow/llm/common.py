@@ -94,6 +94,14 @@ class Steps:
         return self.reader.schema(self.schema).parquet(*self.paths)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def python_ready(df: DataFrame) -> DataFrame:
     ship_package(df.sparkSession)
     return df
@@ -182,13 +190,13 @@ class Words:
         return mix(total)
 
 
-def chunks(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about ``CHUNK_BYTES`` of text each, or one longer text."""
+def chunks(batch: pa.RecordBatch, text_col: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``limit`` bytes of text each, or one longer text."""
     size = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(size)
     at = 0
     while at < len(ends):
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to

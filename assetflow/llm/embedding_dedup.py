@@ -201,6 +201,12 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rows
 
 
+def _even(v: np.ndarray) -> np.ndarray:
+    """The vector times the power of two that brings its largest component near 1: squares neither overflow nor vanish, and no
+    digit changes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+
+
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, tables: int = TABLES) -> DataFrame:
     """A row for each row of ``df``: the id, n_links, component_id and kept."""
     rows = keyed(df.select(id_col, vector), id_col)
@@ -213,7 +219,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vecs = [np.asarray(v, np.float64).tobytes() for v in batch.column("v").to_pylist()]
+            vecs = [_even(np.asarray(v, np.float64)).tobytes() for v in batch.column("v").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("weight"), pa.array(vecs, pa.binary())], names=["node", "weight", "vec"])
 
     nodes = written(python_ready(nodes).mapInArrow(pack, "node bigint, weight bigint, vec binary"), "nodes")

@@ -17,7 +17,8 @@ blocks, and the blocks of the order have a fixed size.
 
 Defined cases: a null text stays null and has no lines; an empty text is one empty line; lines are equal if their
 characters are, up to white space at the end; very long texts are read whole; order is by id (see ``keyed`` for nulls and
-repeats), so of repeated rows the later ones lose their lines; an empty table gives no rows; other columns stay as they are.
+repeats), so of repeated rows the later ones lose their lines; an empty table gives no rows; columns named like the two results are
+replaced, others stay as they are.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetflow.llm.base import llm_query
-from assetflow.llm.common import KEY, Steps, chunks, keyed, python_ready, settled, written
+from assetflow.llm.common import KEY, Steps, chunks, fresh, keyed, python_ready, settled, written
 from assetflow.session import table
 
 MIN_WORDS = 50
@@ -261,15 +262,16 @@ def _masks(docs: DataFrame, text: str, min_words: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (with ``_key``) with _lines and _dropped (numbers of lines) and the text without the lines deleted."""
-    masks = repeated_lines(docs, text, min_words)
+    mask, columns = fresh(docs, "mask"), [c for c in docs.columns if c.lower() not in ("_lines", "_dropped")]
+    masks = repeated_lines(docs, text, min_words).withColumnRenamed("mask", mask)
     joined = docs.join(masks.hint("shuffle_hash"), KEY, "left")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: F.coalesce(F.get(F.col("mask"), i), F.lit(True))), "\n")
-    lost = F.coalesce(F.size(F.filter("mask", lambda m: ~m)), F.lit(0)).cast("bigint")
+    kept = F.array_join(F.filter(lines, lambda x, i: F.coalesce(F.get(F.col(mask), i), F.lit(True))), "\n")
+    lost = F.coalesce(F.size(F.filter(mask, lambda m: ~m)), F.lit(0)).cast("bigint")
     return joined.select(
-        *[F.when(F.col("mask").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns],
+        *[F.when(F.col(mask).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in columns],
         F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("_lines"),
-        F.when(F.col("mask").isNull(), 0).otherwise(lost).alias("_dropped"),
+        F.when(F.col(mask).isNull(), 0).otherwise(lost).alias("_dropped"),
     )
 
 

@@ -209,7 +209,7 @@ class JaccardJoin:
         rows = written(self.shared, "rows")
         first = rows.groupBy("gram").agg(F.min_by(F.struct("key", "size", "place", "parts"), "key").alias("f")).select("gram", "f.*")
         pairs = first.alias("a").join(rows.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.key") < F.col("b.key")) & self._may_link("a", "b"))
-        pairs = pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+        pairs = written(pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), "first-pairs")
         near = written(self.verify(pairs), "links")
         known = components(near)
         named = rows.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("component", "key")).drop("component")
@@ -220,7 +220,8 @@ class JaccardJoin:
             (F.col("a.gram") == F.col("b.gram")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.group") != F.col("b.group")) & self._may_link("a", "b"),
         )
         later = later.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-        return near.unionByName(self.verify(later))
+        # pairs that failed above are not verified again
+        return near.unionByName(self.verify(later.join(pairs, ["a", "b"], "left_anti")))
 
     def run(self) -> DataFrame:
         """(_key, size, component): a row for each document."""

@@ -10,7 +10,7 @@ cases and of digits, repeated words, word and sentence lengths.  Learning uses a
 rows, those of least hash, so what the driver holds is bounded; scoring is one pass that shuffles nothing.
 
 Defined cases: null and empty texts have all features 0 and are scored like any other; labels that are null or other than
-0 and 1 are not learned from; a document labelled twice counts with its least label; without both labels every score
+0 and 1 are not learned from; a document labelled twice counts with its least label, and one row is learned from where an id is repeated; without both labels every score
 is 0.5; very long texts are read whole; repeated rows get their own scores; empty tables give no rows; columns that clash
 with the results are replaced, others stay.
 """
@@ -133,7 +133,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(list(x), pa.list_(pa.float64()))], names=["i", "y", "x"])
 
     kinds = dict(rows.dtypes)
-    got = python_ready(rows).mapInArrow(measure, f"i {kinds['_id']}, y {kinds['_y']}, x array<double>").toPandas()
+    measured = python_ready(rows).mapInArrow(measure, f"i {kinds['_id']}, y {kinds['_y']}, x array<double>")
+    # of the rows that share an id one reaches the driver, so ``sample`` bounds the rows too
+    got = measured.groupBy("i").agg(F.min(F.struct("y", "x")).alias("m")).select("i", "m.y", "m.x").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["i", "y"], kind="stable")

@@ -26,7 +26,7 @@ def slices(batch: pa.RecordBatch, text: str, cuts: np.ndarray, limit: int = CHUN
     """The batch's texts in slices of about ``limit`` bytes; nulls are empty.  A longer text is divided after bytes of
     ``cuts`` (256 flags); a stretch without such a byte stays in one part."""
     at = 0
-    for chunk in chunks(batch, text):
+    for chunk in chunks(batch, text, limit):
         column = chunk.column(text).cast(pa.large_binary()).fill_null(b"")
         _, offs, data = column.buffers()
         off = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]

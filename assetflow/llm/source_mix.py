@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetflow.llm.base import llm_query
-from assetflow.llm.common import KEY, keyed, written
+from assetflow.llm.common import KEY, fresh, keyed, written
 from assetflow.session import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,6 +70,7 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text: str = "text", source:
         F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
         _digits(F.col(KEY).cast("string"), 3).alias("blk"),
     )
+    docs = written(docs, "sizes")  # the texts are read once
     blocks = docs.groupBy("skey", "size", "blk").agg(F.count(F.lit(1)).alias("n"))
     same = blocks.groupBy("skey", "size").agg(F.sum("n").alias("n"))
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
@@ -88,10 +89,11 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text: str = "text", source:
 def take_mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **rule) -> DataFrame:
     """The mix itself: every row of ``df`` as often as it is taken, with ``copy`` counting from 1."""
     rows = keyed(df, id_col)
-    plan = mix_plan(rows, id_col, text, source, **rule).filter("copies > 0").select(KEY, "copies")
+    copies = fresh(rows, "copies")
+    plan = mix_plan(rows, id_col, text, source, **rule).filter("copies > 0").select(KEY, F.col("copies").alias(copies))
     taken = rows.join(plan.hint("shuffle_hash"), KEY)
     kept = [c for c in df.columns if c.lower() != "copy"]
-    return taken.select(*kept, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
+    return taken.select(*kept, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies))).alias("copy"))
 
 
 @llm_query(

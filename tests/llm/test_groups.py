@@ -79,9 +79,12 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, seed):
         part[rnd.randrange(len(part))] = f"changed {i}"
         docs.append("\n".join(part))
     docs += [docs[0], docs[-1] + " "]
-    df = keyed(spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, mask string").drop("mask"), "doc_id")
-    got = [r.text for r in line_dedup.dedup_lines(df, "text", 7).orderBy(KEY).collect()]
-    assert got == lines_left(docs, 7)
+    df = keyed(spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(docs)], "doc_id long, text string, mask string, _lines string"), "doc_id")
+    out = line_dedup.dedup_lines(df, "text", 7)
+    assert out.columns == ["doc_id", "text", "mask", KEY, "_lines", "_dropped"]
+    rows = out.orderBy(KEY).collect()
+    assert [r.text for r in rows] == lines_left(docs, 7)
+    assert {r.mask for r in rows} == {"x"} and [r._lines for r in rows] == [0 if t is None else t.count("\n") + 1 for t in docs]
 
 
 def test_line_dedup_empty_and_repeated(spark):
@@ -253,3 +256,72 @@ def test_pipeline_on_the_smallest_table(spark):
     mixed = p.mix(spark, fair, SF)
     assert mixed.columns == [*apart.columns, "copy"] and mixed.count() > fair.count()
     assert [n for n, _ in p.STAGES] == ["quality classifier", "line dedup", "n-gram jaccard join", "benchmark decontamination", "source mix"]
+
+
+# ---------------------------------------------------------------- clashes, bounds
+def test_mix_with_clashing_columns(spark):
+    rows = [(i, "a b c", "s", f"c{i}", 7) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string, copy int")
+    got = take_mix(df)
+    assert got.columns == ["doc_id", "text", "source", "copies", "copy"]
+    assert {(r.doc_id, r.copies) for r in got.collect()} <= {(i, f"c{i}") for i in range(6)}
+    assert got.count() == take_mix(df.drop("copies", "copy")).count() > 0
+
+
+def test_learning_reads_one_row_of_a_repeated_id(spark, monkeypatch):
+    from assetflow.llm import quality
+
+    docs = spark.range(2000).select((F.col("id") % 4).alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(x.shape) or None)
+    quality.learn(docs, labels, sample=2)
+    assert all(n <= 2 for n, _ in seen)
+
+
+def test_vectors_of_any_scale_link(spark):
+    rnd = np.random.default_rng(3)
+    v, w = rnd.normal(size=24), rnd.normal(size=24)
+    w -= v * (v @ w) / (v @ v)
+    rows = [(i, (v * s).tolist()) for i, s in enumerate([1e200, 3e200, 1.0, 5.0, 1e-200, 3e-200])] + [(9, (w * 1e-200).tolist()), (10, [1e-320] * 24), (10, [1e-320] * 24)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    out = sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect())
+    assert out == [(i, 5, 0) for i in range(6)] + [(9, 0, 9), (10, 1, 10), (10, 1, 10)]
+
+
+def test_pairs_are_verified_once(spark, monkeypatch):
+    seen = []
+    own = ngram_join.JaccardJoin.verify
+
+    def verify(self, pairs):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return own(self, pairs)
+
+    monkeypatch.setattr(ngram_join.JaccardJoin, "verify", verify)
+    rnd = random.Random(8)
+    base = [[f"w{rnd.randint(0, 60)}" for _ in range(20)] for _ in range(4)]
+    texts = []
+    for i in range(24):
+        t = list(base[i % 4])
+        for _ in range(i // 4):
+            t[rnd.randrange(20)] = f"x{rnd.randint(0, 9)}"
+        texts.append(" ".join(t))
+    docs = keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id")
+    ngram_join.jaccard_components(docs, "text", 1, 70, 100).collect()
+    assert seen and len(seen) == len(set(seen))
+
+
+def test_pipeline_stages_keep_extra_columns(spark):
+    import corpus_pipeline
+
+    names = "mask string, copies string, _key string, _lines string, score string, copy string, size string, extra string"
+    long_ = "word other thing here and there again on the way " * 8
+    rows = [(1, long_, "en", "s", 5), (2, None, "en", "s", 0), (3, "", None, None, 0), (4, long_, "en", "s", 5), (4, "short text", "en", "t", 5)]
+    clash = [f"{n}0" for n in range(8)]
+    docs = spark.createDataFrame([(*r, *clash) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + names)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns[:5] == docs.columns[:5] and len(set(out.columns)) == len(out.columns), name
+        for r in out.collect():
+            assert all(r[c.split()[0]] == clash[i] for i, c in enumerate(names.split(", ")) if not (name == "source mix" and c.startswith("copy "))), name
+        assert stage(spark, docs.limit(0), SF).count() == 0

@@ -37,5 +37,5 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(LLM_QUERIES) | {"pipeline"} <= set(entry.queries())
