@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +17,36 @@ from assetflow.llm.source_mix import take_mix
 from assetflow.session import table
 
 
+OWN = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def guarded(stage: Stage) -> Stage:
+    """The stage on the columns of ``documents`` alone.  Others travel in one struct, so that no name they have can meet a name that an
+    operator uses, and come back as they were, unless the stage's result has a column of that name."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in OWN]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        held = F.struct(*[F.col(f"`{c}`") for c in others]).alias("extra_columns")
+        out = stage(spark, docs.select(*[c for c in docs.columns if c in OWN], held), sf_dir)
+        new = [c for c in out.columns if c not in OWN and c != "extra_columns"]
+        back = [F.col(f"extra_columns.`{c}`") if c in others else F.col(c) for c in docs.columns if c not in new]
+        return out.select(*back, *new)
+
+    return run
+
+
+@guarded
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject.  It learns from the labels of ``docs``."""
     ranking = learn(docs, table(spark, sf_dir, "labels"))
     return score_documents(docs, ranking).filter(F.col("score") >= CUT).select(*docs.columns)
 
 
+@guarded
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later copies of repeated runs of lines; one of which nothing else is left goes."""
     out = dedup_lines(keyed(docs, "doc_id"))
@@ -28,16 +55,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*[F.when(changed, F.length("text")).otherwise(F.col(c)).cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+@guarded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates (five words, 0.8)."""
     return keep_one(docs)
 
 
+@guarded
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with the benchmark."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@guarded
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them, with the number of the copy."""
     return take_mix(docs)
