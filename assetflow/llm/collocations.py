@@ -6,8 +6,10 @@ gives the frequencies of all phrases of 1 to 4 words, and of the words of each l
 
 Most windows of a big table occur once, and none of them matters: all parts of a candidate are as frequent as it.  So a window is cut
 (padded) after a word that with the next one makes a pair of fewer than ``least`` occurrences; no phrase of ``least`` occurrences
-holds such a pair.  Which pairs are frequent is told by counters of a fixed size, ``1 << bits``: pairs that share a counter can only be
-counted too high, which keeps a window longer than needed and changes no result.  The counters reach the driver as one bit each.
+holds such a pair.  Which pairs are frequent is told by hashed counters: pairs that share a counter can only be counted too high, which
+keeps a window longer than needed and changes no result.  There is a counter for about every four words, up to ``1 << MOST_BITS``, so
+what is shuffled stays in proportion to the input up to some 200 GB; beyond, counters fill up and windows stay longer.  Counters are
+summed block by block and reach the driver, and from there the tasks, as one bit each: 128 MB at most.
 Tasks count the windows of a slice before Spark's partial aggregates do, so a very common phrase is one row of each slice.
 
 Defined cases: a null or empty text has no words; a null language is ``und``, together with rows that say so; a very long text is
@@ -29,8 +31,9 @@ from assetflow.llm.common import LOWER, Words, mix, python_ready, written
 from assetflow.llm.slices import runs, slices, strings
 from assetflow.session import table
 
-LONGEST, LEAST, TOP, BITS = 4, 30, 2000, 24
-SLICE_BYTES = 8 << 20
+LONGEST, LEAST, TOP = 4, 30, 2000
+LEAST_BITS, MOST_BITS = 16, 30
+SLICE_BYTES, HELD_PAIRS, ROWS = 4 << 20, 1 << 21, 1 << 17
 # Pieces end at these characters, words are divided by blanks and tabs.
 ENDS = np.zeros(256, bool)
 ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -79,17 +82,26 @@ def frequent_pairs(rows: DataFrame, least: int, bits: int) -> np.ndarray:
     """One bit for each counter: whether it reached ``least``."""
     block = min(BLOCK, bits)
 
+    def packed(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """A row for each block: the counters used there and their counts; a count beyond 255 stays there."""
+        key, n = np.unique(np.concatenate(keys).astype(np.int64), return_counts=True)
+        n = np.minimum(n, 255).astype(np.uint8)
+        at = np.concatenate([[0], np.flatnonzero(np.diff(key >> block)) + 1, [len(key)]]) if len(key) else [0]
+        low = (key & ((1 << block) - 1)).astype(np.uint16)
+        held = [low[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(key[at[:-1]] >> block, pa.int64()), pa.array(held, pa.binary())], names=["block", "held"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, np.uint8)  # counts beyond 255 stay there
+        keys: list[np.ndarray] = []
         for batch in batches:
             _, _, hashes = lang_codes(batch)
             for words, row, goes_on in tokens(batch):
-                key, n = np.unique(pair_keys(words, hashes[row], bits)[goes_on], return_counts=True)
-                seen[key] = np.minimum(seen[key] + n, 255)
-        used = np.flatnonzero(seen)
-        for part in np.split(used, np.flatnonzero(np.diff(used >> block)) + 1) if len(used) else []:
-            held = (part & ((1 << block) - 1)).astype(np.uint16).tobytes() + seen[part].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[0] >> block)]), pa.array([held], pa.binary())], names=["block", "held"])
+                keys.append(pair_keys(words, hashes[row], bits)[goes_on])
+                if sum(map(len, keys)) >= HELD_PAIRS:
+                    yield from packed(keys)
+                    keys = []
+        if keys:
+            yield from packed(keys)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, at = np.zeros(1 << block, np.int64), None
@@ -111,13 +123,14 @@ def frequent_pairs(rows: DataFrame, least: int, bits: int) -> np.ndarray:
 
 def windows(rows: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
     """(lang, w1, ..., w4, n): the padded window of each word, counted slice by slice."""
+    marks = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, code, hashes = lang_codes(batch)
             for words, row, goes_on in tokens(batch):
                 key = pair_keys(words, hashes[row], bits)
-                goes_on = goes_on & (frequent[key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                goes_on = goes_on & (marks.value[key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                 index = words.indices.to_numpy()
                 lead, reach = {"lang": code[row], COLUMNS[0]: index}, np.ones(len(index), bool)
                 for i, c in enumerate(COLUMNS[1:], 1):  # the word i places on, -1 where the window has ended
@@ -126,16 +139,21 @@ def windows(rows: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
                 got = pa.table(lead).group_by(["lang", *COLUMNS]).aggregate([([], "count_all")])
                 texts = pa.concat_arrays([words.dictionary, pa.array([""], pa.large_string())]).cast(pa.string())
                 pad = len(texts) - 1
-                take = lambda c: texts.take(pa.array(np.where((x := got[c].to_numpy()) < 0, pad, x)))
-                yield pa.RecordBatch.from_arrays(
-                    [names.take(got["lang"].combine_chunks()), *[take(c) for c in COLUMNS], got["count_all"].combine_chunks()], names=["lang", *COLUMNS, "n"]
-                )
+                take = lambda c: texts.take(pa.array(np.where((x := some[c].to_numpy()) < 0, pad, x)))  # noqa: B023, E731
+                for at in range(0, len(got), ROWS):
+                    some = got.slice(at, ROWS)
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(some["lang"].combine_chunks()), *[take(c) for c in COLUMNS], some["count_all"].combine_chunks()], names=["lang", *COLUMNS, "n"]
+                    )
 
     return python_ready(rows).mapInArrow(count, ", ".join(["lang string", *[f"{c} string" for c in COLUMNS], "n bigint"]))
 
 
-def phrase_counts(rows: DataFrame, least: int, bits: int = BITS) -> DataFrame:
+def phrase_counts(rows: DataFrame, least: int, bits: int | None = None) -> DataFrame:
     """(lang, words, f) of all phrases of 1 to 4 words with f >= ``least``, and of no words: all word occurrences of the language."""
+    if bits is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = min(max((size // 24).bit_length(), LEAST_BITS), MOST_BITS)
     counted = windows(rows, frequent_pairs(rows, least, bits), bits)
     rolled = counted.rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
     # level k has the first k columns; a padded column is no phrase of that level
@@ -146,7 +164,7 @@ def phrase_counts(rows: DataFrame, least: int, bits: int = BITS) -> DataFrame:
     return rolled.select("lang", F.filter(F.array(*COLUMNS), lambda w: w.isNotNull()).alias("words"), "f")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str = "text", lang: str = "lang", bits: int = BITS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str = "text", lang: str = "lang", bits: int | None = None) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     phrases = written(phrase_counts(rows, least, bits), "phrases")
@@ -166,11 +184,13 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.size("words") - 1), parts))
     longer = many.filter(F.size("words") > 2).select("lang", F.explode(inner).alias("phrase"), F.col("a").alias("f"))
     longer = longer.groupBy("lang", "phrase").agg(F.max("f").alias("f"))
-    held = best.join(longer, ["lang", "phrase"], "left").join(totals, "lang")
+    held = best.join(longer, ["lang", "phrase"], "left")
     held = held.filter(F.col("f").isNull() | (wide(F.col("f")) * 100 < wide(F.col("a")) * 80))
-    held = held.select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score")
+    held = held.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
+    # each task hands on its first ``top`` of a language; the totals come to what is left
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return held.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top)
+    ranked = held.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return ranked.join(totals, "lang").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

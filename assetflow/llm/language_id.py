@@ -37,6 +37,7 @@ from assetflow.llm.slices import slices
 from assetflow.session import table
 
 DEPTH, SAMPLE, LONGEST = 1000, 20_000, 4
+FEW_LANGUAGES = 100_000  # so many names and counts are broadcast; more are joined by a shuffle
 UNKNOWN = "und"
 BLANK = np.zeros(256, bool)
 BLANK[0x20] = True
@@ -158,6 +159,7 @@ def learn_profiles(
     while any(r.k > np.log2(share) for r in tall) and sum(r.n if 2**r.k <= 2 * share else r.c * 2 * share for r in tall) <= sample:
         share *= 2
     place = F.pmod(F.xxhash64("i", F.length("t")), F.lit(1 << 30)) / (1 << 30) * F.col("n")
+    sizes = F.broadcast(sizes) if sum(r.c for r in tall) <= FEW_LANGUAGES else sizes
     chosen = rows.join(sizes, "l").filter(place < share).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

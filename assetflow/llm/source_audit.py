@@ -6,8 +6,8 @@ are ordered by the next eight.  What is left as an equal run is one word; its po
 counts of the sources.  The slices' sums meet in one aggregation.
 
 Words kept in a language (in ``least`` of its documents) give every group (language, source) a smoothed share of each, in billionths.
-Pairs of sources are compared in blocks of words: a task gets a block's shares of all sources as a matrix of at most
-about ``CELLS`` cells and hands on one partial sum for each pair; a source without the word has a share that depends on the source alone.
+Pairs of sources are compared in blocks of words: a task gets a block's shares of all sources as a matrix of about
+``CELLS`` cells (or as many words as sources, where that is more) and hands on one partial sum for each pair; a source without the word has a share that depends on the source alone.
 Nothing is broadcast by hand, and a hot source is pre-aggregated by slices.
 
 Defined cases: null text, language and source are ''; a text without words still makes its group occur; without kept words all
@@ -30,7 +30,7 @@ from assetflow.llm.common import LOWER, python_ready, written
 from assetflow.llm.slices import runs, slices
 from assetflow.session import table
 
-LEAST, TOP, CELLS = 30, 50, 1 << 21
+LEAST, TOP, CELLS = 30, 50, 1 << 17
 SMOOTH, SCALE = 5, 1_000_000_000
 LETTER = np.zeros(256, bool)  # fixed value: words are runs of ASCII letters and non-ASCII characters
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0x80:] = True
@@ -174,7 +174,7 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str = "text
     terms = terms.select("*", rank("term")).filter(F.col("rank") <= top)
 
     sources = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("s"), F.max("v").alias("v"))
-    blocks = sources.select("lang", F.ceil(F.col("v") * F.col("s") / CELLS).cast("int").alias("blocks"))
+    blocks = sources.select("lang", F.ceil(F.col("v") * F.col("s") / F.greatest(F.lit(CELLS), F.col("s") * F.col("s"))).cast("int").alias("blocks"))
     plain = groups.filter("v > 0").join(blocks, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", F.lit("").alias("term"), "p")
     placed = shared.join(blocks, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "source", "term", "p")
     sums = python_ready(plain.unionByName(placed)).groupBy("lang", "block").applyInArrow(pair_sums, "lang string, a string, b string, f bigint")
