@@ -134,13 +134,17 @@ def plan_destinations(
     indexed = batch_index(routed, order).withColumn("seq", F.col("batch_index"))
     if alone:
         indexed = indexed.withColumn("batch_index", F.lit(0).cast("bigint"))
+    return resolve_collisions(named_outputs(indexed).filter(~F.col("locked")), reserved, item)
+
+
+def named_outputs(indexed: DataFrame) -> DataFrame:
+    """``folder, base_name, ext_out`` that each numbered input asks for."""
     base = output_base_name()
-    named = indexed.withColumns({
+    return indexed.withColumns({
         "folder": output_folder(),
         "base_name": F.when(makes_folder() & is_blank(base), F.when(F.col("is_pdf"), "PDF").otherwise("GIF")).otherwise(base),
         "ext_out": F.when(makes_folder(), "").otherwise(output_extension()),
     })
-    return resolve_collisions(named.filter(~F.col("locked")), reserved, item)
 
 
 def run_conversion(

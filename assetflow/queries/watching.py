@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from assetflow.fixtures import derive, duck
 from assetflow.queries.base import query
-from assetflow.session import scratch_path
-from assetflow.streaming import convert, watch
+from assetflow.queries.rules import BASE_SQL, EXT_SQL, FOLDER_SQL, NORM, ROUTE_SQL, SELECT_SQL
+from assetflow.session import scratch_path, table
+from assetflow.streaming import convert, folder, names, watch
 
 GAP_MS = 12 * 3600 * 1000.0
 WAIT_MS = 1000.0  # clock time without events after which a replayed path is fired
@@ -91,26 +95,6 @@ def _event_stream(spark, sf):
     )
 
 
-@query(duck("file_events", f"""
-, ev AS (SELECT lower(path) AS path_key, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY lower(path) ORDER BY ts, event_id))) / 1000.0::DOUBLE AS gap, event_id FROM file_events WHERE {INPUTS}),
-g AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {GAP_MS}::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY path_key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM ev),
-closed AS (SELECT path_key, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS changes FROM g GROUP BY path_key, s)
-SELECT path_key, epoch_us(first_ts) AS first_us, epoch_us(last_ts) AS last_us, changes FROM closed
-WHERE last_ts + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 10 SECOND FROM ev)"""))
-def debounce_stream(spark, sf):
-    """The events table replayed as a stream; sessions still open at the end stay unsaid (see debounce_whole)."""
-    quiet = watch.debounce_stream(_event_stream(spark, sf), "12 hours", "10 seconds").select(
-        "path_key", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "changes"
-    )
-    out = scratch_path(spark, "debounce")
-    run = (
-        quiet.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    return spark.read.schema("path_key string, first_us bigint, last_us bigint, changes bigint").parquet(f"{out}/rows")
-
-
 @contextmanager
 def _rocksdb(spark):
     """Keyed state with transformWithState needs the RocksDB store; the setting is put back."""
@@ -178,3 +162,89 @@ def suppress_stream(spark, sf):
     _finished(spark, watch.stable_stream(_probe_stream(spark, sf), GAP_MS), "stable").write.parquet(out)
     ready = spark.readStream.schema(watch.STABLE).parquet(out)
     return _finished(spark, watch.suppress_stream(ready), "signals").select("path_key", F.unix_micros("ts").alias("ts_us"), "length")
+
+
+def _change_files(rows, root: str) -> None:
+    """Writes, moves and deletes files below ``root``, as rows of (name, size, moved_from) say: a null size deletes."""
+
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for r in batch.to_pylist():
+                path = f"{base}/{r['name']}"
+                if r["moved_from"] is not None:
+                    system.move(f"{base}/{r['moved_from']}", path)
+                elif r["size"] is None:
+                    system.delete_file(path)
+                else:
+                    with system.open_output_stream(path) as out:
+                        out.write(b"x" * r["size"])
+            yield batch.select(["name"])
+
+    rows.mapInArrow(change, "name string").write.format("noop").mode("overwrite").save()
+
+
+@query("""
+WITH f AS (SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.GIF' WHEN 2 THEN '.pdf' ELSE '.txt' END AS ext FROM supplier)
+SELECT listing, name, length FROM (
+  SELECT 0::BIGINT AS listing, 'f' || k || ext AS name, (10 + k % 7)::BIGINT AS length, ext FROM f
+  UNION ALL SELECT 1, CASE WHEN k % 5 = 0 THEN 'f' ELSE 'r' END || k || ext, 10 + k % 7 + CASE WHEN k % 5 = 0 THEN 100 ELSE 0 END, ext FROM f WHERE k % 5 < 2
+  UNION ALL SELECT 2, 'n' || k || ext, 5, ext FROM f WHERE k % 7 = 1) WHERE ext <> '.txt'""")
+def watch_folder(spark, sf):
+    """A folder with a file for each supplier, listed three times by a stream that is started anew each time: new, rewritten and renamed files."""
+    out = scratch_path(spark, "watched")
+    root = out if "://" in out or out.startswith("file:") else f"file://{out}"
+    k = F.col("s_suppkey")
+    ext = F.when(k % 4 == 0, ".png").when(k % 4 == 1, ".GIF").when(k % 4 == 2, ".pdf").otherwise(".txt")
+    name = lambda letter: F.concat(F.lit(letter), k.cast("string"), ext)
+    kept, size = F.when(k % 5 == 1, name("r")).otherwise(name("f")), (10 + k % 7).cast("bigint")
+    files, none = table(spark, sf, "supplier"), F.lit(None)
+    row = lambda n, s, m: (n.alias("name"), s.cast("bigint").alias("size"), m.cast("string").alias("moved_from"))
+    rounds = [
+        [files.select(*row(name("f"), size, none))],
+        [files.filter(k % 5 == 0).select(*row(name("f"), size + 100, none)), files.filter(k % 5 == 1).select(*row(name("r"), size, name("f")))],
+        [files.filter(k % 7 == 0).select(*row(kept, none, none)), files.filter(k % 7 == 1).select(*row(name("n"), F.lit(5), none))],
+    ]
+    for changes in rounds:
+        for rows in changes:
+            _change_files(rows, f"{root}/in")
+        seen = folder.watch_folder(spark, f"{root}/in", f"{root}/listings")
+        keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows/listing={n}")
+        seen.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("path string, length bigint, listing bigint").parquet(f"{out}/rows")
+    return found.select("listing", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length")
+
+
+WATCHED_SQL = "WITH RECURSIVE " + duck("assets jobs overrides", NORM + """
+, wj AS (SELECT * REPLACE (CASE WHEN frame_count > 1 AND output_format <> 'gif' THEN 'all' ELSE gif_mode END AS gif_mode,
+    CASE WHEN is_pdf AND page_count > 1 AND output_format <> 'pdf' THEN 'all_pages' ELSE pdf_image_mode END AS pdf_image_mode, 'specific' AS folder_rule) FROM naj)
+""" + SELECT_SQL.replace("FROM naj LEFT JOIN ov ON naj.job_id = ov.job_id AND lower(naj.path) = ov.k", "FROM wj AS naj LEFT JOIN ov ON FALSE") + ROUTE_SQL).removeprefix("WITH ") + f"""
+, named AS (SELECT asset_id, job_id, page_count, frame_count, strategy, allow_overwrite, (asset_id % 3) * 1000000000000 + asset_id AS seq, {FOLDER_SQL} AS folder, {BASE_SQL} AS base_name,
+    CASE WHEN strategy IN ('pdf_split','pdf_pages','gif_pdf_frames','gif_specific_pdf','gif_frames') THEN '' ELSE {EXT_SQL} END AS ext_out
+  FROM (SELECT *, 0 AS batch_index FROM rt) WHERE NOT (is_encrypted AND NOT is_unlocked))
+, items AS (SELECT *, allow_overwrite AND ext_out <> '' AS over, lower(folder) AS f, lower(base_name) AS b, lower(ext_out) AS x, regexp_replace(lower(base_name), '(\\([1-9][0-9]*\\))+$', '') AS root FROM named)
+, grouped AS (SELECT *, dense_rank() OVER (ORDER BY f, x, root) AS gid, row_number() OVER (PARTITION BY f, x, root ORDER BY seq) AS i FROM items)
+, walk AS (SELECT DISTINCT gid, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS BIGINT) AS asset_id, CAST(NULL AS BIGINT) AS slot FROM grouped
+  UNION ALL
+  SELECT gid, i, list_append(taken, b || CASE WHEN slot > 0 THEN '(' || slot || ')' ELSE '' END), asset_id, slot FROM (
+    SELECT w.gid, g.i, w.taken, g.asset_id, g.b, CASE WHEN g.over THEN 0 ELSE list_filter(range(0, g.i + 2), lambda k: NOT list_contains(w.taken, g.b || CASE WHEN k > 0 THEN '(' || k || ')' ELSE '' END))[1] END AS slot
+    FROM walk w JOIN grouped g ON g.gid = w.gid AND g.i = w.i + 1))
+SELECT n.asset_id % 3 AS batch, n.asset_id, n.job_id, (o.i + 1)::BIGINT AS output_no, n.folder || '/' || n.base_name || CASE WHEN w.slot > 0 THEN '(' || w.slot || ')' ELSE '' END || n.ext_out AS destination
+FROM named n JOIN walk w ON w.asset_id = n.asset_id,
+  (SELECT unnest(range(0, 2000)) AS i) o WHERE o.i < CASE WHEN strategy IN ('pdf_split','pdf_pages') THEN greatest(page_count, 1) WHEN strategy IN ('gif_pdf_frames','gif_frames') THEN greatest(frame_count, 1) ELSE 1 END"""
+
+
+@query(WATCHED_SQL)
+def watch_convert_stream(spark, sf):
+    """Ready files in three micro-batches, each planned with its profile; names given by earlier batches are taken."""
+    out = scratch_path(spark, "converted")
+    assets = derive(spark, sf, "assets")
+    for n in range(3):
+        assets.filter(F.col("asset_id") % 3 == n).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    ready = spark.readStream.schema(assets.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    with _rocksdb(spark):
+        writer = names.named_stream(ready, derive(spark, sf, "jobs")).writeStream.foreachBatch(names.named_writer(f"{out}/out"))
+        writer.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    kinds = "job_id bigint, asset_id bigint, output_no bigint, destination string, batch bigint"
+    return spark.read.schema(kinds).parquet(f"{out}/out/outputs").select("batch", "asset_id", "job_id", "output_no", "destination")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 
-from assetflow.streaming import convert, watch
+from assetflow.streaming import convert, folder, names, watch
 from tests.test_sources import ASSET_COLUMNS, ASSETS, job
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).replace(tzinfo=None)
@@ -161,3 +162,74 @@ def test_counters_stream(spark, tmp_path):
     rows = sorted(map(tuple, spark.sql("select profile_id, processed, failures, last_item from counters").collect()))
     assert rows == [("p", 1, 1, "b.png"), ("q", 1, 0, "c.png")]
     assert rows == sorted(map(tuple, convert.watch_counters(df).drop("last_at").collect()))
+
+
+def test_folder_source_sees_changed_and_renamed_files(spark, tmp_path):
+    root, state = tmp_path / "in", str(tmp_path / "listings")
+    (root / "sub").mkdir(parents=True)
+    seen = []
+
+    def run(**options):
+        stream = folder.watch_folder(spark, str(root), state, shards=3, **options)
+        keep = lambda batch, n: seen.extend((n, r.path_key.rsplit("/", 1)[1], r.length) for r in batch.collect())
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        new, seen[:] = sorted(seen), []
+        return new
+
+    (root / "a.png").write_bytes(b"1234")
+    (root / "sub" / "b.GIF").write_bytes(b"1")
+    (root / "c.txt").write_bytes(b"1")
+    assert run() == [(0, "a.png", 4), (0, "b.gif", 1)]
+    assert run() == []  # nothing has changed
+    (root / "a.png").write_bytes(b"4321")  # as long as before
+    os.utime(root / "a.png", (1, 1))
+    (root / "sub" / "b.GIF").rename(root / "d.gif")
+    (root / "c.txt").unlink()
+    assert [x[1:] for x in run()] == [("a.png", 4), ("d.gif", 1)]
+    (root / "d.gif").rename(root / "a.png")  # onto a known name
+    assert [x[1:] for x in run()] == [("a.png", 1)]
+    kept = sorted(p.name for p in (tmp_path / "listings").iterdir())
+    assert 1 <= len(kept) <= 2  # older listings go
+
+
+def test_folder_source_can_leave_out_what_is_there(spark, tmp_path):
+    reader = lambda **o: folder.FolderReader({"path": str(tmp_path / "in"), "state": str(tmp_path / "s"), **o})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(b"1")
+    first = reader(existing="false")
+    start = first.initialOffset()
+    assert start == {"listing": 1} and first.latestOffset() == start
+    (tmp_path / "in" / "b.png").write_bytes(b"12")
+    end = reader().latestOffset()  # another process
+    rows = [r for p in first.partitions(start, end) for b in first.read(p) for r in b.to_pylist()]
+    assert [(r["path"].rsplit("/", 1)[1], r["length"]) for r in rows] == [("b.png", 2)]
+    again = [r for p in first.partitions(start, end) for b in first.read(p) for r in b.to_pylist()]
+    assert again == rows  # a batch may be repeated
+    assert [r for p in first.partitions({"listing": 0}, start) for b in first.read(p) for r in b.to_pylist()][0]["path"].endswith("a.png")
+
+
+def test_names_are_kept_between_batches(spark, tmp_path):
+    base = spark.createDataFrame(ASSETS, ASSET_COLUMNS)
+    profiles = spark.createDataFrame([job(1), job(2, allow_overwrite=True)])
+    source, out = str(tmp_path / "ready"), str(tmp_path / "out")
+    held = spark.createDataFrame([("/out", "A.png"), ("/OUT/", "a(2).PNG")], "folder string, file_name string")
+
+    def feed(rows):
+        rows.coalesce(1).write.mode("append").parquet(source)
+        ready = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        stream = names.named_stream(ready, profiles, held)
+        writer = stream.writeStream.foreachBatch(names.named_writer(out)).option("checkpointLocation", str(tmp_path / "state"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.batch, r.asset_id, r.destination) for r in spark.read.parquet(f"{out}/outputs").collect())
+
+    one = base.filter("asset_id = 1")
+    twice = one.unionByName(one.selectExpr("10L as asset_id", *one.columns[1:]))
+    first = [(0, 1, "/out/a(1).png"), (0, 10, "/out/a(3).png")]
+    assert feed(twice) == first
+    renamed = one.selectExpr("11L as asset_id", "job_id", *[f"'/in/a(4).png' as {c}" if c == "path" else c for c in one.columns[2:]])
+    second = [(1, 11, "/out/a(4).png")]
+    assert feed(renamed) == first + second
+    assert feed(one) == first + second + [(2, 1, "/out/a(5).png")]  # the query was started anew
+    locked = base.filter("is_pdf and is_encrypted and not is_unlocked")
+    assert locked.count() > 0 and len(feed(locked)) == 4
+    assert spark.read.parquet(f"{out}/failures").count() == locked.count()
