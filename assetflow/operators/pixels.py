@@ -269,6 +269,13 @@ def dark_range(bands: DataFrame, source_width: str, source_height: str) -> DataF
     found = bands.withColumn("_hits", hits).filter(F.size("_hits") > 0).withColumns({
         "range_start": F.array_min("_hits"), "range_end": F.array_max("_hits") + 1,
     })
+    return map_ranges(found, source_width, source_height)
+
+
+def map_ranges(found: DataFrame, source_width: str, source_height: str) -> DataFrame:
+    """Bands with their extent (``range_start, range_end``) as padded rectangles of the source."""
+    w, h, start, end = F.col("width"), F.col("height"), F.col("start"), F.col("end")
+    is_column = F.col("axis") == "column"
     left = F.when(is_column, start).otherwise(F.col("range_start"))
     right = F.when(is_column, end).otherwise(F.col("range_end"))
     top = F.when(is_column, F.col("range_start")).otherwise(start)
