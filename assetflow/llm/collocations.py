@@ -4,13 +4,16 @@ Every word begins one window of ``LONGEST`` words, its lead columns w1 to w4; wh
 windows are counted.  How often a shorter phrase occurs is the sum over the windows it opens: Spark's ROLLUP over (lang, w1, w2, w3, w4)
 gives the frequencies of all phrases of 1 to 4 words, and of the words of each language, from the one table of windows.
 
-Most windows of a big table occur once, and none of them matters: all parts of a candidate are as frequent as it.  So a window is cut
-(padded) after a word that with the next one makes a pair of fewer than ``least`` occurrences; no phrase of ``least`` occurrences
-holds such a pair.  Which pairs are frequent is told by hashed counters: pairs that share a counter can only be counted too high, which
-keeps a window longer than needed and changes no result.  There is a counter for about every four words, up to ``1 << MOST_BITS``, so
-what is shuffled stays in proportion to the input up to some 200 GB; beyond, counters fill up and windows stay longer.  Counters are
-summed block by block and reach the driver, and from there the tasks, as one bit each: 128 MB at most.
-Tasks count the windows of a slice before Spark's partial aggregates do, so a very common phrase is one row of each slice.
+Most windows of a big table occur once, and none of them matters: all parts of a candidate are as frequent as it.  So windows first
+meet in buckets by their first two words, packed: a task sorts a slice's windows by bucket and hands on one compressed block for each.  A
+bucket holds all windows of a pair, so it knows how often each phrase of two to four words that opens a window occurs, and pads
+windows after the last word with which they still occur ``least`` times.  What is left for ROLLUP is small.  Nothing is estimated, and
+what is shuffled is in proportion to the words.
+
+A very common pair would fill its bucket: pairs that make up a good part of a bounded sample are dealt out by three words, and such
+triples by four.  A pair found ``least`` times in the sample occurs as often in the table, so it needs no bucket of its own; the sample
+decides where windows meet, never what is counted.  Tasks count the windows of a slice before they pack them, so a very common
+window is one entry of each slice.
 
 Defined cases: a null or empty text has no words; a null language is ``und``, together with rows that say so; a very long text is
 read in parts cut between pieces; repeated rows count as often as they occur; empty tables give no rows; other columns are not
@@ -32,8 +35,8 @@ from assetflow.llm.slices import runs, slices, strings
 from assetflow.session import table
 
 LONGEST, LEAST, TOP = 4, 30, 2000
-LEAST_BITS, MOST_BITS = 16, 30
-SLICE_BYTES, HELD_PAIRS, ROWS = 4 << 20, 1 << 21, 1 << 17
+SLICE_BYTES, ROWS = 4 << 20, 1 << 17
+SAMPLE_BYTES, HEAVY = 16 << 20, 0.002  # the sample that finds common pairs, and the share of its words from which a pair is one
 # Pieces end at these characters, words are divided by blanks and tabs.
 ENDS = np.zeros(256, bool)
 ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -41,7 +44,7 @@ WORD = ~ENDS
 WORD[[0x20, 0x09]] = False
 ANY = np.ones(256, bool)
 COLUMNS = [f"w{i + 1}" for i in range(LONGEST)]
-BLOCK = 16  # counters are handed on in blocks of 1 << BLOCK
+CODEC = "zstd"
 
 
 def tokens(batch: pa.RecordBatch) -> Iterator[tuple[pa.DictionaryArray, np.ndarray, np.ndarray]]:
@@ -58,11 +61,15 @@ def tokens(batch: pa.RecordBatch) -> Iterator[tuple[pa.DictionaryArray, np.ndarr
         yield words, owner + part.first, goes_on
 
 
-def pair_keys(words: pa.DictionaryArray, lang: np.ndarray, bits: int) -> np.ndarray:
-    """The counter of each word together with the next one."""
+def prefix_keys(words: pa.DictionaryArray, lang: np.ndarray, goes_on: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each word's first two, three and four words, with the language; a window ends with its piece."""
     own = Words(words.dictionary, ANY).hashes[words.indices.to_numpy()]
-    after = np.append(own[1:], np.uint64(0))
-    return mix(own * np.uint64(0x9E3779B97F4A7C15) + mix(after + lang)) >> np.uint64(64 - bits)
+    key, reach, out = mix(own + lang), np.ones(len(own), bool), []
+    for i in range(1, LONGEST):
+        reach = reach & np.append(goes_on[i - 1 :], np.zeros(i - 1, bool))
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.where(reach, np.append(own[i:], np.zeros(i, np.uint64)), np.uint64(0)))
+        out.append(key)
+    return out
 
 
 def lang_codes(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -78,83 +85,137 @@ def hash_text(s: str) -> np.uint64:
     return own[0]
 
 
-def frequent_pairs(rows: DataFrame, least: int, bits: int) -> np.ndarray:
-    """One bit for each counter: whether it reached ``least``."""
-    block = min(BLOCK, bits)
-
-    def packed(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """A row for each block: the counters used there and their counts; a count beyond 255 stays there."""
-        key, n = np.unique(np.concatenate(keys).astype(np.int64), return_counts=True)
-        n = np.minimum(n, 255).astype(np.uint8)
-        at = np.concatenate([[0], np.flatnonzero(np.diff(key >> block)) + 1, [len(key)]]) if len(key) else [0]
-        low = (key & ((1 << block) - 1)).astype(np.uint16)
-        held = [low[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(key[at[:-1]] >> block, pa.int64()), pa.array(held, pa.binary())], names=["block", "held"])
+def common_prefixes(rows: DataFrame, size: int, least: int) -> np.ndarray:
+    """Hashes of pairs and triples that make up ``HEAVY`` of a sample and occur ``least`` times in it; 2 / ``HEAVY`` at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
         for batch in batches:
             _, _, hashes = lang_codes(batch)
             for words, row, goes_on in tokens(batch):
-                keys.append(pair_keys(words, hashes[row], bits)[goes_on])
-                if sum(map(len, keys)) >= HELD_PAIRS:
-                    yield from packed(keys)
-                    keys = []
-        if keys:
-            yield from packed(keys)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, at = np.zeros(1 << block, np.int64), None
-        for batch in batches:
-            at = batch.column("block")[0] if at is None and len(batch) else at
-            for held in batch.column("held").to_pylist():
-                n = len(held) // 3
-                total[np.frombuffer(held, np.uint16, n)] += np.frombuffer(held, np.uint8, n, 2 * n)
-        bit = np.packbits(total >= min(least, 255), bitorder="little").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([at.as_py()], pa.int64()), pa.array([bit], pa.binary())], names=["block", "bit"])
-
-    got = python_ready(rows).mapInArrow(count, "block bigint, held binary").groupBy("block").applyInArrow(add, "block bigint, bit binary").toArrow()
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    size = (1 << block) // 8
-    for at, bit in zip(got.column("block").to_pylist(), got.column("bit").to_pylist()):
-        out[at * size : (at + 1) * size] = np.frombuffer(bit, np.uint8)
-    return out
-
-
-def windows(rows: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
-    """(lang, w1, ..., w4, n): the padded window of each word, counted slice by slice."""
-    marks = rows.sparkSession.sparkContext.broadcast(frequent)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                keys = prefix_keys(words, hashes[row], goes_on)
+                for key in keys[:2]:
+                    key, n = np.unique(key, return_counts=True)
+                    often = n > 1 + len(words) * HEAVY / 8
+                    yield pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(n[often])], names=["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([len(words)])], names=["key", "n"])
+
+    share = min(1.0, SAMPLE_BYTES / max(size, 1))
+    some = rows if share == 1.0 else rows.sample(share, 11)
+    counts = python_ready(some).mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    total = counts.filter("key is null").first()
+    if total is None:
+        return np.zeros(0, np.uint64)
+    got = counts.filter(F.col("key").isNotNull() & (F.col("n") >= max(least, total.n * HEAVY))).select("key").toArrow()
+    return np.sort(got.column("key").to_numpy().view(np.uint64))
+
+
+def packed(words: list[str], codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Windows (rows of places in ``words``) and their counts as one compressed block."""
+    text = "\n".join(words).encode()  # a line feed ends a piece, so no word holds one
+    place = codes.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+    n = counts.astype(np.uint8 if counts.max() < 256 else np.int64)
+    body = place.T.tobytes() + n.tobytes() + text
+    head = np.array([len(codes), len(words), place.itemsize, n.itemsize, len(body)], np.int64).tobytes()
+    return head + pa.compress(body, CODEC, asbytes=True)
+
+
+def unpacked(block: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
+    rows, _, wide, high, size = np.frombuffer(block, np.int64, 5).tolist()
+    body = pa.decompress(block[40:], size, CODEC, asbytes=True)
+    at = rows * LONGEST * wide
+    codes = np.frombuffer(body, f"u{wide}", rows * LONGEST).reshape(LONGEST, rows).astype(np.int64)
+    return body[at + rows * high :].decode().split("\n"), codes, np.frombuffer(body, f"{'u' if high == 1 else 'i'}{high}", rows, at).astype(np.int64)
+
+
+def windows(rows: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, lang, level, block): padded windows, counted slice by slice; all windows with the same first ``level`` words share a bucket."""
+    held = rows.sparkSession.sparkContext.broadcast(common)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, code, hashes = lang_codes(batch)
             for words, row, goes_on in tokens(batch):
-                key = pair_keys(words, hashes[row], bits)
-                goes_on = goes_on & (marks.value[key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                index = words.indices.to_numpy()
-                lead, reach = {"lang": code[row], COLUMNS[0]: index}, np.ones(len(index), bool)
-                for i, c in enumerate(COLUMNS[1:], 1):  # the word i places on, -1 where the window has ended
+                two, three, four = prefix_keys(words, hashes[row], goes_on)
+                level = np.where(np.isin(two, held.value), np.where(np.isin(three, held.value), 4, 3), 2)
+                bucket = (np.choose(level - 2, [two, three, four]) % np.uint64(buckets)).astype(np.int64)
+                index, pad = words.indices.to_numpy(), len(words.dictionary)
+                lead, reach = {"bucket": bucket, "lang": code[row], "level": level, COLUMNS[0]: index}, np.ones(len(index), bool)
+                for i, c in enumerate(COLUMNS[1:], 1):  # the word i places on, or the padding
                     reach = reach & np.append(goes_on[i - 1 :], np.zeros(i - 1, bool))
-                    lead[c] = np.where(reach, np.append(index[i:], np.zeros(i, index.dtype)), -1)
-                got = pa.table(lead).group_by(["lang", *COLUMNS]).aggregate([([], "count_all")])
-                texts = pa.concat_arrays([words.dictionary, pa.array([""], pa.large_string())]).cast(pa.string())
-                pad = len(texts) - 1
-                take = lambda c: texts.take(pa.array(np.where((x := some[c].to_numpy()) < 0, pad, x)))  # noqa: B023, E731
-                for at in range(0, len(got), ROWS):
-                    some = got.slice(at, ROWS)
-                    yield pa.RecordBatch.from_arrays(
-                        [names.take(some["lang"].combine_chunks()), *[take(c) for c in COLUMNS], some["count_all"].combine_chunks()], names=["lang", *COLUMNS, "n"]
-                    )
-
-    return python_ready(rows).mapInArrow(count, ", ".join(["lang string", *[f"{c} string" for c in COLUMNS], "n bigint"]))
-
-
-def phrase_counts(rows: DataFrame, least: int, bits: int | None = None) -> DataFrame:
+                    lead[c] = np.where(reach, np.append(index[i:], np.zeros(i, index.dtype)), pad)
+                got = pa.table(lead).group_by(list(lead)).aggregate([([], "count_all")])
+                column = {c: got[c].to_numpy() for c in got.column_names}
+                order = np.lexsort([column[c] for c in [*COLUMNS[::-1], "level", "lang", "bucket"]])
+                column = {c: v[order] for c, v in column.items()}
+                codes = np.stack([column[c] for c in COLUMNS], 1)
+                new = np.zeros(len(order), bool)
+                new[:1] = True
+                for c in ("bucket", "lang", "level"):
+                    new[1:] |= column[c][1:] != column[c][:-1]
+                text = [*words.dictionary.to_pylist(), ""]
+                at = np.append(np.flatnonzero(new), len(order)).tolist()
+                blocks = []
+                for a, b in zip(at[:-1], at[1:]):
+                    own, place = np.unique(codes[a:b], return_inverse=True)
+                    blocks.append(packed([text[i] for i in own.tolist()], place.reshape(b - a, LONGEST), column["count_all"][a:b]))
+                firsts = np.array(at[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(column["bucket"][firsts]), names.take(pa.array(column["lang"][firsts])), pa.array(column["level"][firsts]), pa.array(blocks, pa.binary())],
+                    names=["bucket", "lang", "level", "block"],
+                )
+
+    return python_ready(rows).mapInArrow(pack, "bucket bigint, lang string, level bigint, block binary")
+
+
+def settled_windows(blocks: DataFrame, least: int) -> DataFrame:
+    """(lang, w1, ..., w4, n): the windows of each bucket, padded after the last word with which they occur ``least`` times."""
+    kinds = pa.schema([("lang", pa.string()), *[(c, pa.string()) for c in COLUMNS], ("n", pa.int64())])
+
+    def settle(group: pa.Table) -> pa.Table:
+        out = []
+        langs, levels, blocks_ = (group.column(c).to_pylist() for c in ("lang", "level", "block"))
+        for lang, level in sorted(set(zip(langs, levels))):
+            text, codes, counts, base = [], [], [], 0
+            for other, other_level, block in zip(langs, levels, blocks_):
+                if (other, other_level) == (lang, level):
+                    words, place, n = unpacked(block)
+                    text.append(pa.array(words))
+                    codes.append(place + base)
+                    counts.append(n)
+                    base += len(words)
+            known = pa.concat_arrays(text).dictionary_encode()
+            column = known.indices.to_numpy()[np.concatenate(codes, 1)].astype(np.int64)
+            pad, n = len(known.dictionary), np.concatenate(counts)
+            empty = known.dictionary.index("").as_py()
+            column[column == empty] = pad
+            order = np.lexsort(column[::-1])
+            column, n = column[:, order], n[order]
+            new = np.zeros(len(n), bool)
+            new[:1] = True
+            for k in range(LONGEST):  # runs of the first k + 1 words, and how often they occur
+                new[1:] |= column[k, 1:] != column[k, :-1]
+                if k + 1 >= level:
+                    head = np.flatnonzero(new)
+                    few = np.repeat(np.add.reduceat(n, head) < least, np.diff(np.append(head, len(n))))
+                    column[k:, few] = pad
+                    new[1:] = False  # words beyond are padded now: runs are taken anew from what is left
+                    for j in range(k + 1):
+                        new[1:] |= column[j, 1:] != column[j, :-1]
+            texts = pa.concat_arrays([known.dictionary, pa.array([""])])
+            got = pa.table({**{c: column[i] for i, c in enumerate(COLUMNS)}, "n": n}).group_by(COLUMNS).aggregate([("n", "sum")])
+            words_ = [texts.take(got[c].combine_chunks()) for c in COLUMNS]
+            out.append(pa.Table.from_arrays([pa.repeat(lang, len(got)), *words_, got["n_sum"].combine_chunks()], schema=kinds))
+        return pa.concat_tables(out)
+
+    return blocks.groupBy("bucket").applyInArrow(settle, ", ".join(["lang string", *[f"{c} string" for c in COLUMNS], "n bigint"]))
+
+
+def phrase_counts(rows: DataFrame, least: int, buckets: int | None = None) -> DataFrame:
     """(lang, words, f) of all phrases of 1 to 4 words with f >= ``least``, and of no words: all word occurrences of the language."""
-    if bits is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = min(max((size // 24).bit_length(), LEAST_BITS), MOST_BITS)
-    counted = windows(rows, frequent_pairs(rows, least, bits), bits)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if buckets is None:  # of a megabyte of text, or of 64 where that makes very many
+        buckets = max(-(-size >> 26), min(-(-size >> 20), 1024), 1)
+    counted = settled_windows(windows(rows, common_prefixes(rows, size, least), buckets), least)
     rolled = counted.rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
     # level k has the first k columns; a padded column is no phrase of that level
     whole = F.col("lang").isNotNull()
@@ -164,10 +225,10 @@ def phrase_counts(rows: DataFrame, least: int, bits: int | None = None) -> DataF
     return rolled.select("lang", F.filter(F.array(*COLUMNS), lambda w: w.isNotNull()).alias("words"), "f")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str = "text", lang: str = "lang", bits: int | None = None) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str = "text", lang: str = "lang", buckets: int | None = None) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
-    phrases = written(phrase_counts(rows, least, bits), "phrases")
+    phrases = written(phrase_counts(rows, least, buckets), "phrases")
     size, joined = F.size("words"), lambda w: F.array_join(w, " ")
     totals = phrases.filter(size == 0).select("lang", F.col("f").alias("n"))
     known = phrases.filter(size > 0).select("lang", joined("words").alias("part"), "f")

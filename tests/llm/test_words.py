@@ -139,22 +139,34 @@ def best_phrases(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bits", [4, 12])  # counters so few that most are shared, and enough
-def test_collocations_against_brute_force(spark, monkeypatch, bits):
-    monkeypatch.setattr(collocations, "BLOCK", 3)
-    rnd = random.Random(bits)
+@pytest.mark.parametrize("buckets, heavy", [(1, 1.0), (7, 0.01)])  # all windows in one bucket; many, and common pairs and triples divided
+def test_collocations_against_brute_force(spark, monkeypatch, buckets, heavy):
+    own = collocations.common_prefixes
+    monkeypatch.setattr(collocations, "HEAVY", heavy)
+    found = []
+    monkeypatch.setattr(collocations, "common_prefixes", lambda *a: found.append(own(*a)) or found[-1])
+    rnd = random.Random(buckets)
     words = ["a", "B", "b", "c", "é", "\x00", "d-e", "a\xa0b", "zz", "ß"]
     text = lambda: "".join(rnd.choice(words) + rnd.choice([" ", " ", " ", "  ", "\t", ". ", "\n", ","]) for _ in range(rnd.randint(0, 60)))
     rows = [(text(), rnd.choice(["x", "y", None, "und"])) for _ in range(120)] + [(None, "x"), ("", "w"), (".,", None), ("a b c a b c " * 400, "long")]
     df = spark.createDataFrame([(t, lang, "q", 1) for t, lang in rows], "text string, lang string, w1 string, n int").repartition(3)
-    got = collocations.collocations(df, least=5, top=15, bits=bits)
+    got = collocations.collocations(df, least=5, top=15, buckets=buckets)
     fields = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
-    assert got.columns and sorted(tuple(r[c] for c in fields) for r in got.collect()) == best_phrases(rows, 5, 15)
+    assert sorted(tuple(r[c] for c in fields) for r in got.collect()) == best_phrases(rows, 5, 15)
+    assert (len(found[0]) > 5) == (heavy < 1)
+
+
+def test_blocks_of_windows():
+    rng = np.random.default_rng(1)
+    for words in (["", "a", "é"], [f"w{i}" for i in range(70_000)]):
+        codes, counts = rng.integers(0, len(words), (50, 4)), rng.integers(1, 300, 50)
+        text, place, n = collocations.unpacked(collocations.packed(words, codes, counts))
+        assert text == words and (place == codes.T).all() and (n == counts).all()
 
 
 def test_collocations_of_no_rows(spark):
     empty = spark.createDataFrame([], "text string, lang string")
-    assert collocations.collocations(empty, bits=6).count() == 0
+    assert collocations.collocations(empty).count() == 0
 
 
 def test_long_text_in_parts(spark, monkeypatch):
