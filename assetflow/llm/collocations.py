@@ -35,7 +35,7 @@ from assetflow.llm.slices import runs, slices, strings
 from assetflow.session import table
 
 LONGEST, LEAST, TOP = 4, 30, 2000
-SLICE_BYTES, ROWS = 4 << 20, 1 << 17
+SLICE_BYTES, PARTS = 4 << 20, 256
 SAMPLE_BYTES, HEAVY = 16 << 20, 0.002  # the sample that finds common pairs, and the share of its words from which a pair is one
 # Pieces end at these characters, words are divided by blanks and tabs.
 ENDS = np.zeros(256, bool)
@@ -248,9 +248,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str
     held = best.join(longer, ["lang", "phrase"], "left")
     held = held.filter(F.col("f").isNull() | (wide(F.col("f")) * 100 < wide(F.col("a")) * 80))
     held = held.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
-    # each task hands on its first ``top`` of a language; the totals come to what is left
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = held.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # a language is divided, and each part hands on its first ``top``; the totals come to what is left
+    best_first = [F.desc("score"), F.desc("a"), "phrase"]
+    within = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*best_first))
+    first = held.withColumn("rank", within).filter(F.col("rank") <= top).drop("rank")
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first))).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").withColumn("rank", F.col("rank").cast("bigint"))
 
 
