@@ -13,7 +13,7 @@ from assetflow.fixtures import derive, duck
 from assetflow.queries.base import query
 from assetflow.queries.rules import BASE_SQL, EXT_SQL, FOLDER_SQL, NORM, ROUTE_SQL, SELECT_SQL
 from assetflow.session import scratch_path, table
-from assetflow.streaming import convert, folder, names, watch
+from assetflow.streaming import convert, folder, names, replay, watch
 
 GAP_MS = 12 * 3600 * 1000.0
 WAIT_MS = 1000.0  # clock time without events after which a replayed path is fired
@@ -248,3 +248,46 @@ def watch_convert_stream(spark, sf):
         writer.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     kinds = "job_id bigint, asset_id bigint, output_no bigint, destination string, batch bigint"
     return spark.read.schema(kinds).parquet(f"{out}/out/outputs").select("batch", "asset_id", "job_id", "output_no", "destination")
+
+
+# Events of the table come in any order: each micro-batch holds some of every time.  So all wait for an event of each path that is
+# later by more than the lateness, which ends the log; no timer is needed.
+FAR_MS, DAY_MS, END = 30 * 365.25 * 86_400_000, 86_400_000.0, "TIMESTAMP '2100-01-01'"
+
+
+def _shuffled(spark, rows, label: str):
+    """A table as a stream of four files: each of three has every third event of the log, the last one ends each path."""
+    out = scratch_path(spark, label)
+    for n in (2, 0, 1):
+        rows.filter(F.col("event_id") % 3 == n).coalesce(1).write.mode("append").parquet(out)
+    ends = rows.groupBy("path_key").agg(F.expr(END).alias("ts"))
+    spark.read.schema(rows.schema).parquet(out).limit(0).unionByName(ends, True).select(*rows.columns).coalesce(1).write.mode("append").parquet(out)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(out)
+
+
+def _read_through(spark, stream, label: str):
+    """What a stream says until its input is read; its timers are a day off."""
+    out = scratch_path(spark, label)
+    with _rocksdb(spark):
+        watch.run_until_fired(stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append"), 0.0)
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def _stable_in_order(spark, sf):
+    events = derive(spark, sf, "file_events").withColumns({"modified": F.to_date("ts").cast("timestamp"), "length": F.col("length") % 3, "ts": F.col("ts").cast("timestamp")})
+    probes = _shuffled(spark, watch.watched(events).select("path_key", "event_id", "ts", "length", "modified"), "probes")
+    return _read_through(spark, replay.stable_in_order(probes, GAP_MS, FAR_MS, DAY_MS), "stable")
+
+
+@query(duck("file_events", EPISODE_SQL + "SELECT path_key, episode, event_id, length FROM st"))
+def stable_in_order(spark, sf):
+    """The probes in three micro-batches out of order, through keyed state that waits for what is late."""
+    return _stable_in_order(spark, sf).select("path_key", "episode", "event_id", "length")
+
+
+@query(duck("file_events", EPISODE_SQL + """
+SELECT path_key, event_id, length FROM st QUALIFY NOT coalesce(lag(length) OVER (PARTITION BY path_key ORDER BY ts, event_id) = length AND lag(modified) OVER (PARTITION BY path_key ORDER BY ts, event_id) = modified, FALSE)"""))
+def repeats_in_order(spark, sf):
+    """Ready files in three micro-batches out of order."""
+    ready = _shuffled(spark, _stable_in_order(spark, sf), "ready")
+    return _read_through(spark, replay.repeats_in_order(ready, FAR_MS, DAY_MS), "signals").select("path_key", "event_id", "length")

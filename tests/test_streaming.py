@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from assetflow.streaming import convert, folder, names, watch
+from assetflow.streaming import convert, folder, names, replay, watch
 from tests.test_sources import ASSET_COLUMNS, ASSETS, job
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).replace(tzinfo=None)
@@ -233,3 +233,40 @@ def test_names_are_kept_between_batches(spark, tmp_path):
     locked = base.filter("is_pdf and is_encrypted and not is_unlocked")
     assert locked.count() > 0 and len(feed(locked)) == 4
     assert spark.read.parquet(f"{out}/failures").count() == locked.count()
+
+
+def test_state_in_order_and_ended(spark, probes, tmp_path):
+    batch, _ = probes
+    rows, source = watch.watched(batch), str(tmp_path / "log")
+    for n in (1, 2, 0):  # three micro-batches, each with some of every time
+        rows.filter(f"event_id % 3 = {n}").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    state, out = str(tmp_path / "state"), str(tmp_path / "rows")
+
+    def run(ttl):
+        ready = replay.stable_in_order(stream, 10_000, 1_000_000, 500, ttl)
+        writer = ready.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append")
+        watch.run_until_fired(writer, 500 + ttl, 300)
+        return spark.read.schema(ready.schema).parquet(out)
+
+    assert pick(run(300)) == READY
+    held = spark.read.format("statestore").option("path", state).option("stateVarName", "known").load()
+    assert held.count() == 0  # every path was idle for its time
+    # an old row: nothing is known any more, so it begins anew
+    rows.filter("event_id in (2, 3)").coalesce(1).write.mode("append").parquet(source)
+    assert pick(run(300)) == sorted([*READY, ("/w/a.png", 3.0, 20)])
+
+
+def test_late_rows_are_told(spark, tmp_path):
+    source = str(tmp_path / "log")
+    schema = "event_id long, path_key string, ts timestamp, length long, modified timestamp"
+    feed = lambda *rows: spark.createDataFrame([(i, "a", at(s), n, START) for i, s, n in rows], schema).coalesce(1).write.mode("append").parquet(source)
+    feed((0, 0, 5), (5, 60, 5), (1, 100, 5), (2, 101, 5))
+    feed((3, 50, 5), (4, 96, 5))  # the first is behind what was walked
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    ready = replay.stable_in_order(stream, 10_000, 20_000, 400, 10_000)
+    out = str(tmp_path / "rows")
+    writer = ready.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).outputMode("append")
+    watch.run_until_fired(writer, 400, 300)
+    got = sorted(((r.ts - START).total_seconds(), r.episode) for r in spark.read.schema(ready.schema).parquet(out).collect())
+    assert got == [(50.0, None), (100.0, 3)]
