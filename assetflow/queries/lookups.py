@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.fixtures import assets_jobs, derive, duck
 from assetflow.operators import lookups as L
 from assetflow.operators import sets, tiles
-from assetflow.plans import conversion
+from assetflow.plans import conversion, runs
 from assetflow.queries.base import query
-from assetflow.queries.rules import NORM, ROUTE_SQL, SELECT_SQL
+from assetflow.queries.rules import COLLIDE_SQL, EXT_SQL
+from assetflow.session import scratch_path
 
 
 @query(duck("assets", """
@@ -110,20 +115,57 @@ def model_stage(spark, sf):
     )
 
 
-@query(duck("assets jobs overrides", NORM + SELECT_SQL + ROUTE_SQL + """
-, bad AS (SELECT DISTINCT job_id, lower(path) AS k FROM assets WHERE job_id IN (SELECT job_id FROM jobs WHERE model_stage) AND NOT is_pdf AND frame_count <= 1 AND lower(ext) IN ('.jpg','.jpeg','.png','.webp','.bmp','.tif','.tiff','.gif') AND least(width, height) < 200),
-early AS (SELECT job_id, count(*) AS n FROM assets WHERE job_id IN (SELECT job_id FROM jobs WHERE model_stage) AND NOT is_pdf AND frame_count <= 1 AND lower(ext) IN ('.jpg','.jpeg','.png','.webp','.bmp','.tif','.tiff','.gif') AND least(width, height) < 200 GROUP BY 1),
-rest AS (SELECT * FROM rt WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.job_id = rt.job_id AND bad.k = lower(rt.path))),
-o AS (SELECT job_id, sum(CASE WHEN is_encrypted AND NOT is_unlocked THEN 0 WHEN strategy IN ('pdf_split','pdf_pages') THEN page_count WHEN strategy IN ('gif_pdf_frames','gif_frames') THEN frame_count ELSE 1 END) AS outputs,
-    count_if(is_encrypted AND NOT is_unlocked) AS locked FROM rest GROUP BY 1)
-SELECT j.job_id, count(a.job_id) AS total_count, coalesce(any_value(early.n), 0) + coalesce(any_value(o.locked), 0) AS failure_count, count(a.job_id) - coalesce(any_value(early.n), 0) - coalesce(any_value(o.locked), 0) AS success_count, CAST(coalesce(any_value(o.outputs), 0) AS BIGINT) AS outputs
-FROM jobs j LEFT JOIN assets a ON a.job_id = j.job_id LEFT JOIN o ON j.job_id = o.job_id LEFT JOIN early ON early.job_id = j.job_id GROUP BY 1"""))
+ELIGIBLE = "job_id IN (SELECT job_id FROM jobs WHERE model_stage) AND NOT is_pdf AND frame_count <= 1 AND lower(ext) IN ('.jpg','.jpeg','.png','.webp','.bmp','.tif','.tiff','.gif')"
+RUN_SQL = COLLIDE_SQL.replace("\n, named AS", f"""
+, early AS (SELECT job_id, path, file_name, lower(path) AS k FROM assets WHERE {ELIGIBLE} AND least(width, height) < 200)
+, rest AS (SELECT * FROM rt WHERE NOT EXISTS (SELECT 1 FROM early WHERE early.job_id = rt.job_id AND early.k = lower(rt.path)))
+, named AS""", 1).replace("FROM rt) WHERE NOT", "FROM rest) WHERE NOT", 1).rsplit("SELECT n.asset_id, n.job_id", 1)[0] + f"""
+, placed AS (SELECT r.*, n.folder || '/' || n.base_name || CASE WHEN coalesce(w.slot, 0) > 0 THEN '(' || w.slot || ')' ELSE '' END || n.ext_out AS destination, n.ext_out = '' AS inside, n.folder AS parent
+  FROM named n JOIN rest r ON r.asset_id = n.asset_id LEFT JOIN (SELECT * FROM walk WHERE asset_id IS NOT NULL) w ON w.asset_id = n.asset_id)
+, outs AS (SELECT job_id, path, strategy, destination, inside, parent, i + 1 AS output_no, destination || CASE WHEN NOT inside THEN '' ELSE
+    CASE WHEN strategy IN ('pdf_split','pdf_pages') THEN '/page_' || (i + 1) WHEN strategy = 'gif_specific_pdf' THEN '/frame_' || (frame_index + 1) ELSE '/frame_' || (i + 1) END
+    || CASE WHEN strategy = 'pdf_split' THEN '.pdf' ELSE {EXT_SQL} END END AS item
+  FROM (SELECT *, unnest(range(0, CASE WHEN strategy IN ('pdf_split','pdf_pages') THEN greatest(page_count, 1) WHEN strategy IN ('gif_pdf_frames','gif_frames') THEN greatest(frame_count, 1) ELSE 1 END)) AS i FROM placed))
+, fails AS (SELECT job_id, path, file_name, 'image too small' AS reason FROM early
+  UNION ALL SELECT job_id, path, file_name, 'locked' FROM rest WHERE is_encrypted AND NOT is_unlocked)
+, counts AS (SELECT j.job_id, any_value(j.output_format) AS fmt, any_value(j.compression_mode) AS comp, any_value(j.quality) AS q, any_value(j.resize_mode) AS rs, any_value(j.gif_mode) AS gm,
+    count(a.job_id) AS n, coalesce(any_value(f.bad), 0) AS bad, coalesce(sum(a.size_bytes), 0)::BIGINT AS bytes
+  FROM jobs j LEFT JOIN assets a ON a.job_id = j.job_id LEFT JOIN (SELECT job_id, count(*) AS bad FROM fails GROUP BY 1) f ON f.job_id = j.job_id GROUP BY 1)
+, heads AS (SELECT job_id, unnest(['Run report', 'at: 2024-05-06 07:08:09', 'started by: watch', 'to: ' || fmt, 'compression: ' || comp, 'quality: ' || q, 'resizing: ' || rs, 'animations: ' || gm, 'inputs: ' || n,
+    'done: ' || n, 'good: ' || (n - bad), 'bad: ' || bad, 'stopped early: false', 'took: 01:30.50', '', 'Inputs:']) AS line, unnest(range(1, 17)) AS line_no FROM counts WHERE bad > 0)
+SELECT 'output' AS part, job_id, output_no AS n, item, path || ' ' || strategy AS detail FROM outs
+UNION ALL SELECT 'failure', job_id, 0, path, file_name || ': ' || reason FROM fails
+UNION ALL SELECT DISTINCT 'directory', job_id, 0, CASE WHEN inside THEN destination ELSE parent END, '' FROM outs
+UNION ALL SELECT 'history', job_id, n, fmt, (n - bad) || ' ' || bad || ' ' || bytes FROM counts
+UNION ALL SELECT 'log', job_id, line_no, line, '' FROM heads
+UNION ALL SELECT 'log', a.job_id, 16 + row_number() OVER (PARTITION BY a.job_id ORDER BY asset_id), '- ' || path, '' FROM assets a JOIN counts c ON c.job_id = a.job_id WHERE c.bad > 0
+UNION ALL SELECT 'log', job_id, 17 + n + i, CASE i WHEN 0 THEN '' ELSE 'Not converted:' END, '' FROM counts, (SELECT unnest([0, 1]) AS i) WHERE bad > 0
+UNION ALL SELECT 'log', f.job_id, 18 + n + row_number() OVER (PARTITION BY f.job_id ORDER BY lower(file_name), file_name, path, reason), '- ' || file_name || ': ' || reason, '' FROM fails f JOIN counts c ON c.job_id = f.job_id"""
+
+
+@query(RUN_SQL)
 def conversion_run(spark, sf):
-    """Model stage, numbering, routing, naming, expansion and summary of every job at once."""
+    """A run of every job, committed as a whole and read back: every output, failure, folder, history row and line of the
+    log.  The model stage comes first, and the input files are on disk already.  A first attempt of the run, which stops
+    after its failures, leaves nothing to the reader."""
     assets, jobs = derive(spark, sf, "assets"), derive(spark, sf, "jobs")
+    existing = assets.select(F.concat(F.lit("/in/"), "source").alias("folder"), "file_name")
     stage = conversion.model_stage(assets, _stub_model, jobs)
-    run = conversion.run_conversion(assets, jobs, ["asset_id"], derive(spark, sf, "overrides"), stage=stage)
-    written = run["outputs"].groupBy("job_id").agg(F.count(F.lit(1)).alias("outputs"))
-    return run["summary"].join(written, "job_id", "left").na.fill(0, ["outputs"]).select(
-        "job_id", "total_count", "failure_count", "success_count", "outputs"
+    store = runs.RunStore(spark, scratch_path(spark, "runs"))
+    store.begin("all").write("failures", stage.failures)
+    started = datetime(2024, 5, 6, 7, 8, 9, tzinfo=timezone.utc)
+    runs.commit_run(
+        store, "all", assets, jobs, ["asset_id"], derive(spark, sf, "overrides"), existing, stage,
+        trigger_source="watch", started=started, finished=started + timedelta(seconds=90.5),
     )
+    no, none = F.lit(0).cast("bigint"), F.lit("")
+    parts = {
+        "output": store.read("outputs").select("job_id", F.col("output_no").alias("n"), F.col("output_path").alias("item"), F.concat_ws(" ", "path", "strategy").alias("detail")),
+        "failure": store.read("failures").select("job_id", no.alias("n"), F.col("path").alias("item"), F.concat("file_name", F.lit(": "), "reason").alias("detail")),
+        "directory": store.read("directories").select("job_id", no.alias("n"), F.col("folder").alias("item"), none.alias("detail")),
+        "history": store.read("history").select(
+            "job_id", F.col("total_count").alias("n"), F.col("output_format").alias("item"), F.concat_ws(" ", "success_count", "failure_count", "original_bytes").alias("detail")
+        ),
+        "log": store.read("log").select("job_id", F.col("line_no").alias("n"), F.col("line").alias("item"), none.alias("detail")),
+    }
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(part).alias("part"), "*") for part, rows in parts.items()])
