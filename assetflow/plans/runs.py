@@ -50,7 +50,8 @@ class RunStore:
 
     def commits(self) -> DataFrame:
         """``run_id, attempt, number, committed_at`` of the newest commit of every run."""
-        every = self._stored("commits", T.StructType.fromDDL(COMMIT))
+        # Spark prunes partitions by a join only where the other side is filtered; every commit has a number from 1 on
+        every = self._stored("commits", T.StructType.fromDDL(COMMIT)).filter(F.col("number") >= 1)
         newest = F.max(F.struct("number", "committed_at", "attempt")).alias("c")
         return every.groupBy("run_id").agg(newest).select("run_id", "c.attempt", "c.number", "c.committed_at")
 

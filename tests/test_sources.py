@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import struct
 import zlib
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from assetflow.plans import conversion
+from assetflow.plans import conversion, runs
 from assetflow.sources import failure_log, headers, history, plan_sink, presets, rasters, scan
 from assetflow.schemas import PRESET_DEFAULTS
 
@@ -198,3 +199,50 @@ def test_run_with_nothing_left(spark):
     run = conversion.run_conversion(assets, spark.createDataFrame([job(1)]), ["asset_id"], stage=stage)
     assert run["outputs"].count() == 0
     assert tuple(run["summary"].first()) == (1, 1, 1, 1, 0)
+
+
+def committed(store):
+    paths = lambda run: sorted(r.output_path for r in store.read("outputs", run).collect())
+    return {r.run_id: paths(r.run_id) for r in store.commits().collect()}
+
+
+def test_runs_are_committed_as_a_whole(spark, tmp_path):
+    store = runs.RunStore(spark, str(tmp_path / "runs"))
+    assert store.commits().count() == store.read("outputs").count() == store.recent().count() == 0
+    assets, jobs = spark.createDataFrame(ASSETS, ASSET_COLUMNS), spark.createDataFrame([job(1), job(2), job(3)])
+    at = datetime(2024, 5, 6, tzinfo=timezone.utc)
+    runs.commit_run(store, "007", assets.filter("job_id = 2"), jobs, ["asset_id"], started=at, finished=at + timedelta(seconds=2))
+    assert committed(store) == {"007": ["/out/x.png"]}
+    # a run stopped after some of its tables is not seen, also where it repeats a committed one
+    broken = store.begin("007")
+    broken.write("outputs", store.read("outputs"))
+    store.begin("008").write("outputs", store.read("outputs"))
+    assert committed(store) == {"007": ["/out/x.png"]}
+    assert {r.run_id for r in store.leftovers().collect()} == {"007", "008"}
+    # a second run takes the first one's names into account; a repeat replaces
+    runs.commit_run(store, "009", assets.filter("job_id = 2"), jobs, ["asset_id"], reserved=store.names("009"), started=at, finished=at)
+    assert committed(store) == {"007": ["/out/x.png"], "009": ["/out/x(1).png"]}
+    runs.commit_run(store, "007", assets, jobs, ["asset_id"], reserved=store.names("007"), started=at, finished=at)
+    assert committed(store)["007"] == ["/out/a(1).png", "/out/a(2).png", "/out/a.png", *[f"/out/g/frame_{n}.png" for n in range(1, 5)], "/out/x.png"]
+    assert {r.number for r in store.commits().filter("run_id = '007'").collect()} == {2}
+    told = {r.job_id: (r.total_count, r.success_count, r.failure_count, r.original_bytes) for r in store.read("history", "007").collect()}
+    assert told == {1: (5, 4, 1, 500), 2: (1, 1, 0, 100), 3: (0, 0, 0, 0)}
+    assert [(r.job_id, r.reason) for r in store.read("failures", "007").collect()] == [(1, "locked")]
+    lines = [r.line for r in store.read("log", "007").orderBy("line_no").collect()]
+    assert lines[0] == "Run report" and lines[-1] == "- b.pdf: locked" and "- /in/g.gif" in lines
+    assert len(store.recent(4).collect()) == 4
+    with pytest.raises(ValueError, match="named by"):
+        store.begin("a/b")
+
+
+def test_a_reader_of_runs_skips_other_attempts(spark, tmp_path):
+    store = runs.RunStore(spark, str(tmp_path / "runs"))
+    row = spark.range(1).select(F.lit(1).alias("job_id"), F.lit("/out").alias("folder"))
+    for n in range(3):
+        attempt = store.begin("r")
+        attempt.write("directories", row)
+        attempt.commit()
+    store.begin("q").write("directories", row)
+    found = store.read("directories")
+    assert [(r.run_id, r.folder) for r in found.collect()] == [("r", "/out")]
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
