@@ -3,9 +3,10 @@
 The lines of all documents, in order of the documents, are one sequence; lines that occur only once cut it, since no repeat goes
 through them.  What is left of a document from a line on, up to the next cut, is a suffix.  Equal suffixes have one
 identifier, made backwards from the end, and are one row with the place where they occur first: whole copies of
-documents cost nothing in what follows.  Prefix doubling sorts the distinct suffixes: a round of ranks by the first 2h
-lines comes from the rank by the first h and the rank of what follows after h lines.  Neighbours in the order get the length of
-their longest common prefix (LCP) from the ranks of all rounds.
+documents cost nothing in what follows.  Prefix doubling sorts the distinct suffixes: the first ranks are by the first eight
+lines (the head), and a round of ranks by the first 2h lines comes from the rank by the first h and the rank of what follows after h lines.
+Neighbours in the order get the length of their longest common prefix (LCP) from the ranks of all rounds and, for what
+is less than eight lines, from the heads.
 
 A line is deleted if it lies in a run of lines, of at least ``min_words`` words together, that also begins at an earlier place.  The longest
 such run at a place is given by the LCP intervals that hold an earlier place: the neighbours to the left and right, in suffix order, that
@@ -29,7 +30,7 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetflow.llm.base import llm_query
@@ -39,6 +40,7 @@ from assetflow.session import table
 MIN_WORDS = 50
 BLOCK, FAN = 8192, 64  # suffixes of a block of the order; blocks that become one in the next round
 RANK_BITS = 16  # ranks inside a group are numbered in blocks of so many bits
+HEAD, ID_BYTES = 8, 16  # lines that the first ranks compare; bytes of a line's identifier
 
 
 def _lines(df: DataFrame, text: str) -> DataFrame:
@@ -65,25 +67,27 @@ def _lines(df: DataFrame, text: str) -> DataFrame:
 
 
 def _suffixes(live: DataFrame) -> DataFrame:
-    """(key, line, words, id, suffix, next, length): ``suffix`` names the lines from here to the next cut."""
+    """(key, line, words, head, suffix, next, length): ``suffix`` names the lines from here to the next cut, ``head`` holds the
+    identifiers of its first HEAD lines, and ``next`` names what follows after them."""
     per_doc = live.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", "words", "id"))).alias("ls"))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "line", "words", "id", "suffix", "next", "length"]
+        names = ["key", "line", "words", "head", "suffix", "next", "length"]
         for batch in batches:
             rows = []
             for key, ls in zip(batch.column("key").to_pylist(), batch.column("ls").to_pylist()):
-                after, name, length = -1, None, 0
+                after, head, length, since = -1, b"", 0, []
                 for x in reversed(ls):
-                    follows, length = (name, length + 1) if after == x["line"] + 1 else (None, 1)
-                    name = md5(x["id"] + (follows or b"")).digest()
-                    after = x["line"]
-                    rows.append((key, after, x["words"], x["id"], name, follows, length))
+                    if after != x["line"] + 1:
+                        head, length, since = b"", 0, []
+                    since.append(md5(x["id"] + (since[-1] if since else b"")).digest())
+                    after, head, length = x["line"], (x["id"] + head)[: HEAD * ID_BYTES], length + 1
+                    rows.append((key, after, x["words"], head, since[-1], since[-1 - HEAD] if length > HEAD else None, length))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
             columns = list(zip(*rows)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return per_doc.mapInArrow(chain, "key bigint, line int, words int, id binary, suffix binary, next binary, length int")
+    return per_doc.mapInArrow(chain, "key bigint, line int, words int, head binary, suffix binary, next binary, length int")
 
 
 def _before(*by: str) -> Window:
@@ -95,20 +99,21 @@ def _sum_before(*by: str):
 
 
 def _first_ranks(classes: DataFrame) -> DataFrame:
-    """Rank of every suffix by its first line: (suffix, ptr, r, n, rs, ps), n suffixes sharing the rank r."""
-    each = classes.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    # identifiers are spread evenly, so their first bytes make even blocks; 65536 rows are summed up in one window
-    each = each.withColumn("blk", F.conv(F.hex(F.substring("id", 1, 2)), 16, 10).cast("int"))
+    """Rank of every suffix by its head: (suffix, ptr, r, n, rs, ps), n suffixes sharing the rank r."""
+    each = classes.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    # distinct heads in ranges of even size, whatever line many of them begin with; positions are summed up in blocks
+    each = each.repartitionByRange("head").sortWithinPartitions("head").withColumn("pos", F.monotonically_increasing_id())
+    each = written(each, "heads").withColumn("blk", F.shiftright("pos", RANK_BITS))
     blocks = each.groupBy("blk").agg(F.sum("n").alias("n")).select("blk", _sum_before("blk").alias("base"))
-    ranked = each.withColumn("own", _sum_before("blk", "id")).join(blocks, "blk").select("id", "n", (F.col("base") + F.col("own") + 1).alias("r"))
-    return classes.join(ranked, "id").select(
+    ranked = each.withColumn("own", _sum_before("blk", "pos")).join(blocks, "blk").select("head", "n", (F.col("base") + F.col("own") + 1).alias("r"))
+    return classes.join(ranked, "head").select(
         "suffix", F.col("next").alias("ptr"), "r", "n", F.array("r").alias("rs"), F.array(F.col("next")).alias("ps")
     )
 
 
 def suffix_order(classes: DataFrame) -> DataFrame:
     """(suffix, r, rs, ps) of the distinct suffixes: r is the place in the order, from 1; rs and ps are rank and
-    following suffix after 1, 2, 4, ... lines, as far as the suffix was not alone."""
+    following suffix after 1, 2, 4, ... times HEAD lines, as far as the suffix was not alone."""
     rounds = Steps(classes, "ranks")
     last = rounds.add(_first_ranks(classes))
     while not (open_ := last.filter("n > 1")).isEmpty():
@@ -134,29 +139,34 @@ def suffix_order(classes: DataFrame) -> DataFrame:
     return rounds.all().filter("n = 1").select("suffix", "r", "rs", "ps")
 
 
+def _shared_head(one: str, other: str) -> Column:
+    """How many lines two heads share, from the first on."""
+    part = lambda head, i: F.substring(F.col(head), F.lit(1), i * ID_BYTES)
+    counts = F.array(*[F.lit(i) for i in range(1, HEAD + 1)])
+    same = F.filter(counts, lambda i: (part(one, i) == part(other, i)) & (F.octet_length(part(one, i)) == i * ID_BYTES))
+    return F.size(same).cast("bigint")
+
+
 def neighbour_prefixes(order: DataFrame) -> DataFrame:
-    """(r, lcp): lines that the suffix at r shares with the one before it; pairs that share none are left out."""
-    side = lambda n: order.select(*[F.col(c).alias(f"{c}{n}") for c in ("suffix", "r", "rs", "ps")])
-    ready = side(0).join(side(1), F.col("r0") == F.col("r1") + 1).filter(F.get("rs0", F.lit(0)) == F.get("rs1", F.lit(0)))
-    ready = ready.select(F.col("r0").alias("r"), F.lit(0).cast("bigint").alias("lcp"), "rs0", "ps0", "rs1", "ps1")
-    steps, pairs = Steps(order, "prefixes"), Steps(order, "pairs")
+    """(r, lcp): lines that the suffix at r of ``order`` (suffix, r, rs, ps, head) shares with the one before it; pairs that
+    share none are left out."""
+    side = lambda n: order.select(*[F.col(c).alias(f"{c}{n}") for c in ("suffix", "r", "rs", "ps", "head")])
+    steps = Steps(order, "prefixes")
+    ready = side(0).join(side(1), F.col("r0") == F.col("r1") + 1).withColumns({"r": F.col("r0"), "lcp": F.lit(0).cast("bigint")})
     while True:
-        # equal ranks up to level k: 2**k lines are shared, fewer than twice as many; level 0 alone is one line
+        # equal ranks up to level k: HEAD * 2**k lines are shared, fewer than twice as many; no equal rank: fewer than HEAD
         level = F.size(F.filter(F.zip_with("rs0", "rs1", lambda x, y: x == y), lambda e: e)) - 1
-        step = ready.select(
+        shared = F.call_function("shiftleft", F.lit(HEAD).cast("bigint"), F.col("level"))
+        step = ready.withColumn("level", level).select(
             "r",
-            (F.col("lcp") + F.call_function("shiftleft", F.lit(1).cast("bigint"), level)).alias("lcp"),
-            F.when(level > 0, F.get("ps0", level)).alias("a"),
-            F.when(level > 0, F.get("ps1", level)).alias("b"),
+            (F.col("lcp") + F.when(F.col("level") < 0, _shared_head("head0", "head1")).otherwise(shared)).alias("lcp"),
+            F.when(F.col("level") >= 0, F.get("ps0", F.col("level"))).alias("a"),
+            F.when(F.col("level") >= 0, F.get("ps1", F.col("level"))).alias("b"),
         )
-        more = steps.add(step).filter("a is not null and b is not null")
+        more = steps.add(step.filter("lcp > 0")).filter("a is not null and b is not null")
         if more.isEmpty():
-            break
-        joined = more.join(side(0), F.col("a") == F.col("suffix0")).join(side(1), F.col("b") == F.col("suffix1"))
-        same = F.get("rs0", F.lit(0)) == F.get("rs1", F.lit(0))
-        ready = pairs.add(joined.select("r", "lcp", "rs0", "ps0", "rs1", "ps1", same.alias("same"))).filter("same").drop("same")
-    done = steps.all().filter("a is null or b is null").select("r", "lcp")
-    return done.unionByName(pairs.all().filter("not same").select("r", "lcp")) if pairs.paths else done
+            return steps.all().filter("a is null or b is null").select("r", "lcp")
+        ready = more.join(side(0), F.col("a") == F.col("suffix0")).join(side(1), F.col("b") == F.col("suffix1"))
 
 
 def _nearest_earlier(p: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,12 +234,11 @@ def _masks(docs: DataFrame, text: str, min_words: int) -> DataFrame:
     twice = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
     suffixes = written(_suffixes(lines.join(twice, "id")), "suffixes")
     classes = suffixes.groupBy("suffix").agg(
-        F.min(F.struct("key", "line")).alias("at"), F.first("id").alias("id"), F.first("next").alias("next")
+        F.min(F.struct("key", "line")).alias("at"), F.first("head").alias("head"), F.first("next").alias("next")
     )
-    classes = written(classes.select("suffix", "at.key", "at.line", "id", "next"), "classes")
-    order = written(suffix_order(classes), "order")
-    first = order.select("suffix", "r").join(classes.select("suffix", "key", "line"), "suffix").select("r", "key", "line")
-    first = written(first, "first")
+    classes = written(classes.select("suffix", "at.key", "at.line", "head", "next"), "classes")
+    order = written(suffix_order(classes).join(classes.drop("next"), "suffix"), "order")
+    first = order.select("r", "key", "line")
     runs = earlier_runs(first, neighbour_prefixes(order))
     firsts = first.join(runs, "r", "left").select("key", "line", F.coalesce("run", F.lit(0)).alias("run"))
     # a suffix that is not the first of its kind occurs earlier as a whole
