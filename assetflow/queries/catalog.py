@@ -147,7 +147,7 @@ PACKET_FIRST = "coalesce(nullif(trim({x}), ''), nullif(trim({i}), ''), CASE WHEN
     regexp_extract(sample, '(?is)<dc:creator[^>]*>.*?<rdf:li[^>]*>([^<]*)<', 1) AS ax, regexp_extract(sample, '/Author\s*\(([^()\\]*)\)', 1) AS ai,
     regexp_matches(sample, '/Author\s*\(([^()\\]*)\)') OR regexp_matches(sample, '(?i)<dc:creator[\s>]') AS am
   FROM pdf_texts),
-f AS (SELECT *, CASE WHEN is_encrypted AND ea > 0 THEN TRY_CAST(regexp_extract(substr(sample, ea, 512), '/P\s+(-?\d+)', 1) AS BIGINT) END AS flags FROM v)
+f AS (SELECT *, CASE WHEN is_encrypted AND ea > 0 THEN TRY_CAST(regexp_extract(substr(sample, ea), '/P\s+(-?\d+)', 1) AS BIGINT) END AS flags FROM v)
 SELECT asset_id, CASE WHEN va > 0 THEN nullif(trim(substr(sample, va + 5, 3)), '') END AS version, ea > 0 AS has_encryption_marker,
   coalesce(CAST(CASE WHEN NOT is_encrypted THEN TRUE ELSE (flags & 16) <> 0 END AS VARCHAR), 'unknown') AS allow_copy,
   coalesce(CAST(CASE WHEN NOT is_encrypted THEN TRUE ELSE (flags & 4) <> 0 END AS VARCHAR), 'unknown') AS allow_print,

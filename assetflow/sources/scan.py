@@ -21,11 +21,16 @@ def scan_inputs(
 
 
 def read_content(spark: SparkSession, roots: list[str], glob: str = "*", max_bytes: int | None = None) -> DataFrame:
-    """``path, length, content``; the length filter is applied before a file is read."""
+    """``path, length, content, truncated``.  A file longer than ``max_bytes`` keeps its row, without content
+    and marked, and is not read: the length decides before the two parts are joined."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(roots)
     )
-    return files.filter(F.col("length") <= max_bytes) if max_bytes else files
+    if max_bytes is None:
+        return files.withColumn("truncated", F.lit(False))
+    whole = files.filter(F.col("length") <= max_bytes).withColumn("truncated", F.lit(False))
+    unread = files.filter(F.col("length") > max_bytes).withColumns({"content": F.lit(None).cast("binary"), "truncated": F.lit(True)})
+    return whole.unionByName(unread)

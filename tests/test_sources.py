@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from assetflow.functions import display
 from assetflow.plans import conversion, runs
 from assetflow.sources import failure_log, headers, history, plan_sink, presets, rasters, scan
 from assetflow.schemas import PRESET_DEFAULTS
@@ -246,3 +247,24 @@ def test_a_reader_of_runs_skips_other_attempts(spark, tmp_path):
     found = store.read("directories")
     assert [(r.run_id, r.folder) for r in found.collect()] == [("r", "/out")]
     assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_files_keep_their_row(spark, corpus):
+    files = {r.path.rsplit("/", 1)[1]: r for r in scan.read_content(spark, [str(corpus)], "*.*", max_bytes=30).collect()}
+    assert len(files) == scan.read_content(spark, [str(corpus)], "*.*").count()
+    for name, r in files.items():
+        assert r.truncated == (r.length > 30) == (r.content is None), name
+
+
+def test_documents_are_read_whole_unless_told(spark):
+    body = b"%PDF-1.7 " + b"x" * 600 + b"/Encrypt << " + b"y" * 600 + b" /P -44 >> tail"
+    docs = spark.createDataFrame([(bytearray(body),), (None,)], "content binary")
+    text, cut = display.document_sample(F.col("content"))
+    part, part_cut = display.document_sample(F.col("content"), 100)
+    row, empty = docs.select(
+        text.alias("t"), cut.alias("c"), part.alias("p"), part_cut.alias("pc"),
+        display.permission_flags(text).alias("f"), display.permission_flags(text, 512).alias("near"),
+    ).collect()
+    assert (row.t.encode("latin-1"), row.c, row.f, row.near) == (body, False, -44, None)
+    assert (row.p, row.pc) == ((body[:100] + b"\n" + body[-100:]).decode("latin-1"), True)
+    assert (empty.t, empty.c, empty.p, empty.pc) == (None, None, None, None)
