@@ -54,9 +54,12 @@ def suppress_repeats(spark, sf):
     return watch.suppress_repeats_batch(ready).select("path_key", "event_id", "length")
 
 
-@query(duck("work", """
+COUNTERS_SQL = duck("work", """
 SELECT CAST(l_suppkey % 7 AS BIGINT) AS profile_id, count_if(NOT failed) AS processed, count_if(failed) AS failures, epoch_us(max(finished_at)) AS last_us,
-  arg_max(file_name, {'a': finished_at, 'b': file_name, 'c': run_id}) AS last_item FROM work GROUP BY 1"""))
+  arg_max(file_name, {'a': finished_at, 'b': file_name, 'c': run_id}) AS last_item FROM work GROUP BY 1""")
+
+
+@query(COUNTERS_SQL)
 def watch_counters(spark, sf):
     work = derive(spark, sf, "work").withColumn("profile_id", (F.col("l_suppkey") % 7).cast("bigint"))
     return convert.watch_counters(work, ties=["file_name", "run_id"]).select(
@@ -235,6 +238,23 @@ FROM named n JOIN walk w ON w.asset_id = n.asset_id,
   (SELECT unnest(range(0, 2000)) AS i) o WHERE o.i < CASE WHEN strategy IN ('pdf_split','pdf_pages') THEN greatest(page_count, 1) WHEN strategy IN ('gif_pdf_frames','gif_frames') THEN greatest(frame_count, 1) ELSE 1 END"""
 
 
+@query(COUNTERS_SQL)
+def watch_counters_stream(spark, sf):
+    """The counters after three micro-batches in update mode, each of which wrote the profiles it changed."""
+    out = scratch_path(spark, "counters")
+    work = derive(spark, sf, "work").withColumn("profile_id", (F.col("l_suppkey") % 7).cast("bigint"))
+    for n in range(3):
+        work.filter(F.col("item_no") % 3 == n).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    outcomes = spark.readStream.schema(work.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    counters = convert.watch_counters(outcomes, ties=["file_name", "run_id"])
+    writer = counters.writeStream.outputMode("update").foreachBatch(convert.counters_writer(f"{out}/out"))
+    writer.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    kinds = ", ".join(f"{c} {t}" for c, t in counters.dtypes)
+    return convert.current_counters(spark, f"{out}/out", kinds).select(
+        "profile_id", "processed", "failures", F.unix_micros(F.col("last_at").cast("timestamp")).alias("last_us"), "last_item"
+    )
+
+
 @query(WATCHED_SQL)
 def watch_convert_stream(spark, sf):
     """Ready files in three micro-batches, each planned with its profile; names given by earlier batches are taken."""

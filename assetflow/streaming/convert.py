@@ -37,6 +37,24 @@ def watch_counters(outcomes: DataFrame, profile: str = "profile_id", at: str = "
     )
 
 
+def counters_writer(root: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for :func:`watch_counters` in update mode: the profiles that a micro-batch changed are
+    written under its number.  Totals are whole, not differences, so a batch that is written again changes nothing."""
+
+    def handle(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    return handle
+
+
+def current_counters(spark: SparkSession, root: str, schema: str, profile: str = "profile_id") -> DataFrame:
+    """The last totals of every profile that :func:`counters_writer` wrote; ``schema`` is that of the counters."""
+    every = spark.read.schema(f"{schema}, batch bigint").parquet(root)
+    rest = [c for c in every.columns if c not in (profile, "batch")]
+    newest = every.groupBy(profile).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
+    return newest.select(profile, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def names_given(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
     """``folder, file_name`` of what the batches before ``batch_id`` planned."""
     try:

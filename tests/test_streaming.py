@@ -270,3 +270,10 @@ def test_late_rows_are_told(spark, tmp_path):
     watch.run_until_fired(writer, 400, 300)
     got = sorted(((r.ts - START).total_seconds(), r.episode) for r in spark.read.schema(ready.schema).parquet(out).collect())
     assert got == [(50.0, None), (100.0, 3)]
+
+
+def test_counters_written_again_change_nothing(spark, tmp_path):
+    kinds, write = "profile_id bigint, processed bigint", convert.counters_writer(str(tmp_path / "c"))
+    for n, rows in ((0, [(1, 2), (2, 1)]), (1, [(1, 5)]), (1, [(1, 5)])):
+        write(spark.createDataFrame(rows, kinds), n)
+    assert sorted(map(tuple, convert.current_counters(spark, str(tmp_path / "c"), kinds).collect())) == [(1, 5), (2, 1)]
