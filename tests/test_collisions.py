@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from assetflow.operators import collisions
@@ -84,11 +85,40 @@ def test_families_split_over_tasks(spark, small_groups):
     check(spark, make(names), reserved)
 
 
-def test_blocks_equal_the_fold(spark, monkeypatch):
+def lost(limits, state):
+    for x in limits:
+        state += state < x
+    return state
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_steps_of_a_run_compose(seed):
+    rng = random.Random(seed)
+    runs = [[rng.choice([rng.randrange(-3, 15), rng.randrange(60), 2**62]) for _ in range(rng.randrange(0, 30))] for _ in range(2)]
+    one, two = (collisions._run_steps(np.array(r, np.int64)) for r in runs)
+    both = collisions._composed(one, two)
+    assert len(set(both.tolist())) == len(both)
+    for s in range(80):
+        assert collisions._after(s, one) == lost(runs[0], s)
+        assert collisions._after(s, both) == lost(runs[0] + runs[1], s)
+
+
+# blocks alone, one round of composing, and rounds up to one row a family
+@pytest.mark.parametrize("fan, node_limit", [(2, 4), (2, 8), (2, 10**6), (3, 10**6)])
+def test_blocks_equal_the_fold(spark, monkeypatch, fan, node_limit):
     rng = random.Random(9)
-    data = [(1, "/o", f, ".png", k, rng.randrange(-2, 12)) for f in "ab" for k in range(1, 25)]
+    data = [(1, "/o", f, ".png", k, rng.choice([rng.randrange(-2, 40), 2**62])) for f, n in (("a", 41), ("b", 3), ("c", 25)) for k in range(1, n)]
     choices = spark.createDataFrame(data, "job_id long, _folder string, _base string, _ext string, _k long, _limit long")
     rows = lambda df: sorted((r._base, r._k) for r in df.collect())
     want = rows(collisions._skipped(choices))
     monkeypatch.setattr(collisions, "FOLD_LIMIT", 4)
+    monkeypatch.setattr(collisions, "FAN", fan)
+    monkeypatch.setattr(collisions, "NODE_LIMIT", node_limit)
     assert rows(collisions._skipped_at_scale(choices)) == want
+
+
+def test_other_columns_keep_their_order(spark):
+    plan = spark.createDataFrame([(7, *r) for r in make(["a", "A", "b"])], "extra int, " + SCHEMA)
+    out = resolve_collisions(plan)
+    assert out.columns == [*plan.columns, "slot", "destination"] and {r.extra for r in out.collect()} == {7}
+    assert resolve_collisions(plan.limit(0)).count() == 0
