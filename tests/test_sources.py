@@ -84,6 +84,54 @@ def test_history(spark, tmp_path):
     assert history.load(spark, path).count() == 0
 
 
+def history_rows(spark, ids, days=20):
+    at = F.timestamp_add("DAY", (F.col("id") * days).cast("int"), F.lit("2023-01-05 00:00:00").cast("timestamp_ntz"))
+    return spark.range(ids.start, ids.stop).select(
+        F.col("id").alias("run_id"), at.alias("run_ts"), F.lit("manual").alias("trigger_source"), F.lit("png").alias("output_format"),
+        F.lit(5).cast("bigint").alias("original_bytes"), F.lit(False).alias("was_canceled"),
+    )
+
+
+def months_read(rows):
+    return {f.split("run_month=")[1].split("/")[0] for f in rows.inputFiles()}
+
+
+def test_history_reads_the_newest_months(spark, tmp_path):
+    path = str(tmp_path / "history")
+    history.append(history_rows(spark, range(0, 40)), path)
+    history.append(history_rows(spark, range(40, 60)), path)
+    months = {r.run_month: r.rows for r in history.manifest(spark, path).collect()}
+    assert sum(months.values()) == 60 and len(months) == 39  # from January 2023 on
+    newest = history.load(spark, path)
+    assert [r.run_id for r in newest.collect()] == list(range(59, 47, -1))
+    last = sorted(months)[::-1]
+    few = next(k for k in range(1, 40) if sum(months[m] for m in last[:k]) >= 12)
+    assert months_read(newest) == set(last[:few])
+    assert [r.run_id for r in history.load(spark, path, 500).collect()] == list(range(59, -1, -1))
+
+    # lines of the newest month are lost, and an append stopped after its count: older months make up for both
+    for f in (tmp_path / "history" / f"run_month={last[0]}").glob("*.json"):
+        f.write_text("{not json\n" * months[last[0]])
+    for f in (tmp_path / "history" / f"run_month={last[0]}").glob(".*.crc"):
+        f.unlink()
+    history._counted(history._monthly(history_rows(spark, range(90, 110)))).write.mode("append").json(history._manifest_path(path))
+    left = [i for i in range(59, -1, -1) if i < 60 - months[last[0]]]
+    assert [r.run_id for r in history.load(spark, path).collect()] == left[:12]
+
+
+def test_history_from_before_the_manifest(spark, tmp_path):
+    path = str(tmp_path / "history")
+    history._monthly(history_rows(spark, range(0, 20))).write.partitionBy("run_month").json(path)
+    assert [r.run_id for r in history.load(spark, path, 3).collect()] == [19, 18, 17]
+    history.append(history_rows(spark, range(20, 22)), path)
+    assert sum(r.rows for r in history.manifest(spark, path).collect()) == 22
+    assert [r.run_id for r in history.load(spark, path, 4).collect()] == [21, 20, 19, 18]
+    # no rows, and rows without a time, which no reader returns
+    history.append(history_rows(spark, range(22, 23)).withColumn("run_ts", F.lit(None).cast("timestamp_ntz")), path)
+    history.append(history_rows(spark, range(0, 0)), path)
+    assert [r.run_id for r in history.load(spark, path, 2).collect()] == [21, 20]
+
+
 def test_presets(spark):
     stored = spark.createDataFrame(
         [(1, '{"name":"Web","quality":40,"model_code":"old"}'), (2, '{"name":"print"}'), (3, '{"name":" WEB ","quality":70}'), (4, '{"name":" "}')],
