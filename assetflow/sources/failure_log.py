@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.functions.display import format_duration
-from assetflow.operators.ordered import row_numbers
+from assetflow.operators.ordered import group_limit, row_numbers
+from assetflow.session import freeze
 
 
 # Wording of the log; callers may pass their own.
@@ -38,27 +39,31 @@ def failure_log(
     summary: DataFrame, inputs: DataFrame, failures: DataFrame, input_order: list, ties: list, labels: dict[str, str] | None = None
 ) -> DataFrame:
     """``run_id, line_no, line``.  Inputs keep their order; failures go by name ignoring case.
-    Lines are numbered with :func:`row_numbers`, so a run of any size is never gathered."""
-    failing = summary.filter(F.col("failure_count") > 0)
+    Lines are numbered with :func:`row_numbers`, so a run of any size is never gathered.  The summaries of
+    failing runs, a row each, are computed once; their counts tell whether a run is too big for one task."""
     labels = LABELS | (labels or {})
     head = header_lines(summary.columns, labels)
-    opening = failing.select("run_id", F.posexplode(F.array(*head)).alias("n", "line")).select(
-        "run_id", (F.col("n") + 1).cast("bigint").alias("line_no"), "line"
+    around = [*head, F.lit(""), F.lit(labels["failures"])]
+    failing = freeze(
+        summary.filter(F.col("failure_count") > 0).select("run_id", "total_count", "failure_count", F.array(*around).alias("_around"))
     )
-    sizes = failing.select("run_id", "total_count")
-    closing = sizes.select(
-        "run_id", F.posexplode(F.array(F.lit(""), F.lit(labels["failures"]))).alias("n", "line"), "total_count"
-    ).select("run_id", (F.col("total_count") + len(head) + 1 + F.col("n")).cast("bigint").alias("line_no"), "line")
-    listed = row_numbers(inputs.join(sizes, "run_id"), ["run_id"], input_order, "_i").select(
+    most = failing.agg(F.max(F.greatest("total_count", "failure_count"))).first()[0] or 0
+    spread, sizes = most > group_limit(summary), failing.select("run_id", "total_count")
+    # the last two lines stand behind the inputs
+    behind = F.when(F.col("n") >= len(head), F.col("total_count")).otherwise(0)
+    framing = failing.select("run_id", "total_count", F.posexplode("_around").alias("n", "line")).select(
+        "run_id", (F.col("n") + 1 + behind).cast("bigint").alias("line_no"), "line"
+    )
+    listed = row_numbers(inputs.join(sizes, "run_id"), ["run_id"], input_order, "_i", spread).select(
         "run_id", (F.col("_i") + len(head)).alias("line_no"), F.concat(F.lit("- "), "path").alias("line")
     )
     failed = row_numbers(
-        failures.join(sizes, "run_id"), ["run_id"], [F.lower("file_name"), "file_name", *ties], "_i"
+        failures.join(sizes, "run_id"), ["run_id"], [F.lower("file_name"), "file_name", *ties], "_i", spread
     ).select(
         "run_id", (F.col("_i") + F.col("total_count") + len(head) + 2).alias("line_no"),
         F.concat(F.lit("- "), "file_name", F.lit(": "), "reason").alias("line"),
     )
-    return opening.unionByName(listed).unionByName(closing).unionByName(failed)
+    return framing.unionByName(listed).unionByName(failed)
 
 
 def write_log(lines: DataFrame, path: str) -> None:
