@@ -275,28 +275,24 @@ def watch_convert_stream(spark, sf):
 FAR_MS, DAY_MS, END = 30 * 365.25 * 86_400_000, 86_400_000.0, "TIMESTAMP '2100-01-01'"
 
 
-def _shuffled(spark, rows, label: str):
-    """A table as a stream of four files: each of three has every third event of the log, the last one ends each path."""
+def _shuffled(spark, rows, through, label: str):
+    """What ``through`` says of a table as a stream of four micro-batches, started anew for each: three have every third event of the log, the
+    last one ends each path.  A micro-batch is written and read by many tasks; the timers are a day off."""
     out = scratch_path(spark, label)
-    for n in (2, 0, 1):
-        rows.filter(F.col("event_id") % 3 == n).coalesce(1).write.mode("append").parquet(out)
-    ends = rows.groupBy("path_key").agg(F.expr(END).alias("ts"))
-    spark.read.schema(rows.schema).parquet(out).limit(0).unionByName(ends, True).select(*rows.columns).coalesce(1).write.mode("append").parquet(out)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(out)
-
-
-def _read_through(spark, stream, label: str):
-    """What a stream says until its input is read; its timers are a day off."""
-    out = scratch_path(spark, label)
-    with _rocksdb(spark):
-        watch.run_until_fired(stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append"), 0.0)
+    ended = rows.groupBy("path_key").agg(F.expr(END).alias("ts"))
+    ends = ended.select(*[F.col(f.name) if f.name in ended.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    for part in [*[rows.filter(F.col("event_id") % 3 == n) for n in (2, 0, 1)], ends]:
+        part.write.mode("append").parquet(f"{out}/in")
+        stream = through(spark.readStream.schema(rows.schema).parquet(f"{out}/in"))
+        with _rocksdb(spark):
+            watch.run_until_fired(stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append"), 0.0)
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
 def _stable_in_order(spark, sf):
     events = derive(spark, sf, "file_events").withColumns({"modified": F.to_date("ts").cast("timestamp"), "length": F.col("length") % 3, "ts": F.col("ts").cast("timestamp")})
-    probes = _shuffled(spark, watch.watched(events).select("path_key", "event_id", "ts", "length", "modified"), "probes")
-    return _read_through(spark, replay.stable_in_order(probes, GAP_MS, FAR_MS, DAY_MS), "stable")
+    probes = watch.watched(events).select("path_key", "event_id", "ts", "length", "modified")
+    return _shuffled(spark, probes, lambda stream: replay.stable_in_order(stream, GAP_MS, FAR_MS, DAY_MS), "stable")
 
 
 @query(duck("file_events", EPISODE_SQL + "SELECT path_key, episode, event_id, length FROM st"))
@@ -309,5 +305,5 @@ def stable_in_order(spark, sf):
 SELECT path_key, event_id, length FROM st QUALIFY NOT coalesce(lag(length) OVER (PARTITION BY path_key ORDER BY ts, event_id) = length AND lag(modified) OVER (PARTITION BY path_key ORDER BY ts, event_id) = modified, FALSE)"""))
 def repeats_in_order(spark, sf):
     """Ready files in three micro-batches out of order."""
-    ready = _shuffled(spark, _stable_in_order(spark, sf), "ready")
-    return _read_through(spark, replay.repeats_in_order(ready, FAR_MS, DAY_MS), "signals").select("path_key", "event_id", "length")
+    ready = _stable_in_order(spark, sf)
+    return _shuffled(spark, ready, lambda stream: replay.repeats_in_order(stream, FAR_MS, DAY_MS), "signals").select("path_key", "event_id", "length")

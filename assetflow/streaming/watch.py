@@ -7,8 +7,9 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.cloudpickle import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +20,9 @@ from assetflow.schemas import SUPPORTED_INPUTS
 
 # Quiet period after the last change, and probes before giving up.
 QUIET_SECONDS, MAX_PROBES = 1.2, 12
+# Keys of the state: paths share them by hash.  A key is read and written once a micro-batch, so its cost is shared by its paths; watches
+# of many millions of paths take more.  It has to stay the same as long as a checkpoint is used.
+BUCKETS = 1024
 
 FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -115,88 +119,139 @@ STABLE = T.StructType([
     T.StructField("length", T.LongType()),
     T.StructField("modified", T.TimestampType()),
 ])
-_PROBE_STATE = T.StructType([
-    T.StructField("episode", T.LongType()),
-    T.StructField("attempts", T.IntegerType()),
-    T.StructField("length", T.LongType()),
-    T.StructField("modified", T.TimestampType()),
-    T.StructField("last_ts", T.TimestampType()),
-    T.StructField("done", T.BooleanType()),
-])
-_SIGNAL_STATE = T.StructType([
-    T.StructField("length", T.LongType()),
-    T.StructField("modified", T.TimestampType()),
-])
-
-
-def _none(value):
-    return None if pd.isna(value) else value
-
-
-def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of a path by time; where the log numbers its events, that decides between equal times."""
-    batch = pd.concat(list(rows))
-    return batch.sort_values([c for c in ("ts", "event_id") if c in batch.columns], kind="stable")
-
+EVENT = ["us", "tie", "length", "modified_us", "episode"]
+SAID = T.StructType([T.StructField("path_key", T.StringType()), *[T.StructField(n, T.LongType()) for n in EVENT]])
+_BLOCK = T.StructType([T.StructField("block", T.BinaryType())])
+Event = tuple  # as EVENT
+Known = tuple | None  # what is remembered of a path
+
+
+def bucketed(rows: DataFrame, buckets: int) -> GroupedData:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("path_key"), F.lit(buckets))).groupBy("bucket")
+
+
+def events_of(probes: DataFrame) -> DataFrame:
+    """``path_key`` and ``EVENT``; rows without a time are not probes."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    number = lambda c, other: F.col(c) if c in probes.columns else F.lit(other)
+    return probes.select(
+        "path_key", micros("ts").alias("us"), number("event_id", 0).cast("bigint").alias("tie"), F.col("length").cast("bigint").alias("length"),
+        micros("modified").alias("modified_us"), number("episode", None).cast("bigint").alias("episode"),
+    ).filter("us is not null")
+
+
+def load_block(state) -> list[tuple]:
+    """The rows that :func:`save_block` put into a value state: a path and its longs."""
+    held = state.get()
+    if not held:
+        return []
+    return list(zip(*[c.to_pylist() for c in pa.ipc.open_stream(held[0]).read_all().columns]))
+
+
+def save_block(state, rows: list[tuple]) -> None:
+    if not rows:
+        state.clear()
+        return
+    paths, *longs = zip(*rows)
+    columns = [pa.array(paths, pa.string()), *[pa.array(c, pa.int64()) for c in longs]]
+    batch = pa.RecordBatch.from_arrays(columns, names=["path_key", *[f"c{i}" for i in range(len(longs))]])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    state.update((sink.getvalue().to_pybytes(),))
+
+
+def _longs(column: pd.Series) -> list[int | None]:
+    return column.tolist() if column.dtype == "int64" else [None if pd.isna(v) else int(v) for v in column]
+
+
+def by_path(rows: Iterator[pd.DataFrame]) -> dict[str, list[Event]]:
+    """The events of each path by time; where the log numbers its events, that decides between equal times."""
+    found: dict[str, list[Event]] = {}
+    for batch in rows:
+        for path, *event in zip(batch["path_key"], *[_longs(batch[n]) for n in EVENT]):
+            found.setdefault(path, []).append(tuple(event))
+    for events in found.values():
+        events.sort(key=lambda e: (e[0], e[1] or 0))
+    return found
+
+
+def said(rows: list[tuple]) -> pd.DataFrame:
+    columns = {n: pd.Series([r[i + 1] for r in rows], dtype="Int64") for i, n in enumerate(EVENT)}
+    return pd.DataFrame({"path_key": pd.Series([r[0] for r in rows], dtype="object"), **columns})
+
+
+def set_timer(handle: StatefulProcessorHandle, due: list[int]) -> None:
+    """A bucket's timer runs at the first of its paths' times."""
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    if due:
+        handle.registerTimer(min(due))
+
+
+def walk_stable(rows: list[Event], known: Known, gap: int, limit: int) -> tuple[list[Event], Known]:
+    """A path is ready once two probes in a row agree, told once an episode."""
+    episode, attempts, length, modified, last, done = known or (0, 0, None, None, None, 0)
+    out = []
+    for us, tie, size, changed, _ in rows:
+        if last is None or us - last >= gap:
+            episode, attempts, length, modified, done = episode + 1, 0, None, None, 0
+        last, attempts = us, attempts + 1
+        if done or attempts > limit:
+            continue
+        if size is not None and size == length and changed == modified:
+            out.append((us, tie, size, changed, episode))
+            done = 1
+        length, modified = (size, changed) if size is not None else (None, None)
+    return out, (episode, attempts, length, modified, last, done)
+
+
+def walk_repeats(rows: list[Event], known: Known) -> tuple[list[Event], Known]:
+    """Passes a ready file on unless it was signalled with the same state before."""
+    out = []
+    for row in rows:
+        if known is None or known != (row[2], row[3]):
+            out.append(row)
+            known = (row[2], row[3])
+    return out, known
 
-class StableFiles(StatefulProcessor):
-    """Signals a path once two probes in a row agree; one small state row per path.  The
-    rows of a path within one micro-batch are sorted together; the source's trigger limit
-    (files or offsets per trigger) bounds them."""
 
-    def __init__(self, gap_ms: float, limit: int = MAX_PROBES) -> None:
-        self.gap = pd.Timedelta(milliseconds=gap_ms)
-        self.limit = limit
+class PathBucket(StatefulProcessor):
+    """Walks the events of each path of a bucket and keeps one small row per path, all in one block.  The rows of a bucket within
+    one micro-batch are sorted together; the source's trigger limit (files or offsets per trigger) bounds them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("probe", _PROBE_STATE)
+        self.known = handle.getValueState("known", _BLOCK)
+
+    def walk(self, rows: list[Event], known: Known) -> tuple[list[Event], Known]:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get()
-        episode, attempts, length, modified, last, done = held if held else (0, 0, None, None, None, False)
-        last = pd.Timestamp(last) if last is not None else None
+        known = {path: memory for path, *memory in load_block(self.known)}
         out = []
-        batch = in_order(rows)
-        for ts, size, changed in zip(batch["ts"], batch["length"], batch["modified"], strict=True):
-            size, changed = _none(size), _none(changed)
-            if last is None or ts - last >= self.gap:
-                episode, attempts, length, modified, done = episode + 1, 0, None, None, False
-            last, attempts = ts, attempts + 1
-            if done or attempts > self.limit:
-                continue
-            if size is not None and length is not None and size == length and changed == modified:
-                out.append((key[0], episode, ts, int(size), changed))
-                done = True
-            length, modified = (int(size), changed) if size is not None else (None, None)
-        self.state.update((episode, attempts, length, modified, last, done))
-        yield pd.DataFrame(out, columns=STABLE.names)
+        for path, events in by_path(rows).items():
+            told, known[path] = self.walk(events, tuple(known[path]) if path in known else None)
+            out += [(path, *e) for e in told]
+        save_block(self.known, [(path, *memory) for path, memory in known.items()])
+        yield said(out)
 
     def close(self) -> None:
         pass
 
 
-class SuppressRepeats(StatefulProcessor):
-    """Passes a ready file on unless it was signalled with the same state before."""
+class StableFiles(PathBucket):
+    """Signals a path once two probes in a row agree."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("signal", _SIGNAL_STATE)
+    def __init__(self, gap_ms: float, limit: int = MAX_PROBES) -> None:
+        self.gap, self.limit = int(gap_ms * 1000), limit
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.get()
-        known = (known[0], _none(known[1])) if known else None
-        out = []
-        batch = in_order(rows)
-        for row in batch.itertuples(index=False):
-            now = (int(row.length), _none(row.modified))
-            if known is None or now[0] != known[0] or now[1] != known[1]:
-                out.append(row)
-                known = now
-        if known is not None:
-            self.state.update(known)
-        yield pd.DataFrame(out, columns=list(batch.columns))
+    def walk(self, rows: list[Event], known: Known) -> tuple[list[Event], Known]:
+        return walk_stable(rows, known, self.gap, self.limit)
 
-    def close(self) -> None:
-        pass
+
+class SuppressRepeats(PathBucket):
+    def walk(self, rows: list[Event], known: Known) -> tuple[list[Event], Known]:
+        return walk_repeats(rows, known)
 
 
 BUSY = T.StructType([
@@ -207,26 +262,21 @@ BUSY = T.StructType([
     T.StructField("late", T.BooleanType()),
 ])
 _BUSY_ROWS = "path_key string, first_us long, last_us long, changes long, late boolean"
-_OPEN_STATE = T.StructType([
-    T.StructField("first", T.LongType()),
-    T.StructField("last", T.LongType()),
-    T.StructField("changes", T.LongType()),
-])
-_FIRED_STATE = T.StructType([T.StructField("last", T.LongType())])
 
 
 class BusyPeriods(StatefulProcessor):
-    """Busy periods of a path.  Kept are those that an event up to ``lateness`` behind the path's newest could still
-    reach; a timer fires them once nothing has come for ``wait``.  An event too old to tell from what was fired, or without
-    a time, comes out as a row of its own, marked late.  Times are microseconds; rows are reduced chunk by chunk and never gathered."""
+    """Busy periods of the paths of a bucket.  Kept are those that an event up to ``lateness`` behind the path's newest could still
+    reach; they are fired once nothing has come to the path for ``wait``: each path has its time, the bucket a timer for the first of
+    them.  An event too old to tell from what was fired, or without a time, comes out as a row of its own, marked late.  Times are
+    microseconds; rows are reduced chunk by chunk and never gathered."""
 
     def __init__(self, gap_ms: float, lateness_ms: float, wait_ms: float) -> None:
         self.gap, self.lateness, self.wait = int(gap_ms * 1000), int(lateness_ms * 1000), int(wait_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", _OPEN_STATE)
-        self.fired = handle.getValueState("fired", _FIRED_STATE)
+        self.open = handle.getValueState("open", _BLOCK)
+        self.known = handle.getValueState("known", _BLOCK)
 
     def merged(self, periods: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         out: list[tuple[int, int, int]] = []
@@ -237,42 +287,52 @@ class BusyPeriods(StatefulProcessor):
                 out.append((first, last, n))
         return out
 
-    def rows(self, key, periods: list[tuple[int, int, int]], late: bool) -> pd.DataFrame:
+    def rows(self, periods: list[tuple], late: bool) -> pd.DataFrame:
         at = lambda i: pd.Series([p[i] for p in periods], dtype="Int64")
         return pd.DataFrame({
-            "path_key": pd.Series([key[0]] * len(periods), dtype="object"), "first_us": at(0), "last_us": at(1),
-            "changes": pd.Series([p[2] for p in periods], dtype="int64"), "late": pd.Series([late] * len(periods), dtype="bool"),
+            "path_key": pd.Series([p[0] for p in periods], dtype="object"), "first_us": at(1), "last_us": at(2),
+            "changes": pd.Series([p[3] for p in periods], dtype="int64"), "late": pd.Series([late] * len(periods), dtype="bool"),
         })
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fired = self.fired.get() if self.fired.exists() else None
-        floor = fired[0] + self.gap if fired else None
-        periods, late = [tuple(p) for p in self.open.get()], []
+    def _run(self, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        known = {path: (due, fired) for path, due, fired in load_block(self.known)}
+        held: dict[str, list[tuple[int, int, int]]] = {}
+        for path, *period in load_block(self.open):
+            held.setdefault(path, []).append(tuple(period))
+        out, late, came = [], [], set()
         for batch in rows:
-            times = batch["us"].dropna().astype("int64")
-            late += [(None, None, 1)] * (len(batch) - len(times))
-            if floor is not None:
-                late += [(t, t, 1) for t in times[times < floor]]
-                times = times[times >= floor]
-            periods = self.merged(periods + [(t, t, 1) for t in times])
-        horizon = max((p[1] for p in periods), default=0) - self.gap - self.lateness
-        done = [p for p in periods if p[1] <= horizon]
-        if done:
-            self.fired.update((done[-1][1],))
-        if periods:
-            self.open.put(periods[len(done):])
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
-        yield self.rows(key, done, False)
-        yield self.rows(key, late, True)
+            times: dict[str, list[tuple[int, int, int]]] = {}
+            for path, us in zip(batch["path_key"], _longs(batch["us"])):
+                fired = known[path][1] if path in known else None
+                if us is None or (fired is not None and us < fired + self.gap):
+                    late.append((path, us, us, 1))
+                else:
+                    times.setdefault(path, []).append((us, us, 1))
+            for path, more in times.items():
+                held[path] = self.merged(held.get(path, []) + more)
+            came.update(batch["path_key"])
+        for path in came & held.keys():
+            horizon = max(p[1] for p in held[path]) - self.gap - self.lateness
+            done = [p for p in held[path] if p[1] <= horizon]
+            held[path] = held[path][len(done):]
+            out += [(path, *p) for p in done]
+            known[path] = now + self.wait, done[-1][1] if done else known.get(path, (None, None))[1]
+        for path in [p for p, (due, _) in known.items() if due is not None and due <= now]:
+            done = held.pop(path)
+            out += [(path, *p) for p in done]
+            known[path] = None, done[-1][1]
+        save_block(self.open, [(path, *p) for path, periods in held.items() for p in periods])
+        save_block(self.known, [(path, *k) for path, k in known.items()])
+        set_timer(self.handle, [due for due, _ in known.values() if due is not None])
+        yield self.rows(out, False)
+        yield self.rows(late, True)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield from self._run(rows, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        periods = [tuple(p) for p in self.open.get()]
-        if periods:
-            self.fired.update((periods[-1][1],))
-            self.open.clear()
-        yield self.rows(key, periods, False)
+        yield from self._run(iter(()), timerValues)
 
     def close(self) -> None:
         pass
@@ -284,14 +344,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def debounce_whole_stream(
-    events: DataFrame, gap_ms: float = QUIET_SECONDS * 1000, lateness_ms: float = 10_000, wait_ms: float | None = None
+    events: DataFrame, gap_ms: float = QUIET_SECONDS * 1000, lateness_ms: float = 10_000, wait_ms: float | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
     """Every busy period as ``path_key, first_ts, last_ts, changes, late``; ``changes`` add up to the events read.  A path is
     fired ``wait_ms`` (the gap, if not given) of clock time after its last event came.  Needs the RocksDB state store and a
     trigger that goes on without data, so that timers can run: not ``availableNow``."""
     wait = gap_ms if wait_ms is None else wait_ms
     rows = watched(events).select("path_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    busy = rows.groupBy("path_key").transformWithStateInPandas(
+    busy = bucketed(rows, buckets).transformWithStateInPandas(
         BusyPeriods(gap_ms, lateness_ms, wait), _BUSY_ROWS, outputMode="Append", timeMode="ProcessingTime"
     )
     at = lambda c: F.timestamp_micros(f"{c}_us").alias(f"{c}_ts")
@@ -321,15 +381,16 @@ def run_until_fired(writer, wait_ms: float, limit_s: float = 3600) -> None:
         run.stop()
 
 
-def stable_stream(probes: DataFrame, gap_ms: float, limit: int = MAX_PROBES) -> DataFrame:
+def _walked(events: DataFrame, processor: PathBucket, buckets: int) -> DataFrame:
+    got = bucketed(events_of(events), buckets).transformWithStateInPandas(processor, SAID, outputMode="Append", timeMode="None")
+    return got.select("path_key", "episode", F.timestamp_micros("us").alias("ts"), "length", F.timestamp_micros("modified_us").alias("modified"))
+
+
+def stable_stream(probes: DataFrame, gap_ms: float, limit: int = MAX_PROBES, buckets: int = BUCKETS) -> DataFrame:
     """Needs the RocksDB state store; ``probes`` has ``path_key, ts, length, modified``."""
-    return probes.groupBy("path_key").transformWithStateInPandas(
-        StableFiles(gap_ms, limit), STABLE, outputMode="Append", timeMode="None"
-    )
+    return _walked(probes, StableFiles(gap_ms, limit), buckets)
 
 
-def suppress_stream(ready: DataFrame) -> DataFrame:
+def suppress_stream(ready: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Needs the RocksDB state store; ``ready`` has the columns of ``STABLE``."""
-    return ready.groupBy("path_key").transformWithStateInPandas(
-        SuppressRepeats(), STABLE, outputMode="Append", timeMode="None"
-    )
+    return _walked(ready, SuppressRepeats(), buckets)

@@ -7,6 +7,7 @@ import os
 
 import pytest
 
+from assetflow.queries import watching
 from assetflow.streaming import convert, folder, names, replay, watch
 from tests.test_sources import ASSET_COLUMNS, ASSETS, job
 
@@ -277,3 +278,17 @@ def test_counters_written_again_change_nothing(spark, tmp_path):
     for n, rows in ((0, [(1, 2), (2, 1)]), (1, [(1, 5)]), (1, [(1, 5)])):
         write(spark.createDataFrame(rows, kinds), n)
     assert sorted(map(tuple, convert.current_counters(spark, str(tmp_path / "c"), kinds).collect())) == [(1, 5), (2, 1)]
+
+
+def state_rows(spark, state, name="known"):
+    return spark.read.format("statestore").option("path", state).option("stateVarName", name).load().count()
+
+
+def test_repeats_in_order_share_keys_and_files(spark, probes, tmp_path, monkeypatch):
+    monkeypatch.setattr(watching, "scratch_path", lambda spark, label: str(tmp_path / label))
+    rows = watch.watched(probes[0]).select("path_key", "event_id", "ts", "length", "modified").repartition(4)
+    through = lambda stream: replay.repeats_in_order(stream, watching.FAR_MS, watching.DAY_MS, buckets=1)
+    got = watching._shuffled(spark, rows, through, "signals")
+    assert pick(got.filter("path_key like '%a.png'")) == [("/w/a.png", 0.0, 10), ("/w/a.png", 1.0, 20), ("/w/a.png", 100.0, 30)]
+    assert state_rows(spark, str(tmp_path / "signals" / "state")) == 1  # two paths
+    assert len(list((tmp_path / "signals" / "in").glob("*.parquet"))) > 4  # four micro-batches, none of one file
