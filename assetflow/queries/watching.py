@@ -243,12 +243,11 @@ def watch_counters_stream(spark, sf):
     """The counters after three micro-batches in update mode, each of which wrote the profiles it changed."""
     out = scratch_path(spark, "counters")
     work = derive(spark, sf, "work").withColumn("profile_id", (F.col("l_suppkey") % 7).cast("bigint"))
-    for n in range(3):
-        work.filter(F.col("item_no") % 3 == n).coalesce(1).write.mode("append").parquet(f"{out}/in")
-    outcomes = spark.readStream.schema(work.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
-    counters = convert.watch_counters(outcomes, ties=["file_name", "run_id"])
-    writer = counters.writeStream.outputMode("update").foreachBatch(convert.counters_writer(f"{out}/out"))
-    writer.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    for n in range(3):  # started anew for each micro-batch, which many tasks write and read
+        work.filter(F.col("item_no") % 3 == n).write.mode("append").parquet(f"{out}/in")
+        counters = convert.watch_counters(spark.readStream.schema(work.schema).parquet(f"{out}/in"), ties=["file_name", "run_id"])
+        writer = counters.writeStream.outputMode("update").foreachBatch(convert.counters_writer(f"{out}/out"))
+        writer.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     kinds = ", ".join(f"{c} {t}" for c, t in counters.dtypes)
     return convert.current_counters(spark, f"{out}/out", kinds).select(
         "profile_id", "processed", "failures", F.unix_micros(F.col("last_at").cast("timestamp")).alias("last_us"), "last_item"
@@ -261,11 +260,11 @@ def watch_convert_stream(spark, sf):
     out = scratch_path(spark, "converted")
     assets = derive(spark, sf, "assets")
     for n in range(3):
-        assets.filter(F.col("asset_id") % 3 == n).coalesce(1).write.mode("append").parquet(f"{out}/in")
-    ready = spark.readStream.schema(assets.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
-    with _rocksdb(spark):
-        writer = names.named_stream(ready, derive(spark, sf, "jobs")).writeStream.foreachBatch(names.named_writer(f"{out}/out"))
-        writer.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+        assets.filter(F.col("asset_id") % 3 == n).write.mode("append").parquet(f"{out}/in")
+        ready = spark.readStream.schema(assets.schema).parquet(f"{out}/in")
+        with _rocksdb(spark):
+            writer = names.named_stream(ready, derive(spark, sf, "jobs")).writeStream.foreachBatch(names.named_writer(f"{out}/out"))
+            writer.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     kinds = "job_id bigint, asset_id bigint, output_no bigint, destination string, batch bigint"
     return spark.read.schema(kinds).parquet(f"{out}/out/outputs").select("batch", "asset_id", "job_id", "output_no", "destination")
 

@@ -292,3 +292,16 @@ def test_repeats_in_order_share_keys_and_files(spark, probes, tmp_path, monkeypa
     assert pick(got.filter("path_key like '%a.png'")) == [("/w/a.png", 0.0, 10), ("/w/a.png", 1.0, 20), ("/w/a.png", 100.0, 30)]
     assert state_rows(spark, str(tmp_path / "signals" / "state")) == 1  # two paths
     assert len(list((tmp_path / "signals" / "in").glob("*.parquet"))) > 4  # four micro-batches, none of one file
+
+
+def test_counters_stream_spreads_its_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(watching, "scratch_path", lambda spark, label: str(tmp_path / label))
+    lines = spark.range(60).selectExpr(
+        "id as l_orderkey", "int(id % 3) as l_linenumber", "id as l_partkey", "id % 2 as l_suppkey", "'R' as l_returnflag", "timestamp'2024-01-01' as l_shipdate",
+        "1d as l_quantity", "1d as l_extendedprice", "1d as l_discount", "1d as l_tax", "'F' as l_linestatus",
+    )
+    lines.repartition(4).write.parquet(str(tmp_path / "sf" / "lineitem.parquet"))
+    got = watching.watch_counters_stream(spark, str(tmp_path / "sf"))
+    assert sorted((r.profile_id, r.processed, r.failures) for r in got.collect()) == [(0, 0, 30), (1, 0, 30)]
+    assert len(list((tmp_path / "counters" / "in").glob("*.parquet"))) > 3  # three micro-batches, none of one file
+    assert sorted(p.name for p in (tmp_path / "counters" / "out").glob("batch=*")) == ["batch=0", "batch=1", "batch=2"]
