@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.operators import pixels as P
@@ -23,24 +24,30 @@ MOSAIC = """WITH pixels AS (SELECT image_id, x, y, r, (r * 7) % 256 AS g, (r * 1
 """
 
 
-def _stacked(spark, sf, pixel) -> tuple:
-    """``image_id, width, height, data`` of rasters with a row for each vector; ``pixel(vectors, rows)`` gives the four channels."""
-    rows = table(spark, sf, "embeddings").select(F.expr("vec_id div 64").alias("image_id"), (F.col("vec_id") % 64).alias("y"), F.col("embedding").cast("array<double>").alias("v"))
-    images = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "v"))).alias("rows"))  # 64 rows at most
+LINES = 1024  # vectors painted at once
+
+
+def _painter(pixel):
+    """Vectors to packed lines of pixels, some at a time: a task never holds an image's numbers as Python objects."""
 
     def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, high = [], []
-            for held in batch.column("rows").to_pylist():
-                v = np.array([r["v"] for r in held])
-                data.append(np.stack(pixel(v, np.array([r["y"] for r in held])), 2).astype(np.uint8).tobytes())
-                high.append(len(held))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("image_id"), pa.array([64] * len(high), pa.int64()), pa.array(high, pa.int64()), pa.array(data, pa.binary())],
-                names=["image_id", "width", "height", "data"],
-            )
-
-    return images.mapInArrow(paint, "image_id bigint, width bigint, height bigint, data binary")
+            for at in range(0, batch.num_rows, LINES):
+                part = batch.slice(at, LINES)
+                v = np.asarray(part.column("v").flatten(), np.float64).reshape(part.num_rows, 64)
+                px = np.stack(pixel(v, np.asarray(part.column("y"))), 2).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column("image_id"), part.column("y"), pa.array([line.tobytes() for line in px], pa.binary())], names=["image_id", "y", "line"])
+
+    return paint
+
+
+def _stacked(spark, sf, pixel) -> DataFrame:
+    """``image_id, width, height, data`` of rasters with a row for each vector; ``pixel(vectors, rows)`` gives the four channels."""
+    rows = table(spark, sf, "embeddings").select(F.expr("vec_id div 64").cast("bigint").alias("image_id"), (F.col("vec_id") % 64).cast("bigint").alias("y"), F.col("embedding").alias("v"))
+    lines = rows.mapInArrow(_painter(pixel), "image_id bigint, y bigint, line binary")
+    images = lines.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("rows"))  # 64 rows at most
+    data = F.aggregate("rows", F.lit(b""), lambda acc, r: F.concat(acc, r["line"]))
+    return images.select("image_id", F.lit(64).cast("bigint").alias("width"), F.size("rows").cast("bigint").alias("height"), data.alias("data"))
 
 
 def _mosaic(v, y):

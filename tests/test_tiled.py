@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from assetflow.operators import tiled
+from assetflow.queries import tiles as tile_queries
 from assetflow.queries.tiles import bitmap_bytes
 
 FIELDS = "image_id long, width long, height long, data binary"
@@ -106,3 +110,19 @@ def test_fifty_megapixels(spark, tmp_path):
     small = joined(tiled.resample(tiles, F.lit(8), F.lit(6)))[1]
     blocks = px.reshape(6, 1024, 8, 1024, 4).mean((1, 3))
     assert (small == np.floor(np.round(blocks, 6) + 0.5)).all()
+
+
+def test_painting_holds_few_lines_at_once():
+    rng = np.random.default_rng(1)
+    v = rng.uniform(-1, 1, (20_000, 64)).astype(np.float32)
+    held = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 64).cast(pa.list_(pa.float32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(20_000) // 64), pa.array(np.arange(20_000) % 64), held], names=["image_id", "y", "v"])
+    tracemalloc.start()
+    lines = 0
+    for out in tile_queries._painter(tile_queries._mosaic)(iter([batch])):
+        lines += out.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    first = np.frombuffer(next(tile_queries._painter(tile_queries._mosaic)(iter([batch]))).column("line")[7].as_py(), np.uint8).reshape(64, 4)
+    assert lines == 20_000 and peak < 16 << 20
+    assert first[:, 0].tolist() == np.floor((v[7].astype(float) + 1) * 127).astype(int).tolist()
