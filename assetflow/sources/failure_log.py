@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +37,17 @@ def header_lines(columns: list[str], labels: dict[str, str]) -> list[Column]:
     return [*lines, F.lit(""), F.lit(labels["inputs"])]
 
 
+TASK_ROWS = 500_000  # lines a task sorts, about
+
+
 def failure_log(
-    summary: DataFrame, inputs: DataFrame, failures: DataFrame, input_order: list, ties: list, labels: dict[str, str] | None = None
+    summary: DataFrame, inputs: DataFrame, failures: DataFrame, input_order: list, ties: list, labels: dict[str, str] | None = None,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """``run_id, line_no, line``.  Inputs keep their order; failures go by name ignoring case.
     Lines are numbered with :func:`row_numbers`, so a run of any size is never gathered.  The summaries of
-    failing runs, a row each, are computed once; their counts tell whether a run is too big for one task."""
+    failing runs, a row each, are computed once; their counts tell whether a run is too big for one task.
+    Else the runs are dealt out by the number of rows, ``task_rows`` to a task, so a task's sorts do not grow with the input."""
     labels = LABELS | (labels or {})
     head = header_lines(summary.columns, labels)
     around = [*head, F.lit(""), F.lit(labels["failures"])]
@@ -54,12 +61,18 @@ def failure_log(
     framing = failing.select("run_id", "total_count", F.posexplode("_around").alias("n", "line")).select(
         "run_id", (F.col("n") + 1 + behind).cast("bigint").alias("line_no"), "line"
     )
-    listed = row_numbers(inputs.join(sizes, "run_id"), ["run_id"], input_order, "_i", spread).select(
+
+    def numbered(rows: DataFrame, order: list) -> DataFrame:
+        sized = sizes
+        if not spread:
+            parts = max(math.ceil(rows.count() / task_rows), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            rows, sized = rows.repartition(parts, "run_id"), sizes.repartition(parts, "run_id")
+        return row_numbers(rows.join(sized, "run_id"), ["run_id"], order, "_i", spread)
+
+    listed = numbered(inputs, input_order).select(
         "run_id", (F.col("_i") + len(head)).alias("line_no"), F.concat(F.lit("- "), "path").alias("line")
     )
-    failed = row_numbers(
-        failures.join(sizes, "run_id"), ["run_id"], [F.lower("file_name"), "file_name", *ties], "_i", spread
-    ).select(
+    failed = numbered(failures, [F.lower("file_name"), "file_name", *ties]).select(
         "run_id", (F.col("_i") + F.col("total_count") + len(head) + 2).alias("line_no"),
         F.concat(F.lit("- "), "file_name", F.lit(": "), "reason").alias("line"),
     )

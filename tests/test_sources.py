@@ -316,3 +316,17 @@ def test_documents_are_read_whole_unless_told(spark):
     assert (row.t.encode("latin-1"), row.c, row.f, row.near) == (body, False, -44, None)
     assert (row.p, row.pc) == ((body[:100] + b"\n" + body[-100:]).decode("latin-1"), True)
     assert (empty.t, empty.c, empty.p, empty.pc) == (None, None, None, None)
+
+
+def test_failure_log_deals_runs_out_by_rows(spark):
+    summary = spark.createDataFrame([(r, "manual", "png", 3, 3, 2, 1, False) for r in range(40)], "run_id long, trigger_source string, output_format string, total_count long, processed_count long, success_count long, failure_count long, was_canceled boolean")
+    inputs = spark.createDataFrame([(r, i, f"/in/{i}.png") for r in range(40) for i in range(3)], "run_id long, i int, path string")
+    failures = spark.createDataFrame([(r, "0.png", "bad") for r in range(40)], "run_id long, file_name string, reason string")
+    log = lambda **o: failure_log.failure_log(summary, inputs, failures, ["i"], ["reason"], **o)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, many = log(), log(task_rows=2)
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+        assert "hashpartitioning(run_id" in (plan := many._jdf.queryExecution().toString()) and ", 60), REPARTITION_BY_NUM" in plan  # 120 inputs
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
