@@ -305,3 +305,37 @@ def test_counters_stream_spreads_its_input(spark, tmp_path, monkeypatch):
     assert sorted((r.profile_id, r.processed, r.failures) for r in got.collect()) == [(0, 0, 30), (1, 0, 30)]
     assert len(list((tmp_path / "counters" / "in").glob("*.parquet"))) > 3  # three micro-batches, none of one file
     assert sorted(p.name for p in (tmp_path / "counters" / "out").glob("batch=*")) == ["batch=0", "batch=1", "batch=2"]
+
+
+def test_stable_and_repeats_share_keys(spark, probes, tmp_path):
+    stable = finish(watch.stable_stream(watch.watched(probes[1]), 10_000, buckets=1), tmp_path, "stable")
+    assert pick(stable) == READY
+    assert state_rows(spark, str(tmp_path / "stable-state")) == 1  # two paths
+    signals = finish(watch.suppress_stream(spark.readStream.schema(watch.STABLE).parquet(str(tmp_path / "stable")), buckets=1), tmp_path, "signals")
+    assert pick(signals) == [r for r in READY if r[1] != 51.0]
+    assert state_rows(spark, str(tmp_path / "signals-state")) == 1
+
+
+def test_paths_of_a_key_have_their_own_times(spark, tmp_path):
+    schema, source = "event_id long, path string, ts timestamp", str(tmp_path / "events")
+
+    def feed(*rows):
+        spark.createDataFrame([(i, p, at(s)) for i, (p, s) in enumerate(rows)], schema).coalesce(1).write.mode("append").parquet(source)
+        busy = watch.debounce_whole_stream(spark.readStream.schema(schema).parquet(source), wait_ms=500, buckets=1)
+        writer = busy.writeStream.format("parquet").option("path", str(tmp_path / "busy")).option("checkpointLocation", str(tmp_path / "state"))
+        watch.run_until_fired(writer.outputMode("append"), 500, 300)
+        found = spark.read.schema(watch.BUSY).parquet(str(tmp_path / "busy")).collect()
+        return sorted((r.path_key, (r.first_ts - START).total_seconds(), r.changes, r.late) for r in found)
+
+    assert feed(("/a.png", 0), ("/a.png", 1), ("/b.png", 5)) == [("/a.png", 0.0, 2, False), ("/b.png", 5.0, 1, False)]
+    # the key has a fired path and one with something open
+    assert feed(("/b.png", 4), ("/c.png", 9))[1:] == [("/b.png", 4.0, 1, True), ("/b.png", 5.0, 1, False), ("/c.png", 9.0, 1, False)]
+    assert state_rows(spark, str(tmp_path / "state")) == 1 and state_rows(spark, str(tmp_path / "state"), "open") == 0
+
+
+def test_stable_in_order_shares_keys(spark, probes, tmp_path, monkeypatch):
+    monkeypatch.setattr(watching, "scratch_path", lambda spark, label: str(tmp_path / label))
+    rows = watch.watched(probes[0]).select("path_key", "event_id", "ts", "length", "modified")
+    through = lambda stream: replay.stable_in_order(stream, 10_000, watching.FAR_MS, watching.DAY_MS, buckets=1)
+    assert pick(watching._shuffled(spark, rows, through, "stable")) == READY
+    assert state_rows(spark, str(tmp_path / "stable" / "state")) == 1
