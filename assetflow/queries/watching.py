@@ -17,6 +17,7 @@ from assetflow.streaming import convert, folder, names, replay, watch
 
 GAP_MS = 12 * 3600 * 1000.0
 WAIT_MS = 1000.0  # clock time without events after which a replayed path is fired
+PARTITIONS_PER_CORE = 3  # of keyed state
 INPUTS = "lower(regexp_extract(path, '(\\.[^./]*)$', 1)) IN ('.png', '.gif', '.pdf')"
 
 EPISODE_SQL = f"""
@@ -99,15 +100,21 @@ def _event_stream(spark, sf):
 
 
 @contextmanager
-def _rocksdb(spark):
-    """Keyed state with transformWithState needs the RocksDB store; the setting is put back."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, watch.ROCKSDB)
+def _rocksdb(spark, by_cores: bool = False):
+    """Keyed state with transformWithState needs the RocksDB store; the settings are put back.  ``by_cores``: a state partition costs a Python
+    worker and a commit in every micro-batch, however few its rows, so there are as many as keep the cores busy, and a commit stores changes."""
+    settings = {"spark.sql.streaming.stateStore.providerClass": watch.ROCKSDB}
+    if by_cores:
+        parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism)
+        settings |= {"spark.sql.shuffle.partitions": str(parts), "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def _finished(spark, stream, name):
@@ -283,8 +290,8 @@ def _shuffled(spark, rows, through, label: str):
     for part in [*[rows.filter(F.col("event_id") % 3 == n) for n in (2, 0, 1)], ends]:
         part.write.mode("append").parquet(f"{out}/in")
         stream = through(spark.readStream.schema(rows.schema).parquet(f"{out}/in"))
-        with _rocksdb(spark):
-            watch.run_until_fired(stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append"), 0.0)
+        with _rocksdb(spark, by_cores=True):
+            watch.run_batch(stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append"))
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 

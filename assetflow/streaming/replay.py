@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from assetflow.streaming import watch
-from assetflow.streaming.watch import BUCKETS, MAX_PROBES, QUIET_SECONDS, Event, Known
+from assetflow.streaming.watch import (
+    _BLOCK, BUCKETS, MAX_PROBES, QUIET_SECONDS, SAID, Event, Known, bucketed, by_path, events_of, load_block, said, save_block, set_timer, walk_repeats, walk_stable,
+)
 
 
 class OrderedBucket(StatefulProcessor):
@@ -30,8 +31,8 @@ class OrderedBucket(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState("waiting", watch._BLOCK)
-        self.known = handle.getValueState("known", watch._BLOCK)
+        self.waiting = handle.getValueState("waiting", _BLOCK)
+        self.known = handle.getValueState("known", _BLOCK)
 
     def walk(self, rows: list[Event], known: Known) -> tuple[list[Event], Known]:
         raise NotImplementedError
@@ -39,9 +40,9 @@ class OrderedBucket(StatefulProcessor):
     def _run(self, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now, out = timerValues.getCurrentProcessingTimeInMs(), []
         # when a path's timer is due, the time up to which it was walked (null: not yet), and what was remembered then
-        known = {path: (due, walked, tuple(memory)) for path, due, walked, *memory in watch.load_block(self.known)}
+        known = {path: (due, walked, tuple(memory)) for path, due, walked, *memory in load_block(self.known)}
         waiting: dict[str, list[Event]] = {}
-        for path, *event in watch.load_block(self.waiting):
+        for path, *event in load_block(self.waiting):
             waiting.setdefault(path, []).append(tuple(event))
 
         def settle(path: str, ready: list[Event], after: int) -> None:
@@ -52,7 +53,7 @@ class OrderedBucket(StatefulProcessor):
                 walked = ready[-1][0]
             known[path] = now + after, walked, memory
 
-        for path, events in watch.by_path(rows).items():
+        for path, events in by_path(rows).items():
             floor = known[path][1] if path in known else None
             late = [e for e in events if floor is not None and e[0] <= floor]
             held = waiting.pop(path, []) + [e for e in events if floor is None or e[0] > floor]
@@ -68,10 +69,10 @@ class OrderedBucket(StatefulProcessor):
                 settle(path, waiting.pop(path), self.ttl)
             else:
                 del known[path]
-        watch.save_block(self.waiting, [(path, *e) for path, events in waiting.items() for e in events])
-        watch.save_block(self.known, [(path, due, walked, *memory) for path, (due, walked, memory) in known.items()])
-        watch.set_timer(self.handle, [due for due, *_ in known.values()])
-        yield watch.said(out)
+        save_block(self.waiting, [(path, *e) for path, events in waiting.items() for e in events])
+        save_block(self.known, [(path, due, walked, *memory) for path, (due, walked, memory) in known.items()])
+        set_timer(self.handle, [due for due, *_ in known.values()])
+        yield said(out)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         yield from self._run(rows, timerValues)
@@ -93,7 +94,7 @@ class StableInOrder(OrderedBucket):
         self.gap, self.limit = int(gap_ms * 1000), limit
 
     def walk(self, rows: list[Event], known: Known) -> tuple[list[Event], Known]:
-        return watch.walk_stable(rows, known, self.gap, self.limit)
+        return walk_stable(rows, known, self.gap, self.limit)
 
 
 class RepeatsInOrder(OrderedBucket):
@@ -102,7 +103,7 @@ class RepeatsInOrder(OrderedBucket):
     nothing = (None,) * 2
 
     def walk(self, rows: list[Event], known: Known) -> tuple[list[Event], Known]:
-        return watch.walk_repeats(rows, known)
+        return walk_repeats(rows, known)
 
 
 # The driver-side check of a stateful stream imports nothing shipped with the job.
@@ -110,8 +111,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _ordered(events: DataFrame, processor: OrderedBucket, buckets: int) -> DataFrame:
-    rows = watch.bucketed(watch.events_of(events), buckets)
-    got = rows.transformWithStateInPandas(processor, watch.SAID, outputMode="Append", timeMode="ProcessingTime")
+    rows = bucketed(events_of(events), buckets)
+    got = rows.transformWithStateInPandas(processor, SAID, outputMode="Append", timeMode="ProcessingTime")
     time = lambda c: F.timestamp_micros(f"{c}_us" if c != "ts" else "us").alias(c)
     return got.select("path_key", "episode", time("ts"), "length", time("modified"), F.col("tie").alias("event_id"))
 

@@ -162,7 +162,9 @@ def save_block(state, rows: list[tuple]) -> None:
 
 
 def _longs(column: pd.Series) -> list[int | None]:
-    return column.tolist() if column.dtype == "int64" else [None if pd.isna(v) else int(v) for v in column]
+    if column.dtype == "int64":
+        return column.tolist()
+    return [None if pd.isna(v) else int(v) for v in column] if column.notna().any() else [None] * len(column)
 
 
 def by_path(rows: Iterator[pd.DataFrame]) -> dict[str, list[Event]]:
@@ -381,6 +383,22 @@ def run_until_fired(writer, wait_ms: float, limit_s: float = 3600) -> None:
         run.stop()
 
 
+def run_batch(writer, limit_s: float = 3600) -> None:
+    """Starts ``writer``, runs one micro-batch and stops before another begins.  It takes all that is there, if the source sets no limit
+    per trigger.  Timers due later run after the next start."""
+    run = writer.trigger(processingTime="1 day").start()
+    began = time.time()
+    try:
+        while not run.recentProgress:
+            run.awaitTermination(0.1)
+            if run.exception() is not None:
+                raise run.exception()
+            if time.time() - began > limit_s:
+                raise TimeoutError(f"the micro-batch did not end within {limit_s} s")
+    finally:
+        run.stop()
+
+
 def _walked(events: DataFrame, processor: PathBucket, buckets: int) -> DataFrame:
     got = bucketed(events_of(events), buckets).transformWithStateInPandas(processor, SAID, outputMode="Append", timeMode="None")
     return got.select("path_key", "episode", F.timestamp_micros("us").alias("ts"), "length", F.timestamp_micros("modified_us").alias("modified"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import subprocess
+import sys
 
 import pytest
+from pyspark.cloudpickle import cloudpickle
 
 from assetflow.queries import watching
 from assetflow.streaming import convert, folder, names, replay, watch
@@ -339,3 +342,28 @@ def test_stable_in_order_shares_keys(spark, probes, tmp_path, monkeypatch):
     through = lambda stream: replay.stable_in_order(stream, 10_000, watching.FAR_MS, watching.DAY_MS, buckets=1)
     assert pick(watching._shuffled(spark, rows, through, "stable")) == READY
     assert state_rows(spark, str(tmp_path / "stable" / "state")) == 1
+
+
+def test_state_partitions_go_by_cores(spark, probes, tmp_path, monkeypatch):
+    monkeypatch.setattr(watching, "scratch_path", lambda spark, label: str(tmp_path / label))
+    rows = watch.watched(probes[0]).select("path_key", "event_id", "ts", "length", "modified")
+    cores, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(10 * cores))
+    try:
+        got = watching._shuffled(spark, rows, lambda stream: replay.stable_in_order(stream, 10_000, watching.FAR_MS, watching.DAY_MS), "stable")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(10 * cores)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert pick(got) == READY
+    assert spark.read.format("state-metadata").load(str(tmp_path / "stable" / "state")).first().numPartitions == 3 * cores
+    # four starts, one micro-batch each: none without rows, none begun anew
+    commits = (tmp_path / "stable" / "state" / "commits").iterdir()
+    assert sorted(int(p.name) for p in commits if p.name.isdigit()) == [0, 1, 2, 3]
+
+
+def test_processors_travel_by_value(tmp_path):
+    processors = [replay.StableInOrder(1, 2, 3, 4, 5), replay.RepeatsInOrder(3, 4, 5), watch.StableFiles(1), watch.SuppressRepeats(), watch.BusyPeriods(1, 2, 3)]
+    load = "import sys; from pyspark.cloudpickle import cloudpickle; cloudpickle.loads(sys.stdin.buffer.read())"
+    elsewhere = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}  # the package cannot be imported there
+    for p in processors:
+        subprocess.run([sys.executable, "-c", load], input=cloudpickle.dumps(p), cwd=tmp_path, env=elsewhere, check=True)
