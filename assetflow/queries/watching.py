@@ -117,15 +117,20 @@ def _rocksdb(spark, by_cores: bool = False):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def _finished(spark, stream, name):
+def _stored(spark, stream, name: str) -> str:
+    """Where the rows of a finished stream are."""
     out = scratch_path(spark, name)
-    with _rocksdb(spark):
+    with _rocksdb(spark, by_cores=True):
         run = (
             stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
             .outputMode("append").trigger(availableNow=True).start()
         )
         run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    return f"{out}/rows"
+
+
+def _finished(spark, stream, name):
+    return spark.read.schema(stream.schema).parquet(_stored(spark, stream, name))
 
 
 @query(duck("file_events", f"""
@@ -168,8 +173,7 @@ def stable_stream(spark, sf):
 SELECT path_key, epoch_us(ts) AS ts_us, length FROM st QUALIFY NOT coalesce(lag(length) OVER (PARTITION BY path_key ORDER BY ts, event_id) = length AND lag(modified) OVER (PARTITION BY path_key ORDER BY ts, event_id) = modified, FALSE)"""))
 def suppress_stream(spark, sf):
     """Ready files stored by one stream and signalled by the next."""
-    out = scratch_path(spark, "ready")
-    _finished(spark, watch.stable_stream(_probe_stream(spark, sf), GAP_MS), "stable").write.parquet(out)
+    out = _stored(spark, watch.stable_stream(_probe_stream(spark, sf), GAP_MS), "stable")
     ready = spark.readStream.schema(watch.STABLE).parquet(out)
     return _finished(spark, watch.suppress_stream(ready), "signals").select("path_key", F.unix_micros("ts").alias("ts_us"), "length")
 

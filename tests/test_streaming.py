@@ -361,6 +361,30 @@ def test_state_partitions_go_by_cores(spark, probes, tmp_path, monkeypatch):
     assert sorted(int(p.name) for p in commits if p.name.isdigit()) == [0, 1, 2, 3]
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def many_partitions(spark, tmp_path, monkeypatch):
+    """More shuffle partitions than the cores can use; scratch folders below ``tmp_path``."""
+    monkeypatch.setattr(watching, "scratch_path", lambda spark, label: str(tmp_path / label))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(10 * spark.sparkContext.defaultParallelism))
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def per_core(spark, state):
+    found = spark.read.format("state-metadata").load(str(state)).first()
+    return found.numPartitions / spark.sparkContext.defaultParallelism
+
+
+def test_suppress_stream_reads_what_was_stored(spark, tmp_path, many_partitions):
+    assert watching.suppress_stream(spark, SMALL).count() > 0
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["signals", "stable"]  # no copy between the streams
+    assert per_core(spark, tmp_path / "signals" / "state") == per_core(spark, tmp_path / "stable" / "state") == 3
+
+
 def test_processors_travel_by_value(tmp_path):
     processors = [replay.StableInOrder(1, 2, 3, 4, 5), replay.RepeatsInOrder(3, 4, 5), watch.StableFiles(1), watch.SuppressRepeats(), watch.BusyPeriods(1, 2, 3)]
     load = "import sys; from pyspark.cloudpickle import cloudpickle; cloudpickle.loads(sys.stdin.buffer.read())"
