@@ -385,6 +385,11 @@ def test_suppress_stream_reads_what_was_stored(spark, tmp_path, many_partitions)
     assert per_core(spark, tmp_path / "signals" / "state") == per_core(spark, tmp_path / "stable" / "state") == 3
 
 
+def test_stable_stream_partitions(spark, tmp_path, many_partitions):
+    assert watching.stable_stream(spark, SMALL).count() > 0
+    assert per_core(spark, tmp_path / "stable" / "state") == 3
+
+
 def test_debounce_whole_partitions(spark, tmp_path, many_partitions):
     assert watching.debounce_whole(spark, SMALL).count() > 0
     assert per_core(spark, tmp_path / "busy" / "state") == 3
