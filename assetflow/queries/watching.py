@@ -82,9 +82,9 @@ def watch_convert(spark, sf):
 
 
 def _stream(spark, sf, name):
-    """The table as a stream of its parquet file."""
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The table as a stream of its parquet file, or of those in its folder.  A stream takes a single file only by a pattern."""
+    path = f"{sf.rstrip('/')}/{name}.parque"
+    return spark.readStream.schema(spark.read.parquet(f"{path}t").schema).parquet(f"{path}[t]")
 
 
 def _event_stream(spark, sf):

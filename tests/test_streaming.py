@@ -395,6 +395,14 @@ def test_debounce_whole_partitions(spark, tmp_path, many_partitions):
     assert per_core(spark, tmp_path / "busy" / "state") == 3
 
 
+def test_streamed_tables_may_be_folders(spark, tmp_path):
+    rows = spark.read.parquet(f"{SMALL}/events.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    for n, folder in enumerate((SMALL, str(tmp_path / "sf"))):
+        stream = watching._stream(spark, folder, "events")
+        assert finish(stream, tmp_path, f"rows{n}").count() == rows.count()
+
+
 def test_processors_travel_by_value(tmp_path):
     processors = [replay.StableInOrder(1, 2, 3, 4, 5), replay.RepeatsInOrder(3, 4, 5), watch.StableFiles(1), watch.SuppressRepeats(), watch.BusyPeriods(1, 2, 3)]
     load = "import sys; from pyspark.cloudpickle import cloudpickle; cloudpickle.loads(sys.stdin.buffer.read())"
