@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,7 +123,16 @@ class JaccardJoin:
     """The join of one table ``docs`` (_key, text)."""
 
     def __init__(self, docs: DataFrame, rule: Rule):
-        self.docs, self.rule = docs.select(KEY, rule.text), rule
+        self.docs, self.rule, self.held = docs.select(KEY, rule.text), rule, []
+
+    def _everywhere(self, values: np.ndarray) -> Broadcast:
+        self.held.append(self.docs.sparkSession.sparkContext.broadcast(values))
+        return self.held[-1]
+
+    def release(self) -> None:
+        """Free what was broadcast, on the driver too, once the result is written."""
+        while self.held:
+            self.held.pop().destroy()
 
     # -------------------------------------------------------------- sizes, equal sets, frequencies
     def measure(self) -> None:
@@ -141,14 +150,18 @@ class JaccardJoin:
             return pa.table({"task": group.column("task")[:1], "block": group.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
         sums = rows.filter("block is not null").select("task", "block", "counts")
-        for _ in range(3):  # up to FAN tasks at a time, then what is left
+        last = rows.agg(F.max("task")).first()[0] or 0
+        while True:  # up to FAN tasks at a time, until all are in one sum
+            last //= FAN
             sums = sums.withColumn("task", F.floor(F.col("task") / FAN))
             sums = sums.groupBy("task", "block").applyInArrow(add, "task bigint, block bigint, counts binary")
-        got = sums.groupBy("block").applyInArrow(add, "task bigint, block bigint, counts binary").toArrow()  # COUNTERS numbers
+            if not last:
+                break
+        got = sums.toArrow()  # COUNTERS numbers
         frequency = np.zeros(COUNTERS, np.uint32)
         for block, counts in zip(got.column("block").to_pylist(), got.column("counts").to_pylist()):
             frequency[block * COUNTER_BLOCK : (block + 1) * COUNTER_BLOCK] = np.frombuffer(counts, np.uint32)
-        self.frequency = self.docs.sparkSession.sparkContext.broadcast(frequency)
+        self.frequency = self._everywhere(frequency)
 
     # -------------------------------------------------------------- prefixes and candidates
     def candidates(self) -> None:
@@ -158,7 +171,7 @@ class JaccardJoin:
         every = self.docs.mapInArrow(lambda batches: rule.prefixes(batches, frequency.value), kinds)
         common = lambda df: df.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
         twice = written(common(every), "grams")
-        marks = self.docs.sparkSession.sparkContext.broadcast(bitmap(twice.withColumnRenamed("gram", "value"), GRAM_BITS))
+        marks = self._everywhere(bitmap(twice.withColumnRenamed("gram", "value"), GRAM_BITS))
         likely = self.docs.mapInArrow(lambda batches: rule.prefixes(batches, frequency.value, marks.value), kinds)
         some = likely.join(twice, "gram")
         firsts = self.reps.filter(F.col(KEY) == F.col("rep")).select(F.col(KEY).alias("key"))
@@ -196,22 +209,23 @@ class JaccardJoin:
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         pairs = written(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs.select("a", "b")
         own = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
-        rule, wanted = self.rule, pairs.sparkSession.sparkContext.broadcast(bitmap(own.withColumnRenamed("key", "value"), KEY_BITS))
+        rule, wanted = self.rule, self._everywhere(bitmap(own.withColumnRenamed("key", "value"), KEY_BITS))
         sets = self.docs.mapInArrow(lambda batches: rule.sets(batches, wanted.value), "key bigint, grams binary")
         sets = written(sets.join(own, "key", "left_semi"), "sets")
         x = sets.select(F.col("key").alias("a"), F.col("grams").alias("x"))
         y = sets.select(F.col("key").alias("b"), F.col("grams").alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
-    def links(self) -> DataFrame:
-        """Links (a, b) that connect what all links connect."""
+    def groups(self) -> tuple[DataFrame, DataFrame]:
+        """(node, component) by the links with a group's first document, and (node, component) of those components by all other links."""
         rows = written(self.shared, "rows")
         first = rows.groupBy("gram").agg(F.min_by(F.struct("key", "size", "place", "parts"), "key").alias("f")).select("gram", "f.*")
         pairs = first.alias("a").join(rows.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.key") < F.col("b.key")) & self._may_link("a", "b"))
         pairs = written(pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), "first-pairs")
-        near = written(self.verify(pairs), "links")
-        known = components(near)
+        known = written(components(self.verify(pairs)), "known")
         named = rows.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("component", "key")).drop("component")
         open_ = named.groupBy("gram").agg(F.min("group").alias("l"), F.max("group").alias("h")).filter("l < h").select("gram")
         named = written(named.join(open_, "gram"), "open")
@@ -221,20 +235,27 @@ class JaccardJoin:
         )
         later = later.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
         # pairs that failed above are not verified again
-        return near.unionByName(self.verify(later.join(pairs, ["a", "b"], "left_anti")))
+        found = self.verify(later.join(pairs, ["a", "b"], "left_anti"))
+        between = found.join(known.toDF("a", "ga"), "a", "left").join(known.toDF("b", "gb"), "b", "left")
+        return known, components(between.select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b")))
 
     def run(self) -> DataFrame:
         """(_key, size, component): a row for each document."""
         self.measure()
         self.candidates()
-        groups = components(self.links())
-        of_rep = self.reps.join(groups, F.col("rep") == F.col("node"), "left").select(KEY, F.coalesce("component", "rep").alias("component"))
+        known, above = self.groups()
+        of_rep = self.reps.join(known, F.col("rep") == F.col("node"), "left").select(KEY, F.coalesce("component", "rep").alias("group"))
+        of_rep = of_rep.join(above, F.col("group") == F.col("node"), "left").select(KEY, F.coalesce("component", "group").alias("component"))
         return self.sizes.select(KEY, "size").join(of_rep, KEY, "left").select(KEY, "size", F.coalesce("component", KEY).alias("component"))
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(_key, size, component) for ``docs`` with ``_key``."""
-    return settled(docs.sparkSession, "alike", lambda: JaccardJoin(docs, Rule(text, n, num, den)).run())
+    join = JaccardJoin(docs, Rule(text, n, num, den))
+    try:
+        return settled(docs.sparkSession, "alike", join.run)
+    finally:
+        join.release()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -312,6 +312,44 @@ def test_pairs_are_verified_once(spark, monkeypatch):
     assert seen and len(seen) == len(set(seen))
 
 
+def test_join_passes_links_on_once_and_frees_its_broadcasts(spark, monkeypatch):
+    passed, sent = [], []
+    own, send = ngram_join.components, type(spark.sparkContext).broadcast
+
+    def counted(edges):
+        passed.append(edges.count())
+        return own(edges)
+
+    def noted(context, value):
+        sent.append((value, send(context, value)))
+        return sent[-1][1]
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", noted)
+    long_ = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*long_, f"x{i}"]) for i in range(5)] + ["one two three", "another text"]
+    docs = keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id")
+    got = {r[KEY]: r.component for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, 6: 6}
+    assert passed == [4, 0]  # those with the group's first document; no others are left, and these are not passed on again
+    freed = [not b._jbroadcast.isValid() for value, b in sent if isinstance(value, np.ndarray)]
+    assert freed and all(freed)
+
+
+def test_counts_of_many_tasks_are_added_up(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FAN", 2)
+    texts = [" ".join(f"w{i}-{j}" for j in range(10)) for i in range(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), f"{KEY} long, text string").repartition(9, KEY)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        join = ngram_join.JaccardJoin(docs, ngram_join.Rule("text", 5, 80, 100))
+        join.measure()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert join.frequency.value.sum() == 9 * 6
+    join.release()
+
+
 def test_pipeline_stages_keep_extra_columns(spark):
     import corpus_pipeline
 
