@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetflow.llm.base import llm_query
@@ -33,6 +33,7 @@ from assetflow.llm.components import components
 from assetflow.session import table
 
 COUNTERS, COUNTER_BLOCK, PARTS = 1 << 22, 1 << 14, 64
+LISTED = 8  # n-grams before one's own that a row of a shared n-gram carries
 FAN = 64  # tasks whose counts are added up at once
 KEY_BITS, GRAM_BITS = 23, 26  # of the bitmaps of wanted keys and shared n-grams, which only thin out what is read
 
@@ -219,6 +220,21 @@ class JaccardJoin:
         y = sets.select(F.col("key").alias("b"), F.col("grams").alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
+    def _between(self, named: DataFrame) -> DataFrame:
+        """Pairs (a, b) of rows (gram, key, size, place, parts, group) in different groups that may link.  A pair that also shares one of
+        the LISTED n-grams before this one, on both sides, comes from there: similar documents share most of their rare n-grams."""
+        earlier = Window.partitionBy("key").orderBy("place").rowsBetween(-LISTED, -1)
+        rows = written(named.withColumn("earlier", F.collect_list("gram").over(earlier)), "open")
+        pairs = rows.alias("a").join(
+            rows.alias("b"),
+            (F.col("a.gram") == F.col("b.gram"))
+            & (F.col("a.key") < F.col("b.key"))
+            & (F.col("a.group") != F.col("b.group"))
+            & self._may_link("a", "b")
+            & ~F.arrays_overlap("a.earlier", "b.earlier"),
+        )
+        return pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+
     def groups(self) -> tuple[DataFrame, DataFrame]:
         """(node, component) by the links with a group's first document, and (node, component) of those components by all other links."""
         rows = written(self.shared, "rows")
@@ -228,12 +244,7 @@ class JaccardJoin:
         known = written(components(self.verify(pairs)), "known")
         named = rows.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("component", "key")).drop("component")
         open_ = named.groupBy("gram").agg(F.min("group").alias("l"), F.max("group").alias("h")).filter("l < h").select("gram")
-        named = written(named.join(open_, "gram"), "open")
-        later = named.alias("a").join(
-            named.alias("b"),
-            (F.col("a.gram") == F.col("b.gram")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.group") != F.col("b.group")) & self._may_link("a", "b"),
-        )
-        later = later.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+        later = self._between(named.join(open_, "gram")).distinct()
         # pairs that failed above are not verified again
         found = self.verify(later.join(pairs, ["a", "b"], "left_anti"))
         between = found.join(known.toDF("a", "ga"), "a", "left").join(known.toDF("b", "gb"), "b", "left")

@@ -350,6 +350,27 @@ def test_counts_of_many_tasks_are_added_up(spark, monkeypatch):
     join.release()
 
 
+def test_pairs_come_from_one_shared_gram(spark, monkeypatch):
+    made = []
+    own = ngram_join.JaccardJoin._between
+
+    def between(self, named):
+        out = own(self, named)
+        made.extend((r.a, r.b) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(ngram_join.JaccardJoin, "_between", between)
+    same, rest = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(200)]
+    rnd = random.Random(5)
+    texts = [" ".join(same + rnd.sample(rest, 22)) for _ in range(12)]
+    docs = keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id")
+    got = {r[KEY]: r.component for r in ngram_join.jaccard_components(docs, "text", 1, 50, 100).collect()}
+    sets = [set(t.split()) for t in texts]
+    want = union_find(range(12), [(i, j) for i in range(12) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 50 * len(sets[i] | sets[j])])
+    assert got == want
+    assert len(made) == len(set(made))
+
+
 def test_pipeline_stages_keep_extra_columns(spark):
     import corpus_pipeline
 
