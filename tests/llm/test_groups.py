@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -371,6 +372,65 @@ def test_pairs_come_from_one_shared_gram(spark, monkeypatch):
     assert made and len(made) == len(set(made))
 
 
+def test_grams_of_no_fitting_sizes_are_dropped(spark):
+    rare = [[f"{c}{i}" for i in range(4)] for c in "ab"]
+    texts = [" ".join([*rare[i // 2], *(f"{i}-{j}" for j in range(n))]) for i, n in enumerate((20, 40, 80, 82))]
+    docs = keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id")
+    join = ngram_join.JaccardJoin(docs, ngram_join.Rule("text", 1, 9, 10))
+    join.measure()
+    frequency = np.ones(ngram_join.COUNTERS, np.uint32)  # the shared words come first
+    frequency[(ngram_join.gram_sets(pa.array([" ".join(sum(rare, []))]), 1)[0] % np.uint64(ngram_join.COUNTERS)).astype(np.int64)] = 0
+    join.frequency = join._everywhere(frequency)
+    join.candidates()
+    assert sorted(r.key for r in join.shared.collect()) == [2] * 4 + [3] * 4
+    join.release()
+
+
+def test_parts_bound_the_difference_of_sets():
+    rnd = np.random.default_rng(3)
+    split = lambda s: np.minimum(ngram_join._by_hash(s, ngram_join._parts(len(s))), 255).astype(np.uint8).tobytes()
+    for size in (1, 3, 40, 511, 512, 2000, 30000):
+        s = np.unique(rnd.integers(0, 2**64, size, np.uint64))
+        for lost in (0, 1, size // 20, size // 10):
+            t = np.unique(np.concatenate([s[lost:], rnd.integers(0, 2**64, lost // 2, np.uint64)]))
+            assert ngram_join._apart(split(s), split(t)) <= len(np.setxor1d(s, t))
+        if size > 100:  # sets that share nothing are told apart, whatever their size
+            assert ngram_join._apart(split(s), split(np.unique(rnd.integers(0, 2**64, size, np.uint64)))) > 0.3 * size
+    same = np.arange(5000, dtype=np.uint64)  # all in one part
+    assert ngram_join._apart(split(same), split(same[:4000])) <= 1000
+
+
+def test_long_texts_that_share_rare_grams_are_not_verified(spark, monkeypatch):
+    asked = []
+    own = ngram_join.JaccardJoin.verify
+
+    def verify(self, pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return own(self, pairs)
+
+    monkeypatch.setattr(ngram_join.JaccardJoin, "verify", verify)
+    frequent = [f"w{i}" for i in range(30000)]
+    texts = [" ".join(frequent)] * 3
+    for c in "abcd":  # two of them share 700 rare words of 12,000 and half of the frequent ones
+        rare = [f"r{i}" for i in range(700)]
+        mine = random.Random(c).sample(frequent, 11300)
+        texts.append(" ".join(rare + mine))
+    texts.append(texts[-1] + " more")
+    docs = keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id")
+    got = {r[KEY]: r.component for r in ngram_join.jaccard_components(docs, "text", 1, 90, 100).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6}
+    assert asked == [(6, 7)]
+
+
+def test_counts_of_a_task_are_packed(spark):
+    docs = spark.createDataFrame([(i, f"{i} one two three four five") for i in range(50)], f"{KEY} long, text string").coalesce(1)
+    rule = ngram_join.Rule("text", 3, 90, 100)
+    kinds = "key bigint, size bigint, s1 bigint, s2 bigint, odd1 bigint, odd2 bigint, parts binary, task bigint, block bigint, counts binary"
+    rows = docs.mapInArrow(rule.measure, kinds).filter("block is not null").select(F.sum(F.length("counts")), F.count("*")).first()
+    assert rows[1] == ngram_join.COUNTERS // ngram_join.COUNTER_BLOCK
+    assert rows[0] < ngram_join.COUNTERS * 4 / 100  # 16 MB for any task before
+
+
 def test_pipeline_stages_keep_extra_columns(spark):
     import corpus_pipeline
 
